@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leesmaat.llm import encode, overlap
+from leesmaat.llm import encode, overlap, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "p4_found": overlap.p4_found,
         "p4_report": overlap.p4_report,
+        "p6_found": sentences.p6_found,
         "p7_ids": encode.p7_ids,
     }
 
