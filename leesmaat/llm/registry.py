@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leesmaat.llm import encode, overlap, sentences
+from leesmaat.llm import encode, overlap, pii, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": pii.p1_found,
+        "p1_masked": pii.p1_masked,
         "p4_found": overlap.p4_found,
         "p4_report": overlap.p4_report,
         "p6_found": sentences.p6_found,
