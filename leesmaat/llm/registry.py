@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leesmaat.llm import encode, overlap, pii, sentences
+from leesmaat.llm import encode, overlap, pairs, pii, sentences, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,13 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": pii.p1_found,
         "p1_masked": pii.p1_masked,
+        "p2_found": pairs.p2_found,
+        "p2_report": pairs.p2_report,
         "p4_found": overlap.p4_found,
         "p4_report": overlap.p4_report,
+        "p5_found": truncation.p5_found,
+        "p5_limits": truncation.p5_limits,
+        "p5_report": truncation.p5_report,
         "p6_found": sentences.p6_found,
         "p7_ids": encode.p7_ids,
     }
