@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leesmaat.llm import abuse, encode, overlap, pairs, pii, sentences, truncation
+from leesmaat.llm import abuse, encode, leak, overlap, pairs, pii, sentences, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "p5_report": truncation.p5_report,
         "p6_found": sentences.p6_found,
         "p7_ids": encode.p7_ids,
+        "p8_found": leak.p8_found,
+        "p8_report": leak.p8_report,
         "p9_found": abuse.p9_found,
         "p9_scores": abuse.p9_scores,
         "p9_report": abuse.p9_report,
