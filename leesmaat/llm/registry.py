@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leesmaat.llm import abuse, encode, leak, overlap, pairs, pii, sentences, truncation
+from leesmaat.llm import abuse, encode, leak, overlap, pairs, pii, reading, sentences, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "p1_masked": pii.p1_masked,
         "p2_found": pairs.p2_found,
         "p2_report": pairs.p2_report,
+        "p3_found": reading.p3_found,
         "p4_found": overlap.p4_found,
         "p4_report": overlap.p4_report,
         "p5_found": truncation.p5_found,
