@@ -42,16 +42,20 @@ def token(words: list[str], i: int) -> str:
     return w
 
 
-def count_words(value: str) -> Counter:
-    """(kind, token) counts: inside, before a mark, at the end of a line without one, and labels that close a block."""
-    c: Counter = Counter()
+def count_words(value: str, c: dict[str, Counter]) -> None:
+    """Add a value's counts by kind: inside, before a mark, at the end of a line without one, and labels that close a block."""
     words = WORD.findall(value)
-    for i in range(len(words) - 1):
-        c["inside", token(words, i)] += 1
+    c["inside"].update([w if not w[0].isdigit() else token(words, i) for i, w in enumerate(map(str.lower, words[:-1]))])
     for m in MARKED.finditer(value):
-        before = WORD.findall(value[max(0, m.start(1) - 40) : m.end(1)])
-        if before:
-            c["mark", token(before, len(before) - 1)] += 1
+        w = m[1].rstrip(" )]").lower()
+        if len(w) == 1 and m[1][0].isupper():
+            continue
+        if w[0].isdigit():
+            before = WORD.findall(value[max(0, m.start(1) - 40) : m.end(1)])
+            w = token(before, len(before) - 1)
+        c["mark"][w] += 1
+    if "\n" not in value:
+        return
     lines = value.split("\n")
     label = None
     for line, after in zip(lines[:-1], lines[1:], strict=True):
@@ -61,10 +65,9 @@ def count_words(value: str) -> Counter:
             continue
         found = WORD.findall(line)
         if found and line.rstrip()[-1] not in FULL and (ITEM.match(after) or LABEL.match(after) or after.strip() == "---") and (ITEM.match(line) or m):
-            c["line", token(found, len(found) - 1)] += 1
+            c["line"][token(found, len(found) - 1)] += 1
         if label and after.strip() == "---":
-            c["block", label] += 1
-    return c
+            c["block"][label] += 1
 
 
 def evidence(values: DataFrame, column: str) -> DataFrame:
@@ -72,23 +75,25 @@ def evidence(values: DataFrame, column: str) -> DataFrame:
     schema = pa.schema([("kind", pa.string()), ("token", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        c = {k: Counter() for k in KINDS}
         for b in batches:
             for v in b.column(0).to_pylist():
-                c.update(count_words(v))
-            if len(c) > 200_000:
-                yield from per_row(iter([_counted(c, schema)]), lambda *r: [r], schema)
-                c = Counter()
-        if c:
-            yield _counted(c, schema)
+                count_words(v, c)
+            if sum(map(len, c.values())) > 200_000:
+                yield _counted(c, schema)
+                c = {k: Counter() for k in KINDS}
+        yield _counted(c, schema)
 
     rows = spread(values.filter(F.col(column).isNotNull()).select(column)).mapInArrow(count, "kind string, token string, n bigint")
-    kinds = ("inside", "mark", "line", "block")
-    return rows.groupBy("token").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
+    return rows.groupBy("token").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in KINDS])
+
 
+KINDS = ("inside", "mark", "line", "block")
 
-def _counted(c: Counter, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in c], pa.string()), pa.array([t for _, t in c], pa.string()), pa.array(list(c.values()), pa.int64())], schema=schema)
+
+def _counted(c: dict[str, Counter], schema: pa.Schema) -> pa.RecordBatch:
+    rows = [(k, t, n) for k, counter in c.items() for t, n in counter.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.types[i]) for i in range(3)], schema=schema)
 
 
 def ending(value: str, original: str | None = None) -> tuple[str, str, str]:
@@ -112,6 +117,11 @@ def ending(value: str, original: str | None = None) -> tuple[str, str, str]:
     if not body:
         return "whole", tok, ""
     end = body[-1]
+    if original:  # an answer that ends as the original does ends where the original ends
+        mine, theirs = WORD.findall(text.lower()), WORD.findall(original.lower())
+        alike = original.rstrip(CLOSING + " ")[-1:]
+        if mine[-2:] == theirs[-2:] and (alike == end or alike not in FULL) and len(mine) >= min(2, len(theirs)):
+            return "whole", tok, ""
     if UNMARKED_CHAR.match(end):
         return "whole", tok, ""
     if end in FULL:
@@ -131,13 +141,9 @@ def ending(value: str, original: str | None = None) -> tuple[str, str, str]:
             raw = bare[1].lower().lstrip("(“„‘\"'«")
             if raw in ABBREVIATIONS and raw not in ENDING and len(WORD.findall(text)) > 1:
                 return "mark", raw, ""
-            if words[-1][0].isdigit() and body[-2].isdigit():
+            if words[-1].isdigit() and body[-2].isdigit():
                 return "mark", tok, ""
         return "whole", tok, ""
-    if original:
-        mine, theirs = WORD.findall(text.lower()), WORD.findall(original.lower())
-        if mine[-2:] == theirs[-2:] and original.rstrip()[-1:] not in FULL and len(mine) >= min(2, len(theirs)):
-            return "whole", tok, ""
     if end in ",;:-–—(/&+" and not text.endswith(("---", "- -")):
         return "cut", tok, ""
     low = text.strip(" .*_-\"'[]()").lower()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from leesmaat.llm.common import bounded_rows
 
 SAMPLE = 4_000  # labelled texts at most; the sample is the same for the same table
 BUCKETS = 1 << 15
-ORDERS = (1, 2, 3)
+ORDERS = (2, 3)
 LEAST_LETTERS = 8  # fewer letters say nothing about the language
 MARGIN = 4.0  # nats by which one language must beat another
 # Other codes of a language.
@@ -27,11 +29,30 @@ def code(lang: str | None) -> str | None:
     return CODES.get(low, CODES.get(low[:3], low[:2]) if len(low) == 3 else low[:2])
 
 
+@lru_cache(maxsize=1)
+def _apart() -> np.ndarray:
+    """By code point: whether it is neither a letter nor a mark on one. Points beyond the first plane count as letters."""
+    out = np.array([unicodedata.category(chr(i))[0] not in "LM" for i in range(1 << 16)])
+    out[-1] = False
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    """Code points of the letters in lower case, words set apart by one blank."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+    apart = _apart()[np.minimum(codes, 0xFFFF)]
+    keep = ~apart
+    keep[1:] |= apart[1:] & ~apart[:-1]
+    keep[0] = True
+    return np.where(apart, np.uint32(32), codes)[keep].astype(np.uint64)
+
+
 def features(text: str) -> np.ndarray:
-    """Bucket numbers of the character n-grams of the letters of a text, in lower case, words apart."""
-    letters = "".join(c if c.isalpha() or not c.isascii() and not c.isspace() and not c.isnumeric() else " " for c in text.lower())
-    clean = " " + " ".join(letters.split()) + " "
-    codes = np.frombuffer(clean.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    """Bucket numbers of the character n-grams of a text."""
+    return _features(_codes(text))
+
+
+def _features(codes: np.ndarray) -> np.ndarray:
     out = []
     for n in ORDERS:
         if len(codes) < n:
@@ -46,19 +67,23 @@ def features(text: str) -> np.ndarray:
 
 
 def letters(text: str) -> int:
-    return sum(c.isalpha() for c in text)
+    return int((_codes(text) != 32).sum())
 
 
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # log probability by language and bucket
+    weights: np.ndarray  # log probability by bucket and language
     prior: np.ndarray
 
     def scores(self, text: str) -> np.ndarray:
-        f = features(text)
-        # n-grams of one text depend on each other: a third of their sum behaves like independent evidence
-        return self.weights[:, f].sum(1) / len(ORDERS) + self.prior
+        return self.judge(text)[0]
+
+    def judge(self, text: str) -> tuple[np.ndarray, int]:
+        """Log posteriors, up to a constant, and the number of letters they rest on."""
+        codes = _codes(text)
+        # n-grams of one text depend on each other: their mean over orders behaves like independent evidence
+        return self.weights[_features(codes)].sum(0) / len(ORDERS) + self.prior, int((codes != 32).sum())
 
     def posterior(self, text: str) -> np.ndarray:
         s = self.scores(text)
@@ -86,7 +111,7 @@ def fit(texts: list[tuple[str, str]]) -> Model:
         table = np.stack([counts[x] for x in langs])
         weights = np.log(table + 0.1) - np.log(table.sum(1, keepdims=True) + 0.1 * BUCKETS)
         prior = np.log(np.array([docs[x] + 1.0 for x in langs]) / (sum(docs.values()) + len(langs)))
-        model = Model(langs, weights.astype(np.float32), prior)
+        model = Model(langs, np.ascontiguousarray(weights.T, np.float32), prior)
     return model
 
 

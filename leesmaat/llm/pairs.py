@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,91 +32,96 @@ REFUSALS = [
     # other scripts
     r"не могу|не можем|извините|к сожалению|как (?:языковая|ии)|вынужден\w* отказ", r"لا (?:أستطيع|يمكنني|يمكن)|عذرا|عذرًا|آسف|أعتذر|نموذج لغ", r"क्षमा|नहीं कर सक|माफ़|असमर्थ|भाषा मॉडल", r"无法|抱歉|对不起|不能(?:协助|帮助|完成|提供|改写)|语言模型|拒绝", r"できません|申し訳|お断り|言語モデル|いたしかねます", r"ไม่สามารถ|ขออภัย|ขอโทษ|แบบจำลองภาษา",
 ]
-REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I)
+REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))  # on small letters
 REFUSAL_WORDS = 45  # a longer answer does more than decline
 WORDS = re.compile(r"[^\W_]+")
 LABEL = re.compile(r"^\s*[\"“„'*#_\[(]*[^:\n]{1,48}?[\])*_]*\s*:\s*")
 IGNORED = re.compile("[​-‏⁠﻿­]")
 
 
+def bare(text: str | None) -> list[str]:
+    """The words of a text without regard to letter case."""
+    if not text:
+        return []
+    return WORDS.findall((text if text.isascii() else IGNORED.sub("", text)).casefold())
+
+
 def empty(answer: str | None) -> bool:
-    if answer is None:
-        return True
-    words = WORDS.findall(IGNORED.sub("", answer).lower())
-    return not words or " ".join(words) in STAND_INS
+    words = bare(answer)
+    return not words or len(words) <= 3 and " ".join(words) in STAND_INS
 
 
-def refusal(original: str, answer: str) -> bool:
+def refusal(original: str, answer: str, words: int) -> bool:
     """Whether the answer declines; a text that itself speaks so is merely passed on."""
-    m = REFUSAL.search(answer)
-    if not m or REFUSAL.search(original):
+    if words > REFUSAL_WORDS or len(answer) > 12 * REFUSAL_WORDS:
         return False
-    return len(WORDS.findall(answer)) <= REFUSAL_WORDS
+    return bool(REFUSAL.search(answer.lower())) and not REFUSAL.search(original.lower())
 
 
-def copies(original: str, answer: str) -> bool:
-    theirs = WORDS.findall(IGNORED.sub("", original).casefold())
-    answer = IGNORED.sub("", answer)
-    if not theirs:
+def copies(theirs: list[str], answer: str, mine: list[str]) -> bool:
+    """Whether an answer with the words `mine` repeats the words `theirs`, perhaps behind a label."""
+    if not theirs or len(mine) < len(theirs) or mine[-1] != theirs[-1]:
         return False
-    if WORDS.findall(answer.casefold()) == theirs:
+    if mine == theirs:
         return True
-    m = LABEL.match(answer)
-    return bool(m) and WORDS.findall(answer[m.end() :].casefold()) == theirs
+    m = LABEL.match(IGNORED.sub("", answer))
+    return bool(m) and bare(IGNORED.sub("", answer)[m.end() :]) == theirs
 
 
-def foreign(original: str, answer: str, model: langid.Model) -> bool:
-    """Whether the answer's language beats the original's by the margin, on the answer, and the original isn't as likely in it."""
-    if langid.letters(answer) < 2 * langid.LEAST_LETTERS or langid.letters(original) < langid.LEAST_LETTERS:
+def foreign(original: tuple[np.ndarray, int], answer: tuple[np.ndarray, int]) -> bool:
+    """Whether the answer is in another language: each side beats the other's language by the margin on its own text."""
+    (o, n), (a, m) = original, answer
+    if m < 2 * langid.LEAST_LETTERS or n < langid.LEAST_LETTERS:
         return False
-    a, o = model.scores(answer), model.scores(original)
     mine, theirs = int(a.argmax()), int(o.argmax())
-    if mine == theirs:
-        return False
-    return a[mine] - a[theirs] > langid.MARGIN and o[theirs] - o[mine] > langid.MARGIN
+    return mine != theirs and a[mine] - a[theirs] > langid.MARGIN and o[theirs] - o[mine] > langid.MARGIN
 
 
-def defects(pairs: DataFrame, keys: list[str], original: str, answer: str, model: langid.Model) -> DataFrame:
-    """keys (as strings) and `defect` of every pair but truncation, which needs counts over all pairs; null where there is none."""
+def defects(pairs: DataFrame, key: str, original: str, answers: list[str], model: langid.Model) -> DataFrame:
+    """key (as a string), field, defect, original and answer of every answer; truncation, which needs counts over all
+    answers, is left open. The original is judged once for all its answers."""
     held = pairs.sparkSession.sparkContext.broadcast(model)  # languages times BUCKETS numbers, whatever the data
 
-    def one(*r):
-        o, a = r[-2] or "", r[-1]
-        if empty(a):
-            d = "empty"
-        elif refusal(o, a):
-            d = "refusal"
-        elif copies(o, a):
-            d = "copy"
-        elif foreign(o, a, held.value):
-            d = "wrong_language"
-        else:
-            d = None
-        return [(*r[:-2], d)]
-
-    schema = pa.schema([*((k, pa.string()) for k in keys), ("defect", pa.string())])
-    src = pairs.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(original).alias("_o"), F.col(answer).alias("_a"))
-    return spread(src).mapInArrow(lambda bs: per_row(bs, one, schema), ", ".join(f"{k} string" for k in keys) + ", defect string")
-
-
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """suggestion_id, field, original, answer: two rows for each suggestion; a re-delivered one counts once."""
-    s = latest(table(spark, sf_dir, "suggestions").select("suggestion_id", "original_text", "suggested_text", "explanation", "ingested_at"), ["suggestion_id"], "ingested_at")
-    both = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("answer")) for f in ("suggested_text", "explanation")])).alias("x")
-    return s.select("suggestion_id", F.col("original_text").alias("original"), both).select("suggestion_id", "original", "x.field", "x.answer")
-
-
-def all_defects(pairs: DataFrame, model: langid.Model, keys: list[str]) -> DataFrame:
-    """keys, defect of every defective pair, at most one each. A null original is compared as an empty text."""
-    first = defects(pairs, keys, "original", "answer", model)
-    counts = cut(evidence(pairs, "answer"), "answers")
-    ends = judged(pairs, keys, "answer", "original", counts).filter("incomplete").select(*keys, F.lit("truncated").alias("_t"))
-    return first.join(ends, keys, "left").select(*keys, F.coalesce("defect", "_t").alias("defect")).filter(F.col("defect").isNotNull())
+    def defect(o: str, theirs: list[str], known: set[str], a: str | None, seen: list) -> str | None:
+        mine = bare(a)
+        if not mine or len(mine) <= 3 and " ".join(mine) in STAND_INS:
+            return "empty"
+        if refusal(o, a, len(mine)):
+            return "refusal"
+        if copies(theirs, a, mine):
+            return "copy"
+        if len(mine) >= 4 and 2 * sum(w in known for w in mine) >= len(mine):
+            return None  # made of the original's words, so in its language
+        if not seen:
+            seen.append(held.value.judge(o))
+        return "wrong_language" if foreign(seen[0], held.value.judge(a)) else None
+
+    def one(k, o, *given):
+        seen: list = []
+        theirs = bare(o)
+        known = set(theirs)
+        return [(k, f, defect(o or "", theirs, known, a, seen), o, a) for f, a in zip(answers, given, strict=True)]
+
+    schema = pa.schema([(c, pa.string()) for c in ("key", "field", "defect", "original", "answer")])
+    src = pairs.select(F.col(key).cast("string").alias("key"), F.col(original).alias("_o"), *answers)
+    return spread(src).mapInArrow(lambda bs: per_row(bs, one, schema), "key string, field string, defect string, original string, answer string")
+
+
+def all_defects(pairs: DataFrame, key: str, original: str, answers: list[str], model: langid.Model) -> DataFrame:
+    """key, field, defect of every defective answer, at most one each. A null original is compared as an empty text."""
+    rows = cut(defects(pairs, key, original, answers, model), "defects")
+    texts = rows.filter(F.col("defect").isNull()).select("answer").unionByName(pairs.select(F.col(original).alias("answer")))
+    counts = cut(evidence(texts, "answer"), "answers")
+    ends = judged(rows.filter(F.col("defect").isNull()), ["key", "field"], "answer", "original", counts)
+    truncated = ends.filter("incomplete").select("key", "field", F.lit("truncated").alias("defect"))
+    return rows.filter(F.col("defect").isNotNull()).select("key", "field", "defect").unionByName(truncated)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects of both answers of each suggestion; a re-delivered suggestion counts once."""
     model = langid.train(table(spark, sf_dir, "documents"), "lang", "text", "doc_id")
-    return all_defects(answers(spark, sf_dir), model, ["suggestion_id", "field"])
+    s = latest(table(spark, sf_dir, "suggestions").select("suggestion_id", "original_text", "suggested_text", "explanation", "ingested_at"), ["suggestion_id"], "ingested_at")
+    return all_defects(s, "suggestion_id", "original_text", ["suggested_text", "explanation"], model).withColumnRenamed("key", "suggestion_id")
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
