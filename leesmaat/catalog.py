@@ -1,21 +1,671 @@
-"""Registry of the engine's queries over a folder of tables, each with its SQL twin where SQL can express it."""
+"""Registry of the engine's queries over a folder of tables, each with its SQL twin where SQL can express it on whole tables.
+
+Queries over parsed text use the derived annotation and derived word lists, which SQL can repeat. They share the stages of
+one analysis per session and folder, as the stages of a pipeline do."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leesmaat import constants as K
+from leesmaat import sql as Q
+from leesmaat.api import Analysis, Readability
+from leesmaat.functions import guards as G
+from leesmaat.functions import score as S
+from leesmaat.functions import text as T
+from leesmaat.operators import aggregate, blocks, editor, features, rewrite, spelling, stats, triggers
+from leesmaat.plans import planner
+from leesmaat.sources import eval_items, lexicons, results
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+_analyses: dict[tuple[str, str], Analysis] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _analyses:
+        lex = lexicons.derived(table(spark, sf_dir, "word_freq"))
+        _analyses[key] = Readability(lex).analyze(table(spark, sf_dir, "documents"))
+    return _analyses[key]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = Q.steady(Q.sql(sql))
+        return f
+
+    return register
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    """Floating columns rounded for comparison: sums in another order differ in the last digits. The small addend decides ties."""
+    return df.withColumns({c: F.round(F.col(c).cast("double") + Q.TIE, 6) for c in columns})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["q_document_score"](spark, sf_dir)
+
+
+# --- structure ------------------------------------------------------------------------------------------------------
+
+
+@query("q_sentence_like", "SELECT doc_id, n, type <> 'heading' AND type <> 'blank' AS sentence_like FROM kinds WHERE line <> ''")
+def _(spark, d):
+    t = blocks.lines(table(spark, d, "documents")).filter("line <> ''")
+    return t.select("doc_id", "n", T.ends_like_sentence(F.col("line")).alias("sentence_like"))
+
+
+@query(
+    "q_blocks",
+    """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS block_idx, type, line AS text FROM (
+       SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY n) AS last, max(CASE WHEN type <> 'blank' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead,
+         min(CASE WHEN type <> 'blank' THEN n END) OVER (PARTITION BY doc_id) AS first FROM kinds)
+       WHERE (type <> 'blank' OR (last <> 'blank' AND ahead IS NOT NULL)) AND n >= first""",
+)
+def _(spark, d):
+    return blocks.blocks(table(spark, d, "documents"))
+
+
+@query(
+    "q_unwrap_gate",
+    """SELECT doc_id, joinable, suspicious, joinable >= 3 AND suspicious >= greatest(2, 0.4 * joinable) AS hard_wrapped FROM (
+       SELECT doc_id, count(*) FILTER (line <> '' AND nxt <> '') AS joinable, count(*) FILTER (line <> '' AND nxt <> '' AND type = 'heading' AND regexp_matches(nxt, '^\\p{Ll}')) AS suspicious
+       FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS nxt FROM kinds) GROUP BY doc_id)""",
+)
+def _(spark, d):
+    return blocks.wrapping(table(spark, d, "documents"))
+
+
+@query(
+    "q_unwrapped",
+    """SELECT doc_id, coalesce(u.text, docs.text) AS text FROM docs LEFT JOIN (
+       SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY para) AS text FROM (
+         SELECT doc_id, para, trim(string_agg(piece, '' ORDER BY n), ' ') AS p FROM (
+           SELECT doc_id, para, n, CASE WHEN w.word IS NOT NULL THEN left(line, length(line) - 1) WHEN joined IS NOT NULL THEN line ELSE line || ' ' END AS piece FROM (
+             SELECT *, CASE WHEN regexp_extract(line, '(\\p{L}+)-$', 1) <> '' AND regexp_extract(coalesce(nxt, ''), '^(\\p{Ll}\\p{L}*)', 1) <> '' THEN lower(regexp_extract(line, '(\\p{L}+)-$', 1) || regexp_extract(nxt, '^(\\p{Ll}\\p{L}*)', 1)) END AS joined FROM (
+               SELECT *, lead(line) OVER (PARTITION BY doc_id, para ORDER BY n) AS nxt FROM (
+                 SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS para FROM kinds WHERE doc_id IN (
+                   SELECT doc_id FROM (SELECT doc_id, count(*) FILTER (line <> '' AND nxt <> '') AS j, count(*) FILTER (line <> '' AND nxt <> '' AND type = 'heading' AND regexp_matches(nxt, '^\\p{Ll}')) AS s
+                     FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS nxt FROM kinds) GROUP BY doc_id) WHERE j >= 3 AND s >= greatest(2, 0.4 * j)))
+               WHERE line <> '')) x LEFT JOIN word_freq w ON w.word = x.joined) GROUP BY doc_id, para) GROUP BY doc_id) u USING (doc_id)""",
+)
+def _(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    return blocks.unwrap(docs, table(spark, d, "word_freq"))
+
+
+@query("q_markdown_blocks")
+def _(spark, d):
+    return blocks.from_markdown(table(spark, d, "documents").filter("format = 'markdown'"))
+
+
+@query("q_quotes_and_space", f"SELECT doc_id, regexp_replace(translate(text, '{K.QUOTES}', repeat('\"', {len(K.QUOTES)})), '{T.SPACE}', ' ', 'g') AS text FROM docs")
+def _(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.collapse(T.straight_quotes(F.col("text"))).alias("text"))
+
+
+@query(
+    "q_html_text",
+    r"""SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' ') AS text
+       FROM docs WHERE regexp_matches(text, '<[a-z]+[^>]*>')""",
+)
+def _(spark, d):
+    return table(spark, d, "documents").filter(F.col("text").rlike("<[a-z]+[^>]*>")).select("doc_id", blocks.strip_html(F.col("text")).alias("text"))
+
+
+@query("q_fragments", r"SELECT doc_id, n, len(regexp_extract_all(line, '\p{L}+')) <= 3 OR regexp_matches(line, ':\s*$') AS fragment FROM lines WHERE line <> ''")
+def _(spark, d):
+    return blocks.lines(table(spark, d, "documents")).filter("line <> ''").select("doc_id", "n", T.is_fragment(F.col("line")).alias("fragment"))
+
+
+# --- tokens and lexicons --------------------------------------------------------------------------------------------
+
+TOKEN_COLUMNS = ["doc_id", "sent_idx", "i", "text", "lower", "lemma", "pos", "tag", "dep", "head", "ent_type", "is_punct", "is_alpha"]
+
+
+@query("q_tokens", f"SELECT {', '.join(TOKEN_COLUMNS)} FROM tok")
+def _(spark, d):
+    return analysis(spark, d).tokens.select(*TOKEN_COLUMNS)
+
+
+@query("q_token_stats", "SELECT doc_id, count(*) AS tokens, count(*) FILTER (NOT is_punct) AS words, count(DISTINCT sent_idx) AS sentences, count(DISTINCT lower) AS vocabulary FROM tok GROUP BY doc_id")
+def _(spark, d):
+    n = F.count(F.when(~F.col("is_punct"), 1))
+    return analysis(spark, d).tokens.groupBy("doc_id").agg(F.count("*").alias("tokens"), n.alias("words"), F.countDistinct("sent_idx").alias("sentences"), F.countDistinct("lower").alias("vocabulary"))
+
+
+@query("q_corpus_lexicon", "SELECT lower AS word, round(log10(count(*) / (SELECT count(*) FROM tok WHERE is_alpha)::DOUBLE * 1e9), 6) AS word_count FROM tok WHERE is_alpha GROUP BY lower")
+def _(spark, d):
+    return r6(lexicons.from_corpus(analysis(spark, d).tokens.filter("is_alpha").select(F.col("lower").alias("word"))), "word_count")
+
+
+@query("q_word_frequency", "SELECT doc_id, i, lower, round(frequency, 6) AS frequency FROM f2 WHERE frequency IS NOT NULL")
+def _(spark, d):
+    return r6(analysis(spark, d).features.filter("frequency is not null").select("doc_id", "i", "lower", "frequency"), "frequency")
+
+
+@query("q_noun_class", "SELECT doc_id, i, lower, noun_class FROM f2 WHERE noun_class IS NOT NULL")
+def _(spark, d):
+    return analysis(spark, d).features.filter("noun_class is not null").select("doc_id", "i", "lower", "noun_class")
+
+
+@query("q_content_words", "SELECT doc_id, i, lower, is_content_plain FROM f2 WHERE is_content")
+def _(spark, d):
+    return analysis(spark, d).features.filter("is_content").select("doc_id", "i", "lower", "is_content_plain")
+
+
+@query("q_pronoun_person", "SELECT doc_id, i, lower, person FROM f2 WHERE is_pronoun")
+def _(spark, d):
+    return analysis(spark, d).features.filter("is_pronoun").select("doc_id", "i", "lower", "person")
+
+
+@query("q_human", "SELECT doc_id, i, lower FROM f2 WHERE is_human")
+def _(spark, d):
+    return analysis(spark, d).features.filter("is_human").select("doc_id", "i", "lower")
+
+
+@query(
+    "q_token_flags",
+    "SELECT doc_id, sent_idx, count(*) FILTER (is_finite) AS finite, count(*) FILTER (is_passive_aux) AS passive, count(*) FILTER (is_entity) AS entities, count(*) FILTER (is_modifier) AS modifiers, count(*) FILTER (is_constituent) AS constituents FROM f2 GROUP BY doc_id, sent_idx",
+)
+def _(spark, d):
+    n = aggregate.count_if
+    return analysis(spark, d).features.groupBy("doc_id", "sent_idx").agg(n(F.col("is_finite")).alias("finite"), n(F.col("is_passive_aux")).alias("passive"), n(F.col("is_entity")).alias("entities"), n(F.col("is_modifier")).alias("modifiers"), n(F.col("is_constituent")).alias("constituents"))
+
+
+# --- syntax ---------------------------------------------------------------------------------------------------------
+
+
+@query("q_conj_base", "SELECT doc_id, sent_idx, i, base FROM based WHERE dep = 'conj'")
+def _(spark, d):
+    return analysis(spark, d).tokens.filter("dep = 'conj'").select("doc_id", "sent_idx", "i", "base")
+
+
+@query("q_heads", "SELECT doc_id, sent_idx, i, head FROM hd")
+def _(spark, d):
+    return analysis(spark, d).heads.select("doc_id", "sent_idx", "i", "head")
+
+
+@query("q_dep_length", "SELECT doc_id, sent_idx, i, dep_length FROM dl")
+def _(spark, d):
+    return analysis(spark, d).dependency_length
+
+
+@query("q_subtree_size", "SELECT doc_id, sent_idx, anc, count(*) AS size FROM up GROUP BY doc_id, sent_idx, anc")
+def _(spark, d):
+    return analysis(spark, d).subtrees.groupBy("doc_id", "sent_idx", "anc").agg(F.count("*").alias("size"))
+
+
+@query("q_subordinate", "SELECT doc_id, sent_idx, i FROM sub")
+def _(spark, d):
+    return analysis(spark, d).subordinate
+
+
+@query(
+    "q_passive_spans",
+    """SELECT a.doc_id, a.sent_idx, a.i, a.first, a.last, string_agg(t.text, ' ' ORDER BY t.i) AS span FROM (
+       SELECT h.doc_id, h.sent_idx, h.i, least(min(h.head), h.i) AS first, greatest(max(h.head), h.i) AS last FROM hd h JOIN tok k ON k.doc_id = h.doc_id AND k.i = h.i AND k.dep = 'aux:pass' GROUP BY 1, 2, 3) a
+       JOIN tok t ON t.doc_id = a.doc_id AND t.sent_idx = a.sent_idx AND t.i BETWEEN a.first AND a.last GROUP BY 1, 2, 3, 4, 5""",
+)
+def _(spark, d):
+    a = analysis(spark, d)
+    return aggregate.passive_spans(a.features, a.heads)
+
+
+# --- sentences and documents ----------------------------------------------------------------------------------------
+
+SENTENCE_INTS = "doc_id, sent_idx, sent_length, concrete, abstract, undefined, unknown, content_words, finite_verbs, has_passive, humans, subordinate_clauses"
+SENTENCE_FLOATS = ["mean_log_word_frequency", "max_sdl", "content_words_per_clause", "proportion_of_concrete_nouns", "mean_clause_length", "constituents_per_clause", "modifiers_per_clause"]
+
+
+def rounded(columns: list[str]) -> str:
+    return ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in columns)
+
+
+@query("q_sentence_features", f"SELECT {SENTENCE_INTS}, {rounded(SENTENCE_FLOATS)} FROM sent")
+def _(spark, d):
+    return r6(analysis(spark, d).sentences.select(*SENTENCE_INTS.split(", "), *SENTENCE_FLOATS), *SENTENCE_FLOATS)
+
+
+@query("q_sentence_score", "SELECT doc_id, sent_idx, round(score, 6) AS score, level FROM sent")
+def _(spark, d):
+    return r6(analysis(spark, d).sentences.select("doc_id", "sent_idx", "score", "level"), "score")
+
+
+DOC_FLOATS = ["mean_log_word_frequency", "mean_max_sdl", "mean_content_words_per_clause", "proportion_of_concrete_nouns", "min_score", "max_score", "score"]
+
+
+@query("q_document_score", f"SELECT doc_id, sentence_count, CAST(words AS BIGINT) AS words, {rounded(DOC_FLOATS)}, level FROM doc")
+def _(spark, d):
+    return r6(analysis(spark, d).scores.select("doc_id", "sentence_count", "words", *DOC_FLOATS, "level"), *DOC_FLOATS)
+
+
+@query("q_readers", "SELECT level, count(*) AS documents, max(CASE level WHEN 1 THEN 14 WHEN 2 THEN 29 WHEN 3 THEN 53 WHEN 4 THEN 78 END) AS struggling FROM doc GROUP BY level")
+def _(spark, d):
+    return analysis(spark, d).scores.groupBy("level").agg(F.count("*").alias("documents"), F.max(S.readers_struggling(F.col("level"))).alias("struggling"))
+
+
+@query(
+    "q_sentence_lists",
+    "SELECT doc_id, sent_idx, "
+    + ", ".join(f"coalesce(string_agg(lower, ' ' ORDER BY i) FILTER ({c}), '') AS {n}" for n, c in {"concrete_nouns": "noun_class = 'concrete'", "content": "is_content", "finite": "is_finite", "human": "is_human", "pronouns_1": "person = 1", "pronouns_3": "person = 3"}.items())
+    + " FROM f2 GROUP BY doc_id, sent_idx",
+)
+def _(spark, d):
+    lists = aggregate.sentence_lists(analysis(spark, d).features)
+    return lists.select("doc_id", "sent_idx", *[F.array_join(c, " ").alias(c) for c in ("concrete_nouns", "content", "finite", "human", "pronouns_1", "pronouns_3")])
+
+
+@query("q_rare_words_sentence", "SELECT doc_id, sent_idx, rank, i, lower, round(frequency, 6) AS frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY frequency, i) AS rank FROM f2 WHERE frequency IS NOT NULL) WHERE rank <= 5")
+def _(spark, d):
+    return r6(features.rarest(analysis(spark, d).features, 5, ["doc_id", "sent_idx"]), "frequency")
+
+
+@query("q_rare_words_document", "SELECT doc_id, rank, i, lower, round(frequency, 6) AS frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency, i) AS rank FROM f2 WHERE frequency IS NOT NULL) WHERE rank <= 5")
+def _(spark, d):
+    return r6(features.rarest(analysis(spark, d).features, 5, ["doc_id"]), "frequency")
+
+
+@query(
+    "q_novel_words",
+    """SELECT doc_id, i, lower, coalesce(i - greatest(by_lemma, CASE WHEN is_pronoun THEN by_person END) > 50, true) AS is_new FROM (
+       SELECT *, max(i) OVER (PARTITION BY doc_id, lemma ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS by_lemma, max(i) OVER (PARTITION BY doc_id, person ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS by_person FROM f2 WHERE is_entity) WHERE i >= 50""",
+)
+def _(spark, d):
+    return analysis(spark, d).features.filter("is_new is not null").select("doc_id", "i", "lower", "is_new")
+
+
+@query("q_payload")
+def _(spark, d):
+    return analysis(spark, d).payload()
+
+
+@query("q_detailed", "SELECT doc_id, sent_idx, sent_length, finite_verbs, humans, has_passive, round(score, 6) AS score, level, coalesce(n, 0) AS new_words FROM sent LEFT JOIN (SELECT doc_id, sent_idx, count(*) AS n FROM (SELECT *, max(i) OVER (PARTITION BY doc_id, lemma ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, max(i) OVER (PARTITION BY doc_id, person ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM f2 WHERE is_entity) WHERE i >= 50 AND coalesce(i - greatest(a, CASE WHEN is_pronoun THEN b END) > 50, true) GROUP BY 1, 2) USING (doc_id, sent_idx)")
+def _(spark, d):
+    a = analysis(spark, d)
+    new = a.features.filter("is_new").groupBy("doc_id", "sent_idx").agg(F.count("*").alias("new_words"))
+    s = a.sentences.select("doc_id", "sent_idx", "sent_length", "finite_verbs", "humans", "has_passive", "score", "level").join(new, ["doc_id", "sent_idx"], "left")
+    return r6(s.withColumn("new_words", F.coalesce("new_words", F.lit(0))), "score")
+
+
+# --- detectors and plans --------------------------------------------------------------------------------------------
+
+
+@query("q_triggers", "SELECT doc_id, sent_idx, ord, type, i, word, round(value, 6) AS value, round(threshold, 6) AS threshold FROM trig")
+def _(spark, d):
+    return r6(analysis(spark, d).triggers(), "value", "threshold")
+
+
+@query("q_family_frequency", "SELECT lower, lemma, pos, round(family, 6) AS family FROM family")
+def _(spark, d):
+    a = analysis(spark, d)
+    return r6(triggers.family_frequency(a.features.filter(F.col("frequency") < K.THRESHOLDS["word_frequency"]), a.lexicons), "family")
+
+
+@query(
+    "q_enumeration_conj",
+    """SELECT doc_id, sent_idx, items, span FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY items DESC, base) AS r FROM (
+       SELECT doc_id, sent_idx, base, count(*) AS items, max(i) - min(i) + 1 AS span, bool_or(pos IN ('VERB', 'AUX') AND contains(tag, 'pv')) AS finite FROM based GROUP BY 1, 2, 3) WHERE items >= 2 AND span >= 3 AND NOT finite) WHERE r = 1""",
+)
+def _(spark, d):
+    return triggers.enumeration_conj(analysis(spark, d).tokens, items=2, span=3)
+
+
+@query(
+    "q_enumeration_infinitive",
+    """SELECT doc_id, sent_idx, count(*) AS items, max(i) - min(i) + 1 AS span FROM (SELECT *, lead(lower, 1) OVER w AS a, lead(lower, 2) OVER w AS b, lead(lower, 3) OVER w AS c, lead(pos, 1) OVER w AS p FROM tok WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY i))
+       WHERE lower = 'het' AND ((suffix(a, 'en') AND length(a) >= 4 AND b = 'van') OR (p IN ('ADJ', 'ADV') AND suffix(b, 'en') AND length(b) >= 4 AND c = 'van')) GROUP BY 1, 2 HAVING count(*) >= 1""",
+)
+def _(spark, d):
+    return triggers.enumeration_infinitive(analysis(spark, d).tokens, least=1)
+
+
+@query(
+    "q_enumeration_commas",
+    """SELECT p.doc_id, p.sent_idx, count(*) + 1 AS items, any_value(e.hi) - any_value(e.lo) + 1 AS span FROM (
+         SELECT doc_id, sent_idx, part, bool_or(pos IN ('VERB', 'AUX')) AS verb FROM (SELECT *, sum(CASE WHEN turn THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS part FROM (
+           SELECT *, lower IN (',', 'en', 'of') AS turn FROM (SELECT *, sum(CASE WHEN lower = ',' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS commas FROM tok) WHERE commas > 0)) WHERE NOT is_punct AND lower NOT IN ('en', 'of') GROUP BY 1, 2, 3) p
+       JOIN (SELECT doc_id, sent_idx, min(i) FILTER (lower IN (',', 'en', 'of')) AS lo, arg_max(lower, i) FILTER (lower IN (',', 'en', 'of')) AS last, max(i) AS hi FROM (SELECT *, sum(CASE WHEN lower = ',' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS commas FROM tok) WHERE commas > 0 GROUP BY 1, 2) e USING (doc_id, sent_idx)
+       GROUP BY 1, 2 HAVING any_value(e.last) IN ('en', 'of') AND NOT bool_or(verb) AND count(*) + 1 >= 3 AND any_value(e.hi) - any_value(e.lo) + 1 >= 12""",
+)
+def _(spark, d):
+    return triggers.enumeration_commas(analysis(spark, d).tokens)
+
+
+@query("q_round_robin_plan", "SELECT doc_id, sent_idx, type, i, round, pick FROM dealt WHERE pick <= 10")
+def _(spark, d):
+    return planner.prioritise(analysis(spark, d).triggers(), 10).select("doc_id", "sent_idx", "type", "i", "round", "pick")
+
+
+PLAN_PARTS = """
+WITH lv AS (SELECT doc_id, sent_idx, CASE WHEN count(*) > 1 THEN 'consolidated' ELSE 'single' END AS kind, string_agg(type, ',' ORDER BY {rank}) AS types, '' AS words FROM {trig} WHERE type IN {types} GROUP BY 1, 2),
+fj AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS job_idx FROM lv) WHERE job_idx <= 12),
+us AS (SELECT doc_id, count(*) AS used FROM fj GROUP BY 1),
+wd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rnd, sent_idx) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS rnd FROM {trig} WHERE type = 'word_frequency')),
+wk AS (SELECT wd.*, coalesce(used, 0) AS used FROM wd LEFT JOIN us USING (doc_id) WHERE pick + coalesce(used, 0) <= 12)
+SELECT doc_id, CAST(job_idx AS INTEGER) AS job_idx, kind, sent_idx, types, words FROM fj
+UNION ALL SELECT doc_id, CAST(used + (pick - 1) // 8 + 1 AS INTEGER), CASE WHEN count(*) > 1 THEN 'wordfreq_bundle' ELSE 'single' END, arg_min(sent_idx, pick), 'word_frequency', string_agg(word, ',' ORDER BY pick) FROM wk GROUP BY doc_id, used, (pick - 1) // 8"""
+
+
+@query("q_consolidated_plan", "SELECT * FROM (" + PLAN_PARTS.format(rank=Q.priority("type"), types=Q.names(K.SENTENCE_LEVEL), trig="trig") + ")")
+def _(spark, d):
+    j = planner.consolidated_jobs(analysis(spark, d).triggers(), 12)
+    return j.select("doc_id", "job_idx", "kind", "sent_idx", F.array_join("types", ",").alias("types"), F.array_join("words", ",").alias("words"))
+
+
+@query("q_budget", "SELECT doc_id, CAST(least(greatest(1, round_even(words / 10, 0)), 25) AS INTEGER) AS budget FROM doc")
+def _(spark, d):
+    return analysis(spark, d).scores.select("doc_id", planner.budget(F.col("words")).alias("budget"))
+
+
+def sentence_texts(a: Analysis) -> DataFrame:
+    words = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"])
+    return a.tokens.groupBy("doc_id", "sent_idx").agg(F.array_join(words, " ").alias("sentence"))
+
+
+@query(
+    "q_spelling_chunks",
+    "SELECT doc_id, CAST(sent_idx // 25 AS INTEGER) AS chunk, string_agg((sent_idx + 1) || '. ' || sentence, chr(10) ORDER BY sent_idx) AS prompt FROM (SELECT doc_id, sent_idx, string_agg(text, ' ' ORDER BY i) AS sentence FROM tok GROUP BY 1, 2) GROUP BY 1, 2",
+)
+def _(spark, d):
+    return planner.spelling_chunks(sentence_texts(analysis(spark, d)))
+
+
+@query(
+    "q_connective_candidates",
+    f"""SELECT doc_id, sent_idx, second FROM (SELECT *, lead(sent_idx) OVER w AS second, lead(n) OVER w AS n2, lead(first_word) OVER w AS f2w, lead(last_token) OVER w AS l2 FROM (
+        SELECT doc_id, sent_idx, count(*) FILTER (NOT is_punct) AS n, arg_min(lower, i) AS first_word, arg_max(lower, i) AS last_token FROM tok GROUP BY 1, 2) WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx))
+        WHERE second = sent_idx + 1 AND n >= 4 AND n2 >= 4 AND last_token <> '?' AND l2 <> '?' AND f2w NOT IN {Q.names(K.CONNECTIVES)}""",
+)
+def _(spark, d):
+    t = analysis(spark, d).tokens.groupBy("doc_id", "sent_idx").agg(aggregate.count_if(~F.col("is_punct")).alias("sent_length"), F.min_by("lower", "i").alias("first_word"), F.max_by("lower", "i").alias("last_token"))
+    return planner.connective_candidates(t, []).select("doc_id", "sent_idx", "second")
+
+
+# --- spelling and guards --------------------------------------------------------------------------------------------
+
+
+@query("q_unknown_words", "SELECT DISTINCT lower AS word FROM f2 WHERE is_content_plain AND is_alpha AND length(lower) BETWEEN 3 AND 14 AND lower NOT IN (SELECT word FROM word_freq)")
+def _(spark, d):
+    a = analysis(spark, d)
+    return spelling.unknown_words(a.features, a.lexicons.dictionary)
+
+
+# DuckDB's distance counts bytes, so letters with accents are given one-byte names first.
+ACCENTS = "áàäâãåéèëêíìïîóòöôõúùüûçñß"
+ONE_BYTE = "translate({0}, '" + ACCENTS + "', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[: len(ACCENTS)] + "')"
+FAR = f"levenshtein({ONE_BYTE.format('u.word')}, {ONE_BYTE.format('w.word')})"
+NEAR = f"SELECT u.word, w.word AS candidate, CAST({FAR} AS INTEGER) AS distance, w.word_count FROM (SELECT DISTINCT lower AS word FROM f2 WHERE is_content_plain AND is_alpha AND length(lower) BETWEEN 3 AND 14 AND lower NOT IN (SELECT word FROM word_freq)) u JOIN word_freq w ON abs(length(u.word) - length(w.word)) <= 2 AND {FAR} BETWEEN 1 AND 2"
+
+
+@query("q_spelling_candidates", f"SELECT word, candidate, distance FROM ({NEAR})")
+def _(spark, d):
+    a = analysis(spark, d)
+    return spelling.candidates(spelling.unknown_words(a.features, a.lexicons.dictionary), a.lexicons.frequency).select("word", "candidate", F.col("distance").cast("int").alias("distance"))
+
+
+PREFIX = "coalesce(list_max([k FOR k IN range(0, least(length({a}), length({b})) + 1) IF left({a}, k) = left({b}, k)]), 0)"
+
+
+@query(
+    "q_best_corrections",
+    f"SELECT word, candidate, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, word_count DESC, candidate) AS r FROM (SELECT *, {PREFIX.format(a='word', b='candidate')} AS p FROM ({NEAR})) WHERE p >= greatest(3, least(length(word), length(candidate)) - 2) OR (length(word) <= 4 AND length(candidate) <= 4)) WHERE r = 1",
+)
+def _(spark, d):
+    a = analysis(spark, d)
+    return spelling.best_corrections(spelling.unknown_words(a.features, a.lexicons.dictionary), a.lexicons.frequency).select("word", "candidate", F.col("distance").cast("int").alias("distance"))
+
+
+SWAPS = "(SELECT DISTINCT suggestion_id, lower(word) AS word, lower(replacement_word) AS replacement FROM suggestions WHERE word IS NOT NULL AND replacement_word IS NOT NULL)"
+
+
+def swaps(spark, d) -> DataFrame:
+    s = table(spark, d, "suggestions").filter("word is not null and replacement_word is not null")
+    return s.select("suggestion_id", F.lower("word").alias("word"), F.lower("replacement_word").alias("replacement")).distinct()
+
+
+@query("q_same_family", f"SELECT suggestion_id, word, replacement, p >= 5 AND length(word) - p <= 3 AND length(replacement) - p <= 3 AS same_family FROM (SELECT *, {PREFIX.format(a='word', b='replacement')} AS p FROM {SWAPS})")
+def _(spark, d):
+    return swaps(spark, d).select("*", G.same_family(F.col("word"), F.col("replacement")).alias("same_family"))
+
+
+@query("q_frequency_band", f"SELECT s.suggestion_id, s.word, s.replacement, round_even(coalesce(r.word_count, {K.MISSING_FREQUENCY}), 0) > round_even(coalesce(w.word_count, {K.MISSING_FREQUENCY}), 0) AS higher FROM {SWAPS} s LEFT JOIN word_freq w ON w.word = s.word LEFT JOIN word_freq r ON r.word = s.replacement")
+def _(spark, d):
+    f = table(spark, d, "word_freq")
+    w, r = f.select("word", F.col("word_count").alias("fw")), f.select(F.col("word").alias("replacement"), F.col("word_count").alias("fr"))
+    miss = F.lit(K.MISSING_FREQUENCY)
+    return swaps(spark, d).join(w, "word", "left").join(r, "replacement", "left").select("suggestion_id", "word", "replacement", G.higher_band(F.coalesce("fr", miss), F.coalesce("fw", miss)).alias("higher"))
+
+
+PAIRS_SQL = "(SELECT DISTINCT suggestion_id, original_text AS o, suggested_text AS r FROM suggestions WHERE original_text IS NOT NULL)"
+TRIMMED = "regexp_replace(lower(trim(regexp_replace({0}, '" + T.SPACE + r"', ' ', 'g'), ' ')), '[\s.!?…\"'']+$', '')"
+NOOP = f"{TRIMMED.format('o')} = {TRIMMED.format('r')}"
+URLS = "[regexp_replace(u, '[.,;:!?)]+$', '') FOR u IN regexp_extract_all(o, '" + T.URL.replace("'", "''") + "')]"
+URL_LOST = f"len([u FOR u IN {URLS} IF NOT contains(r, u)]) > 0"
+CONJ_LOST = " OR ".join(f"(contains(lower(o), ', {w} ') AND NOT contains(lower(r), '{w} '))" for w in ("maar", "want", "dus"))
+
+
+def pairs(spark, d) -> DataFrame:
+    return table(spark, d, "suggestions").filter("original_text is not null").select("suggestion_id", F.col("original_text").alias("o"), F.col("suggested_text").alias("r")).distinct()
+
+
+@query("q_noop", f"SELECT suggestion_id, {NOOP} AS noop FROM {PAIRS_SQL} WHERE r IS NOT NULL")
+def _(spark, d):
+    return pairs(spark, d).filter("r is not null").select("suggestion_id", G.is_noop(F.col("o"), F.col("r")).alias("noop"))
+
+
+@query("q_url_preserved", f"SELECT suggestion_id, NOT ({URL_LOST}) AS kept FROM {PAIRS_SQL} WHERE r IS NOT NULL")
+def _(spark, d):
+    return pairs(spark, d).filter("r is not null").select("suggestion_id", (~G.alters_url(F.col("o"), F.col("r"))).alias("kept"))
+
+
+@query("q_clause_conj", f"SELECT suggestion_id, {CONJ_LOST} AS broken FROM {PAIRS_SQL} WHERE r IS NOT NULL")
+def _(spark, d):
+    return pairs(spark, d).filter("r is not null").select("suggestion_id", G.breaks_conjunction(F.col("o"), F.col("r")).alias("broken"))
+
+
+@query("q_first_failure", f"SELECT suggestion_id, CASE WHEN r IS NULL OR trim(r, ' ') = '' THEN 'empty' WHEN {NOOP} THEN 'noop' WHEN {URL_LOST} THEN 'url' WHEN {CONJ_LOST} THEN 'conjunction' END AS failure FROM {PAIRS_SQL}")
+def _(spark, d):
+    return pairs(spark, d).select("suggestion_id", G.first_failure(F.col("o"), F.col("r")).alias("failure"))
+
+
+WORDS_OF = "[x FOR x IN [regexp_replace(x, '^[^0-9A-Za-zÀ-ſ]+|[^0-9A-Za-zÀ-ſ]+$', '', 'g') FOR x IN string_split({0}, ' ')] IF x <> '']"
+
+
+@query("q_new_words", f"SELECT suggestion_id, w AS word FROM (SELECT DISTINCT suggestion_id, unnest([x FOR x IN {WORDS_OF.format('r')} IF NOT list_contains({WORDS_OF.format('o')}, x)]) AS w FROM {PAIRS_SQL} WHERE r IS NOT NULL) WHERE length(w) >= 3 AND regexp_matches(w, '^\\p{{Ll}}+$') AND w NOT IN (SELECT word FROM word_freq)")
+def _(spark, d):
+    p = pairs(spark, d).filter("r is not null").select("suggestion_id", F.explode(F.array_except(T.bare_words(F.col("r")), T.bare_words(F.col("o")))).alias("word"))
+    known = table(spark, d, "word_freq").select("word")
+    return p.filter((F.length("word") >= 3) & F.col("word").rlike(r"^\p{Ll}+$")).distinct().join(known, "word", "left_anti").select("suggestion_id", "word")
+
+
+# --- answers of models ----------------------------------------------------------------------------------------------
+
+
+@query("q_without_thinking", r"SELECT DISTINCT response_id, trim(regexp_replace(content, '(?s)<think>.*?</think>', '', 'g'), ' ') AS content FROM llm_responses WHERE content IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "llm_responses").filter("content is not null").select("response_id", T.strip_thinking(F.col("content")).alias("content")).distinct()
+
+
+@query("q_response_fields")
+def _(spark, d):
+    r = table(spark, d, "llm_responses").dropDuplicates(["response_id"])
+    return rewrite.parsed(r, "response_id", "content").withColumn("fields", F.to_json("fields"))
+
+
+@query("q_response_blocks")
+def _(spark, d):
+    r = table(spark, d, "llm_responses").dropDuplicates(["response_id"])
+    return rewrite.parsed(r, "response_id", "content", "WOORD").withColumn("fields", F.to_json("fields"))
+
+
+@query("q_prompts")
+def _(spark, d):
+    a = analysis(spark, d)
+    return rewrite.prompts(a.triggers().join(sentence_texts(a), ["doc_id", "sent_idx"])).select("doc_id", "sent_idx", "type", "i", "prompt")
+
+
+# --- editing --------------------------------------------------------------------------------------------------------
+
+# Suggestions made from the first twelve dealt problems: every third is accepted, every fourth ignored.
+MADE = "SELECT doc_id, sent_idx, type, pick, CASE WHEN pick % 3 = 0 THEN 'accepted' WHEN pick % 4 = 0 THEN 'ignored' ELSE 'pending' END AS state, CASE WHEN type = 'word_frequency' THEN i // 4 ELSE sent_idx * 1000000 END AS unit FROM dealt WHERE pick <= 12"
+
+
+def made(spark, d) -> DataFrame:
+    p = planner.prioritise(analysis(spark, d).triggers(), 12)
+    state = F.when(F.col("pick") % 3 == 0, "accepted").when(F.col("pick") % 4 == 0, "ignored").otherwise("pending")
+    unit = F.when(F.col("type") == "word_frequency", F.floor(F.col("i") / 4)).otherwise(F.col("sent_idx") * 1000000).cast("int")
+    return p.select("doc_id", "sent_idx", "type", "pick", state.alias("state"), unit.alias("unit"))
+
+
+@query("q_clusters", f"SELECT doc_id, sent_idx, lpad(CAST(pick AS VARCHAR), 4, '0') AS id, lpad(CAST(min(pick) OVER (PARTITION BY doc_id, sent_idx, unit) AS VARCHAR), 4, '0') AS cluster FROM ({MADE})")
+def _(spark, d):
+    m = made(spark, d).select("doc_id", "sent_idx", F.lpad(F.col("pick").cast("string"), 4, "0").alias("id"), "type", F.array("unit").alias("words"))
+    return editor.clusters(m)
+
+
+@query("q_cluster_state", f"SELECT doc_id, CAST(unit AS VARCHAR) AS cluster, CASE WHEN bool_or(state = 'accepted') THEN 'accepted' WHEN bool_and(state = 'ignored') THEN 'ignored' ELSE 'pending' END AS state FROM ({MADE}) GROUP BY 1, 2")
+def _(spark, d):
+    return editor.cluster_state(made(spark, d).select("doc_id", F.col("unit").cast("string").alias("cluster"), "state"))
+
+
+@query("q_state_counts", f"SELECT type, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'accepted') AS accepted, count(*) FILTER (state = 'ignored') AS ignored FROM ({MADE}) GROUP BY type")
+def _(spark, d):
+    return editor.state_counts(made(spark, d), ["type"])
+
+
+DIMENSIONS = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in editor.DIMENSION.items()) + " END"
+
+
+@query("q_diagnose", f"SELECT doc_id, dimension, count(DISTINCT unit) AS total, count(DISTINCT CASE WHEN state = 'pending' THEN unit END) AS remaining FROM (SELECT *, {DIMENSIONS} AS dimension FROM ({MADE})) WHERE dimension IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    return editor.diagnose(made(spark, d).select("doc_id", F.col("unit").alias("cluster"), "state", F.array("type").alias("types")))
+
+
+# As an edit, an accepted suggestion halves the longest dependency and the content words per clause; sentences in fifth place are absorbed.
+EDITED = f"""SELECT s.doc_id, s.sent_idx, s.freq_sum, s.freq_count, s.concrete, s.abstract, s.undefined, CASE WHEN a.sent_idx IS NULL THEN s.max_sdl ELSE s.max_sdl / 2.0 END AS max_sdl, CASE WHEN a.sent_idx IS NULL THEN s.content_words_per_clause ELSE s.content_words_per_clause / 2.0 END AS content_words_per_clause
+  FROM sent s LEFT JOIN (SELECT DISTINCT doc_id, sent_idx FROM ({MADE}) WHERE state = 'accepted') a USING (doc_id, sent_idx) WHERE s.sent_idx % 5 <> 4"""
+
+
+@query(
+    "q_effective_score",
+    f"SELECT doc_id, round(score, 6) AS score, {Q.level('score')} AS level FROM (SELECT o.doc_id, coalesce({Q.score('e.f', 'e.s', 'e.c', 'e.p')}, o.score) AS score FROM doc o LEFT JOIN (SELECT doc_id, sum(freq_sum) / nullif(sum(freq_count), 0) AS f, avg(max_sdl) AS s, avg(content_words_per_clause) AS c, sum(concrete) / nullif(sum(concrete) + sum(abstract) + sum(undefined), 0) AS p FROM ({EDITED}) GROUP BY doc_id) e USING (doc_id))",
+)
+def _(spark, d):
+    a = analysis(spark, d)
+    chosen = made(spark, d).filter("state = 'accepted'").select("doc_id", "sent_idx", F.col("pick").alias("rank"))
+    s = a.sentences.select("doc_id", "sent_idx", "freq_sum", "freq_count", (F.col("max_sdl") / 2).alias("max_sdl"), (F.col("content_words_per_clause") / 2).alias("content_words_per_clause"), "concrete", "abstract", "undefined")
+    base = a.sentences.withColumn("max_sdl", F.col("max_sdl").cast("double"))
+    effective = editor.effective_sentences(base, chosen.join(s, ["doc_id", "sent_idx"]), a.sentences.filter("sent_idx % 5 = 4").select("doc_id", "sent_idx"))
+    return r6(editor.effective_score(effective, a.scores), "score")
+
+
+@query(
+    "q_edited_text",
+    """SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM (
+       SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY n) AS last, max(CASE WHEN type <> 'blank' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead,
+         min(CASE WHEN type <> 'blank' THEN n END) OVER (PARTITION BY doc_id) AS first FROM kinds)
+       WHERE (type <> 'blank' OR (last <> 'blank' AND ahead IS NOT NULL)) AND n >= first GROUP BY doc_id""",
+)
+def _(spark, d):
+    return editor.edited_text(blocks.blocks(table(spark, d, "documents")).withColumn("number", F.lit(None).cast("int")))
+
+
+@query("q_word_diff")
+def _(spark, d):
+    return editor.diffs(pairs(spark, d), "suggestion_id", "o", "r")
+
+
+@query("q_enumeration_suppression", "SELECT DISTINCT suggestion_id FROM suggestions s WHERE type NOT IN ('sentence_rewrite', 'sentence_length', 'max_sdl') OR NOT EXISTS (SELECT 1 FROM suggestions e WHERE e.type = 'enumeration' AND e.request_id = s.request_id AND e.sentence_index = s.sentence_index)")
+def _(spark, d):
+    s = table(spark, d, "suggestions").select("suggestion_id", "type", F.col("request_id").alias("doc_id"), F.col("sentence_index").alias("sent_idx"))
+    return rewrite.without_enumerated(s).select("suggestion_id").distinct()
+
+
+# --- figures, evaluation, service -----------------------------------------------------------------------------------
+
+
+@query("q_noun_type_counts", "SELECT noun_class, count(*) AS n FROM f2 WHERE noun_class IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return stats.noun_counts(analysis(spark, d).features)
+
+
+@query("q_dep_histogram", "SELECT dep_length, count(*) AS n FROM dl WHERE dep_length > 0 GROUP BY 1")
+def _(spark, d):
+    return stats.dependency_histogram(analysis(spark, d).dependency_length)
+
+
+@query("q_score_quartiles", "SELECT level, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75), 6) AS q3, round(max(score), 6) AS max FROM sent WHERE score IS NOT NULL GROUP BY level")
+def _(spark, d):
+    return r6(stats.box(analysis(spark, d).sentences, "score", ["level"]), "min", "q1", "median", "q3", "max")
+
+
+@query("q_presence", "SELECT source, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn, count(*) FILTER (NOT e AND NOT p) AS tn, count(*) FILTER (e IS NULL OR p IS NULL) AS unlabelled, round(count(*) FILTER (e AND p) / nullif(count(*) FILTER (p AND e IS NOT NULL), 0), 6) AS precision, round(count(*) FILTER (e AND p) / nullif(count(*) FILTER (e AND p IS NOT NULL), 0), 6) AS recall FROM (SELECT source, should_suggest AS e, length(text) > 400 AS p FROM corpus) GROUP BY source")
+def _(spark, d):
+    return stats.presence(table(spark, d, "corpus").select("source", F.col("should_suggest").alias("expected"), (F.length("text") > 400).alias("produced")), ["source"])
+
+
+@query("q_phenomena", "SELECT phenomenon, count(*) AS items, count(*) FILTER (should_suggest) AS positive FROM (SELECT should_suggest, unnest(phenomena) AS phenomenon FROM corpus) GROUP BY 1")
+def _(spark, d):
+    return eval_items.phenomena(table(spark, d, "corpus"))
+
+
+WORDLIST = "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM {0})"
+
+
+@query("q_vocab_audit", f"SELECT word FROM {WORDLIST.format('heldout_items')} WHERE length(word) >= 5 INTERSECT SELECT word FROM {WORDLIST.format('corpus')} WHERE length(word) >= 5")
+def _(spark, d):
+    words = lambda n: table(spark, d, n).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    return stats.shared_vocabulary(words("heldout_items"), words("corpus"))
+
+
+@query("q_language_gate", "SELECT doc_id, coalesce(left(lower(lang), 2) IN ('nl', 'du'), true) OR length(trim(text, ' ')) < 25 AS passes FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return results.language_gate(table(spark, d, "documents").filter("text is not null")).select("doc_id", "passes")
+
+
+@query("q_content_key", "SELECT doc_id, sha256('1' || ',' || 'none' || ',' || coalesce(format, '') || ',' || '' || ',' || text) AS key FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", results.content_key("1", "none", F.col("format"), F.lit(""), F.col("text")).alias("key"))
+
+
+@query("q_cache_misses", "SELECT min(doc_id) AS doc_id, key FROM (SELECT doc_id, sha256('1' || ',' || 'none' || ',' || coalesce(format, '') || ',' || '' || ',' || text) AS key FROM documents WHERE text IS NOT NULL) WHERE key NOT IN (SELECT sha256('1' || ',' || 'none' || ',' || coalesce(format, '') || ',' || '' || ',' || text) FROM documents WHERE text IS NOT NULL AND source = 'nieuws') GROUP BY key")
+def _(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "source", results.content_key("1", "none", F.col("format"), F.lit(""), F.col("text")).alias("key"))
+    return results.misses(docs, docs.filter("source = 'nieuws'"), "doc_id")
+
+
+@query("q_valid_requests", "SELECT DISTINCT request_id, length(text) BETWEEN 10 AND 20000 AND (max_suggestions IS NULL OR max_suggestions BETWEEN 1 AND 50) AND coalesce(lower(format) IN ('text', 'markdown', 'md'), true) AS valid FROM analyze_requests WHERE text IS NOT NULL")
+def _(spark, d):
+    return results.validated(table(spark, d, "analyze_requests").filter("text is not null")).select("request_id", "valid").distinct()
+
+
+@query("q_suggestion_tally", "SELECT type, count(DISTINCT suggestion_id) FILTER (lower(model) = 'polder-70b') AS polder, count(DISTINCT suggestion_id) FILTER (lower(model) = 'klein-taal-8b') AS klein, count(DISTINCT suggestion_id) AS every FROM suggestions GROUP BY type")
+def _(spark, d):
+    s = table(spark, d, "suggestions")
+    n = lambda m: F.countDistinct(F.when(F.lower("model") == m, F.col("suggestion_id")))
+    return s.groupBy("type").agg(n("polder-70b").alias("polder"), n("klein-taal-8b").alias("klein"), F.countDistinct("suggestion_id").alias("every"))
+
+
+@query("q_request_levels", "SELECT request_id, round(avg(lint_score), 6) AS mean_score, mode(difficulty_level) IS NOT NULL AS graded, count(*) AS sentences FROM (SELECT DISTINCT ON (request_id, sentence_index) * FROM sentence_analysis ORDER BY request_id, sentence_index, ingested_at DESC, lint_score, difficulty_level) GROUP BY request_id")
+def _(spark, d):
+    return results.request_levels(table(spark, d, "sentence_analysis"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

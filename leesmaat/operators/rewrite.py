@@ -1,0 +1,148 @@
+"""Calling a language model over a table of jobs, and reading what it answers."""
+
+from __future__ import annotations
+
+import re
+import time
+from collections.abc import Iterator
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ANSWER = pa.schema([("job", pa.string()), ("content", pa.string()), ("model", pa.string()), ("error", pa.string()), ("seconds", pa.float64())])
+
+
+class Completer(Protocol):
+    """A language model; built once in every Python worker by a factory that can be sent there."""
+
+    model: str
+
+    def complete(self, system: str, user: str, max_tokens: int) -> str: ...
+
+
+class Echo:
+    """A stand-in that answers with its prompt: for tests and dry runs."""
+
+    model = "echo"
+
+    def complete(self, system: str, user: str, max_tokens: int) -> str:
+        return f"VOORSTEL: {user}"
+
+
+def run_jobs(jobs: DataFrame, factory, key: str, system: str, user: str, max_tokens: int = 512, deadline: float = 300.0, on_error: str = "column") -> DataFrame:
+    """key, content, model, error, seconds of every job. A failing call gives a row with its error (on_error "column") or
+    fails the task ("raise"); once a task has waited longer than the deadline its other jobs are given up with an error."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory()
+        late = False
+        for b in batches:
+            rows = []
+            for k, s, u in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                began = time.monotonic()
+                if late:
+                    rows.append((k, None, model.model, "deadline", 0.0))
+                    continue
+                try:
+                    rows.append((k, model.complete(s or "", u or "", max_tokens), model.model, None, time.monotonic() - began))
+                except Exception as e:
+                    if on_error == "raise":
+                        raise
+                    rows.append((k, None, model.model, f"{type(e).__name__}: {e}"[:500], time.monotonic() - began))
+                late = time.monotonic() - began > deadline
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(ANSWER.types)], schema=ANSWER)
+
+    src = jobs.select(F.col(key).cast("string").alias("job"), F.col(system).alias("s"), F.col(user).alias("u"))
+    return src.mapInArrow(call, "job string, content string, model string, error string, seconds double").withColumnRenamed("job", key)
+
+
+FIELD = re.compile(r"^\s*(?:#+\s*)?(?:\*\*|__)?\s*([A-ZÀ-Þ][A-ZÀ-Þ _]*?)\s*(?:\*\*|__)?\s*:\s*(?:\*\*|__)?\s*(.*)$")
+NOTHING = re.compile(r"^\s*(?:GEEN(?:[_ ]FOUTEN)?|GEEN_WIJZIGING)\s*\.?\s*$", re.I)
+
+
+def parse_fields(content: str | None) -> dict[str, str]:
+    """Labelled lines of an answer: NAME: value, names with or without decoration, values over several lines, brackets around
+    a value dropped. Thinking parts are left out; an answer of nothing gives no fields."""
+    text = re.sub(r"(?s)<think>.*?</think>", "", content or "")
+    out: dict[str, str] = {}
+    name = None
+    for line in text.splitlines():
+        m = FIELD.match(line)
+        if m:
+            name = re.sub(r"\s+", "_", m[1].strip())
+            out[name] = m[2].strip()
+        elif name and line.strip() and line.strip() != "---":
+            out[name] = f"{out[name]} {line.strip()}".strip()
+    return {k: re.sub(r"^\[(.*)\]$", r"\1", v).strip() for k, v in out.items()}
+
+
+def parse_blocks(content: str | None, required: str) -> list[dict[str, str]]:
+    """The fields of each part between lines of dashes; parts without the required field are left out."""
+    text = re.sub(r"(?s)<think>.*?</think>", "", content or "")
+    if NOTHING.match(text):
+        return []
+    parts = (parse_fields(p) for p in re.split(r"(?m)^\s*-{3,}\s*$", text))
+    return [p for p in parts if p.get(required)]
+
+
+def parsed(answers: DataFrame, key: str, content: str, required: str | None = None) -> DataFrame:
+    """key, block, fields (map) of every answer; with `required`, one row per block that has it."""
+    schema = pa.schema([("key", pa.string()), ("block", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                found = parse_blocks(c, required) if required else [parse_fields(c)]
+                rows += [(k, n, list(f.items())) for n, f in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+
+    src = answers.select(F.col(key).cast("string").alias("key"), F.col(content).alias("c"))
+    return src.mapInArrow(run, "key string, block int, fields map<string,string>").withColumnRenamed("key", key)
+
+
+# Prompts of our own, by kind of problem; {sentence} and {issue} are filled in.
+TEMPLATES = {
+    "sentence_rewrite": "Herschrijf de zin zodat hij makkelijker leest. Houd de betekenis gelijk.\nPROBLEEM: {issue}\nZIN: {sentence}\nAntwoord met een regel VOORSTEL: en een regel TOELICHTING:.",
+    "word_frequency": "Noem een bekender woord voor '{issue}' dat in deze zin past.\nZIN: {sentence}\nAntwoord met WOORD:, VERBETERING: en REDEN:.",
+    "spelling": "Noem spelfouten in de genummerde zinnen, elk als blok met ZIN_NUMMER:, WOORD:, VERBETERING:, gescheiden door ---. Antwoord GEEN_FOUTEN als er geen zijn.\n{sentence}",
+    "connective": "Voeg de twee zinnen samen met een verbindingswoord.\n{sentence}\nAntwoord met RELATIE: (reden, gevolg of tegenstelling) en ZIN:.",
+    "enumeration": "Maak van de opsomming een lijst: een regel INLEIDING: en een regel ITEM: per punt.\nZIN: {sentence}",
+}
+
+
+def issue_text(kind, value, word):
+    """What is wrong, in words, for a prompt."""
+    return (
+        F.when(kind == "sentence_length", F.format_string("de zin heeft %d woorden", value.cast("int")))
+        .when(kind == "max_sdl", F.format_string("woorden die bij elkaar horen staan %d woorden uit elkaar", value.cast("int")))
+        .when(kind == "content_words_per_clause", F.format_string("%.1f inhoudswoorden per deelzin", value))
+        .when(kind == "abstract_nouns", F.lit("veel abstracte woorden"))
+        .when(kind == "passive", F.lit("lijdende vorm"))
+        .when(kind == "subordinate_clause", F.format_string("%d bijzinnen", value.cast("int")))
+        .when(kind == "word_frequency", word)
+        .otherwise(kind)
+    )
+
+
+def prompts(issues: DataFrame) -> DataFrame:
+    """issues (type, value, word, sentence) with `prompt`."""
+    kind = F.when(F.col("type").isin("word_frequency", "spelling", "connective", "enumeration"), F.col("type")).otherwise("sentence_rewrite")
+    text = F.lit("")
+    for k, v in TEMPLATES.items():
+        text = F.when(kind == k, F.replace(F.replace(F.lit(v), F.lit("{issue}"), F.coalesce(issue_text(F.col("type"), F.col("value"), F.col("word")), F.lit(""))), F.lit("{sentence}"), F.coalesce("sentence", F.lit("")))).otherwise(text)
+    return issues.withColumn("prompt", text)
+
+
+def without_enumerated(suggestions: DataFrame) -> DataFrame:
+    """Suggestions without full rewrites of sentences that also have an enumeration."""
+    enumerated = suggestions.filter(F.col("type") == "enumeration").select("doc_id", "sent_idx").distinct().withColumn("_e", F.lit(True))
+    j = suggestions.join(enumerated, ["doc_id", "sent_idx"], "left")
+    return j.filter(F.col("_e").isNull() | ~F.col("type").isin("sentence_rewrite", "sentence_length", "max_sdl")).drop("_e")
+
+
+def uncovered(found: DataFrame, covered: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose key isn't already covered; null keys match nothing."""
+    return found.join(covered.select(*by).distinct(), by, "left_anti")
