@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leesmaat.workspace import cut, shared_dir  # noqa: F401
+
 #: A table is only sent to every executor when it was counted to have at most this many rows.
 BROADCAST_ROWS = 200_000
 
@@ -25,25 +24,6 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir; a folder of our own only where that is unset (local tests)."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leesmaat-"))
-            current = spark.sparkContext.getCheckpointDir()
-        own = current
-    return own
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and go on from the written table, so that lost executors cost no recomputation."""
-    path = os.path.join(shared_dir(df.sparkSession), f"cut-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table whose size the caller states as a parameter; more rows than that is an error, never a silent cut."""
     rows = df.limit(limit + 1).collect()
