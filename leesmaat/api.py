@@ -32,35 +32,20 @@ class Analysis:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        """Annotated tokens with the base of their conjunct chain."""
-        return cut(syntax.conj_base(tokens.annotate(self.documents, self.annotator)), "tokens")
+        """Annotated tokens with their structure."""
+        return cut(syntax.parse(tokens.annotate(self.documents, self.annotator)), "tokens")
 
     @cached_property
     def heads(self) -> DataFrame:
-        return cut(syntax.heads(self.tokens), "heads")
-
-    @cached_property
-    def dependency_length(self) -> DataFrame:
-        return syntax.dependency_length(self.tokens, self.heads)
-
-    @cached_property
-    def subtrees(self) -> DataFrame:
-        return cut(syntax.closure(self.tokens), "subtrees")
-
-    @cached_property
-    def subordinate(self) -> DataFrame:
-        return syntax.subordinate(self.tokens, self.subtrees)
+        return syntax.heads(self.tokens)
 
     @cached_property
     def features(self) -> DataFrame:
-        f = features.novelty(features.token_features(self.tokens, self.lexicons))
-        return cut(f.join(self.dependency_length, ["doc_id", "sent_idx", "i"]), "features")
+        return cut(features.novelty(features.token_features(self.tokens, self.lexicons)), "features")
 
     @cached_property
     def sentences(self) -> DataFrame:
-        s = aggregate.sentence_features(self.features)
-        c = aggregate.clause_counts(self.tokens, self.subtrees, self.subordinate, self.features)
-        return cut(s.join(c, aggregate.SENTENCE), "sentences")
+        return cut(aggregate.sentence_features(self.features), "sentences")
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -199,17 +199,17 @@ def _(spark, d):
 
 @query("q_dep_length", "SELECT doc_id, sent_idx, i, dep_length FROM dl")
 def _(spark, d):
-    return analysis(spark, d).dependency_length
+    return analysis(spark, d).tokens.select("doc_id", "sent_idx", "i", "dep_length")
 
 
 @query("q_subtree_size", "SELECT doc_id, sent_idx, anc, count(*) AS size FROM up GROUP BY doc_id, sent_idx, anc")
 def _(spark, d):
-    return analysis(spark, d).subtrees.groupBy("doc_id", "sent_idx", "anc").agg(F.count("*").alias("size"))
+    return analysis(spark, d).tokens.select("doc_id", "sent_idx", F.col("i").alias("anc"), F.col("subtree_size").alias("size"))
 
 
 @query("q_subordinate", "SELECT doc_id, sent_idx, i FROM sub")
 def _(spark, d):
-    return analysis(spark, d).subordinate
+    return analysis(spark, d).tokens.filter(aggregate.opens_subordinate()).select("doc_id", "sent_idx", "i")
 
 
 @query(
@@ -219,8 +219,7 @@ def _(spark, d):
        JOIN tok t ON t.doc_id = a.doc_id AND t.sent_idx = a.sent_idx AND t.i BETWEEN a.first AND a.last GROUP BY 1, 2, 3, 4, 5""",
 )
 def _(spark, d):
-    a = analysis(spark, d)
-    return aggregate.passive_spans(a.features, a.heads)
+    return aggregate.passive_spans(analysis(spark, d).features)
 
 
 # --- sentences and documents ----------------------------------------------------------------------------------------
@@ -603,7 +602,7 @@ def _(spark, d):
 
 @query("q_dep_histogram", "SELECT dep_length, count(*) AS n FROM dl WHERE dep_length > 0 GROUP BY 1")
 def _(spark, d):
-    return stats.dependency_histogram(analysis(spark, d).dependency_length)
+    return stats.dependency_histogram(analysis(spark, d).tokens)
 
 
 @query("q_score_quartiles", "SELECT level, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75), 6) AS q3, round(max(score), 6) AS max FROM sent WHERE score IS NOT NULL GROUP BY level")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leesmaat import constants as K
 from leesmaat.functions import score as S
 
 SENTENCE = ["doc_id", "sent_idx"]
@@ -14,6 +15,11 @@ def count_if(c: Column) -> Column:
     return F.count(F.when(c, 1))
 
 
+def opens_subordinate() -> Column:
+    """Whether a token opens a subordinate clause: its chain's base has such a label and its subtree holds a verb."""
+    return F.col("base_dep").isin(*K.SUBORDINATE) & (F.col("subtree_verbs") > 0)
+
+
 def ordered(value: str, where: Column) -> Column:
     """Values of the rows that meet a condition, in text order."""
     return F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("i", value)))), lambda x: x[value])
@@ -37,6 +43,9 @@ def sentence_features(tokens: DataFrame) -> DataFrame:
         count_if(F.col("is_human")).alias("humans"),
         count_if(F.col("dep") == "obl:agent").alias("agents"),
         count_if(F.col("is_alpha")).alias("alpha_words"),
+        count_if(opens_subordinate()).alias("subordinate_clauses"),
+        # conjuncts in a modifier's subtree count again
+        F.coalesce(F.sum(F.when(F.col("is_modifier"), F.col("subtree_conj"))), F.lit(0)).alias("_inner"),
     )
     clauses = F.greatest(F.col("finite_verbs"), F.lit(1))
     classed = F.col("concrete") + F.col("abstract") + F.col("undefined")
@@ -48,7 +57,8 @@ def sentence_features(tokens: DataFrame) -> DataFrame:
         F.when(classed > 0, F.col("concrete") / classed).alias("proportion_of_concrete_nouns"),
         (F.col("sent_length") / clauses).alias("mean_clause_length"),
         (F.col("constituents") / clauses).alias("constituents_per_clause"),
-    ).drop("_sdl")
+        ((F.col("modifiers") + F.col("_inner")) / clauses).alias("modifiers_per_clause"),
+    ).drop("_sdl", "_inner")
     return with_score(a, "mean_log_word_frequency", "max_sdl", "content_words_per_clause", "proportion_of_concrete_nouns")
 
 
@@ -80,22 +90,9 @@ def sentence_lists(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(*SENTENCE).agg(*[ordered("lower", c).alias(k) for k, c in lists.items()])
 
 
-def clause_counts(based: DataFrame, pairs: DataFrame, subordinate: DataFrame, features: DataFrame) -> DataFrame:
-    """Per sentence: subordinate clauses, and modifiers per clause, conjuncts inside a modifier's subtree counting again."""
-    sub = subordinate.groupBy(*SENTENCE).agg(F.count("*").alias("subordinate_clauses"))
-    mods = features.filter("is_modifier").select(*SENTENCE, F.col("i").alias("anc"))
-    conj = based.filter(F.col("dep") == "conj").select(*SENTENCE, "i")
-    extra = pairs.join(mods, [*SENTENCE, "anc"]).join(conj, [*SENTENCE, "i"], "left_semi").groupBy(*SENTENCE).agg(F.count("*").alias("_extra"))
-    base = features.groupBy(*SENTENCE).agg(count_if(F.col("is_modifier")).alias("_m"), count_if(F.col("is_finite")).alias("_f"))
-    j = base.join(sub, SENTENCE, "left").join(extra, SENTENCE, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return j.select(*SENTENCE, zero("subordinate_clauses").alias("subordinate_clauses"), ((F.col("_m") + zero("_extra")) / F.greatest("_f", F.lit(1))).alias("modifiers_per_clause"))
-
-
-def passive_spans(tokens: DataFrame, head_rows: DataFrame) -> DataFrame:
+def passive_spans(tokens: DataFrame) -> DataFrame:
     """doc_id, sent_idx, i, first, last, span: the words from a passive auxiliary to its heads, whichever way they lie."""
-    aux = tokens.filter("is_passive_aux").select(*SENTENCE, "i")
-    ends = head_rows.join(aux, [*SENTENCE, "i"], "left_semi").groupBy(*SENTENCE, "i").agg(F.least(F.min("head"), F.first("i")).alias("first"), F.greatest(F.max("head"), F.first("i")).alias("last"))
-    inner = tokens.select(*SENTENCE, F.col("i").alias("at"), "text").join(ends, SENTENCE).filter(F.col("at").between(F.col("first"), F.col("last")))
+    aux = tokens.filter("is_passive_aux").select(*SENTENCE, "i", F.least(F.array_min("heads"), "i").alias("first"), F.greatest(F.array_max("heads"), "i").alias("last"))
+    inner = tokens.select(*SENTENCE, F.col("i").alias("at"), "text").join(aux, SENTENCE).filter(F.col("at").between(F.col("first"), F.col("last")))
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ")
     return inner.groupBy(*SENTENCE, "i", "first", "last").agg(words.alias("span"))

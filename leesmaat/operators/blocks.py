@@ -11,13 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leesmaat.functions import text as T
+from leesmaat.workspace import by_document
 
 HEADING_MOST = 100  # a longer line without closing mark is still prose
 
 
 def lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n, line: the lines of every text, trimmed, blanks collapsed; null texts have none."""
-    src = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).repartition("doc_id")
+    src = by_document(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()))
     split = F.split(F.regexp_replace("_t", r"\r\n?", "\n"), "\n")
     return src.select("doc_id", F.posexplode(split).alias("n", "line")).select("doc_id", "n", F.trim(F.regexp_replace("line", r"[ \t]+", " ")).alias("line"))
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leesmaat import constants as K
 from leesmaat.sources.lexicons import Lexicons
+from leesmaat.workspace import by_document
 
 
 def is_noun() -> Column:
@@ -60,8 +62,7 @@ def novelty(features: DataFrame, scope: str = "document") -> DataFrame:
 
     The last earlier entity with the same key decides, so one ordered pass per key replaces a search per word. scope
     "block" takes positions as they are within a parsed block (column block_i)."""
-    from pyspark.sql import Window as W
-
+    features = by_document(features)  # both windows below find their rows together
     i = F.col("i") if scope == "document" else F.col("block_i")
     before = W.unboundedPreceding, -1
     entity = F.col("is_entity")
@@ -76,7 +77,5 @@ def novelty(features: DataFrame, scope: str = "document") -> DataFrame:
 
 def rarest(features: DataFrame, n: int, by: list[str]) -> DataFrame:
     """by, rank, i, lower, frequency of the n rarest words per sentence or document; equals by position, -1 for all."""
-    from pyspark.sql import Window as W
-
     r = features.filter(F.col("frequency").isNotNull()).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("frequency", "i")))
     return (r if n < 0 else r.filter(F.col("rank") <= n)).select(*by, "rank", "i", "lower", "frequency")

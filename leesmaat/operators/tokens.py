@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leesmaat.functions import text as T
+from leesmaat.workspace import by_document
 
 #: An annotator turns (doc_id, text) into the token schema: doc_id, sent_idx, i, text, lower, lemma, pos, tag, dep, head, ent_type, is_punct, is_alpha.
 Annotator = Callable[[DataFrame], DataFrame]
@@ -26,7 +27,7 @@ PASSIVES = ("wordt", "worden", "werd", "werden")
 def tokenize(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, i, text of every token. Documents are dealt by key before they are taken apart, so that every later step
     by document or sentence finds its rows together without moving the far larger tokens. Null texts have no tokens."""
-    dealt = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).repartition("doc_id")
+    dealt = by_document(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()))
     return dealt.select("doc_id", F.posexplode(T.tokens(F.col("_t"))).alias("i", "text"))
 
 

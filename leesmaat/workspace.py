@@ -26,3 +26,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_dir(df.sparkSession), f"cut-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Deal rows by document into as many tasks as a shuffle has. The number is given, because rows grow when they are taken
+    apart: sized by what comes in, a task could hold far too much of what comes out."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
