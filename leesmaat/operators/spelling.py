@@ -20,7 +20,7 @@ def unknown_words(features: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def candidates(words: DataFrame, frequency: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """word, candidate, distance, word_count: dictionary words within the distance, joined on shared pieces.
+    """word, candidate, distance, word_count: dictionary words within the distance, joined on shared pieces; words need more letters than the distance.
 
     Of distance + 1 pieces of a word one survives any `distance` edits, so each word is cut into that many, and a listed
     word matches that holds a piece at a place the edits allow. No pair is compared that shares none."""
