@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leesmaat.llm.common import cut, latest, table
 from leesmaat.llm.endings import evidence, judged
@@ -32,7 +33,7 @@ def hazards(values: DataFrame, source: list[str], column: str) -> DataFrame:
     return h.withColumn("expected", F.greatest(around, F.lit(0.02)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())  # a type, not its name: the module must load without a session
 def poisson_tail(n: pd.Series, expected: pd.Series) -> pd.Series:
     """P(X >= n) of a Poisson variable."""
 
