@@ -33,7 +33,7 @@ THRESHOLD = 0.5
 # Digits and signs that stand for letters.
 LEET = str.maketrans("0134579@$!", "oieastgasi")
 MIX = re.compile(r"(?<![\w.,/@-])(?=[\d@$!]*[^\W\d_][\w@$!]*[^\W\d_])(?=\w*[\d@$!])[\w@$!]*[\w](?![\w.,/@-]*@|/)")
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_]|[.\-_*·][^\W_])")
 STARS = re.compile(r"(?<![\w*])[^\W\d_]\w*\*+\w*(?![\w*])")
 REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 MASKED = "maskedword"
