@@ -315,7 +315,7 @@ def _(spark, d):
 @query(
     "q_enumeration_conj",
     """SELECT doc_id, sent_idx, items, span FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY items DESC, base) AS r FROM (
-       SELECT doc_id, sent_idx, base, count(*) AS items, max(i) - min(i) + 1 AS span, bool_or(pos IN ('VERB', 'AUX') AND contains(tag, 'pv')) AS finite FROM based GROUP BY 1, 2, 3) WHERE items >= 2 AND span >= 3 AND NOT finite) WHERE r = 1""",
+       SELECT doc_id, sent_idx, base, count(*) AS items, max(i) - min(i) + 1 AS span, bool_or(pos IN ('VERB', 'AUX') AND contains(tag, 'WW|pv')) AS finite FROM based GROUP BY 1, 2, 3) WHERE items >= 2 AND span >= 3 AND NOT finite) WHERE r = 1""",
 )
 def _(spark, d):
     return triggers.enumeration_conj(analysis(spark, d).tokens, items=2, span=3)
@@ -323,23 +323,25 @@ def _(spark, d):
 
 @query(
     "q_enumeration_infinitive",
-    """SELECT doc_id, sent_idx, count(*) AS items, max(i) - min(i) + 1 AS span FROM (SELECT *, lead(lower, 1) OVER w AS a, lead(lower, 2) OVER w AS b, lead(lower, 3) OVER w AS c, lead(pos, 1) OVER w AS p FROM tok WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY i))
-       WHERE lower = 'het' AND ((suffix(a, 'en') AND length(a) >= 4 AND b = 'van') OR (p IN ('ADJ', 'ADV') AND suffix(b, 'en') AND length(b) >= 4 AND c = 'van')) GROUP BY 1, 2 HAVING count(*) >= 1""",
+    """SELECT doc_id, sent_idx, count(*) AS items, max(spot) - min(i) + 1 AS span FROM (
+       SELECT *, CASE WHEN lead(n, 1) OVER w AND lead(v, 2) OVER w THEN i + 1 WHEN lead(m, 1) OVER w AND lead(n, 2) OVER w AND lead(v, 3) OVER w THEN i + 2 END AS spot FROM (
+         SELECT *, (pos = 'VERB' AND prefix(tag, 'WW|inf')) OR (pos = 'NOUN' AND suffix(lower, 'en')) AS n, NOT ((pos = 'VERB' AND prefix(tag, 'WW|inf')) OR (pos = 'NOUN' AND suffix(lower, 'en'))) AND (pos IN ('ADJ', 'ADV') OR (pos = 'VERB' AND regexp_matches(tag, '^WW\\|[vo]d'))) AS m, lower = 'van' AS v FROM tok)
+       WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY i)) WHERE lower = 'het' AND spot IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def _(spark, d):
-    return triggers.enumeration_infinitive(analysis(spark, d).tokens, least=1)
+    return triggers.enumeration_infinitive(analysis(spark, d).tokens, items=2, span=1)
 
 
 @query(
     "q_enumeration_commas",
-    """SELECT p.doc_id, p.sent_idx, count(*) + 1 AS items, any_value(e.hi) - any_value(e.lo) + 1 AS span FROM (
-         SELECT doc_id, sent_idx, part, bool_or(pos IN ('VERB', 'AUX')) AS verb FROM (SELECT *, sum(CASE WHEN turn THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS part FROM (
-           SELECT *, lower IN (',', 'en', 'of') AS turn FROM (SELECT *, sum(CASE WHEN lower = ',' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS commas FROM tok) WHERE commas > 0)) WHERE NOT is_punct AND lower NOT IN ('en', 'of') GROUP BY 1, 2, 3) p
-       JOIN (SELECT doc_id, sent_idx, min(i) FILTER (lower IN (',', 'en', 'of')) AS lo, arg_max(lower, i) FILTER (lower IN (',', 'en', 'of')) AS last, max(i) AS hi FROM (SELECT *, sum(CASE WHEN lower = ',' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS commas FROM tok) WHERE commas > 0 GROUP BY 1, 2) e USING (doc_id, sent_idx)
-       GROUP BY 1, 2 HAVING any_value(e.last) IN ('en', 'of') AND NOT bool_or(verb) AND count(*) + 1 >= 3 AND any_value(e.hi) - any_value(e.lo) + 1 >= 12""",
+    """SELECT doc_id, sent_idx, count(DISTINCT part) + 1 AS items, max(i) - min(f) + 1 AS span FROM (
+         SELECT *, sum(CASE WHEN text = ',' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_idx ORDER BY i) + CASE WHEN i > turn THEN 1 ELSE 0 END AS part FROM (
+           SELECT *, max(CASE WHEN i > l AND lower IN ('en', 'of') THEN i END) OVER (PARTITION BY doc_id, sent_idx) AS turn FROM (
+             SELECT *, min(CASE WHEN text = ',' THEN i END) OVER (PARTITION BY doc_id, sent_idx) AS f, max(CASE WHEN text = ',' THEN i END) OVER (PARTITION BY doc_id, sent_idx) AS l FROM tok) WHERE i > f))
+       WHERE turn IS NOT NULL AND NOT is_punct AND i <> turn GROUP BY 1, 2 HAVING NOT bool_or(pos IN ('VERB', 'AUX') AND contains(tag, 'WW|pv')) AND count(DISTINCT part) + 1 >= 2 AND max(i) - min(f) + 1 >= 3""",
 )
 def _(spark, d):
-    return triggers.enumeration_commas(analysis(spark, d).tokens)
+    return triggers.enumeration_commas(analysis(spark, d).tokens, items=2, span=3)
 
 
 @query("q_round_robin_plan", "SELECT doc_id, sent_idx, type, i, round, pick FROM dealt WHERE pick <= 10")
@@ -354,7 +356,7 @@ us AS (SELECT doc_id, count(*) AS used FROM fj GROUP BY 1),
 wd AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rnd, sent_idx) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY i) AS rnd FROM {trig} WHERE type = 'word_frequency')),
 wk AS (SELECT wd.*, coalesce(used, 0) AS used FROM wd LEFT JOIN us USING (doc_id) WHERE pick + coalesce(used, 0) <= 12)
 SELECT doc_id, CAST(job_idx AS INTEGER) AS job_idx, kind, sent_idx, types, words FROM fj
-UNION ALL SELECT doc_id, CAST(used + (pick - 1) // 8 + 1 AS INTEGER), CASE WHEN count(*) > 1 THEN 'wordfreq_bundle' ELSE 'single' END, arg_min(sent_idx, pick), 'word_frequency', string_agg(word, ',' ORDER BY pick) FROM wk GROUP BY doc_id, used, (pick - 1) // 8"""
+UNION ALL SELECT doc_id, CAST(used + (pick - 1) // 8 + 1 AS INTEGER), 'wordfreq_bundle', arg_min(sent_idx, pick), 'word_frequency', string_agg(word, ',' ORDER BY pick) FROM wk GROUP BY doc_id, used, (pick - 1) // 8"""
 
 
 @query("q_consolidated_plan", "SELECT * FROM (" + PLAN_PARTS.format(rank=Q.priority("type"), types=Q.names(K.SENTENCE_LEVEL), trig="trig") + ")")
@@ -419,7 +421,7 @@ PREFIX = "coalesce(list_max([k FOR k IN range(0, least(length({a}), length({b}))
 
 @query(
     "q_best_corrections",
-    f"SELECT word, candidate, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, word_count DESC, candidate) AS r FROM (SELECT *, {PREFIX.format(a='word', b='candidate')} AS p FROM ({NEAR})) WHERE p >= greatest(3, least(length(word), length(candidate)) - 2) OR (length(word) <= 4 AND length(candidate) <= 4)) WHERE r = 1",
+    f"SELECT word, candidate, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, word_count DESC, candidate) AS r FROM (SELECT *, {PREFIX.format(a='word', b='candidate')} AS p FROM ({NEAR})) WHERE p >= greatest(3, least(length(word), length(candidate)) - 2) OR (length(word) <= 4 AND length(candidate) <= 4) OR word_count > {K.MISSING_FREQUENCY}) WHERE r = 1",
 )
 def _(spark, d):
     a = analysis(spark, d)
@@ -450,9 +452,9 @@ def _(spark, d):
 PAIRS_SQL = "(SELECT DISTINCT suggestion_id, original_text AS o, suggested_text AS r FROM suggestions WHERE original_text IS NOT NULL)"
 TRIMMED = "regexp_replace(lower(trim(regexp_replace({0}, '" + T.SPACE + r"', ' ', 'g'), ' ')), '[\s.!?…\"'']+$', '')"
 NOOP = f"{TRIMMED.format('o')} = {TRIMMED.format('r')}"
-URLS = "[regexp_replace(u, '[.,;:!?)]+$', '') FOR u IN regexp_extract_all(o, '" + T.URL.replace("'", "''") + "')]"
+URLS = "[regexp_replace(u, '[.,;:!?)\\]]+$', '') FOR u IN regexp_extract_all(o, '" + T.URL.replace("'", "''") + "')]"
 URL_LOST = f"len([u FOR u IN {URLS} IF NOT contains(r, u)]) > 0"
-CONJ_LOST = " OR ".join(f"(contains(lower(o), ', {w} ') AND NOT contains(lower(r), '{w} '))" for w in ("maar", "want", "dus"))
+CONJ_LOST = " OR ".join(f"(contains(lower(o), ', {w} ') AND NOT contains(lower(r), ', {w} '))" for w in K.CLAUSE_CONJUNCTIONS)
 
 
 def pairs(spark, d) -> DataFrame:
@@ -482,11 +484,20 @@ def _(spark, d):
 WORDS_OF = "[x FOR x IN [regexp_replace(x, '^[^0-9A-Za-zÀ-ſ]+|[^0-9A-Za-zÀ-ſ]+$', '', 'g') FOR x IN string_split({0}, ' ')] IF x <> '']"
 
 
-@query("q_new_words", f"SELECT suggestion_id, w AS word FROM (SELECT DISTINCT suggestion_id, unnest([x FOR x IN {WORDS_OF.format('r')} IF NOT list_contains({WORDS_OF.format('o')}, x)]) AS w FROM {PAIRS_SQL} WHERE r IS NOT NULL) WHERE length(w) >= 3 AND regexp_matches(w, '^\\p{{Ll}}+$') AND w NOT IN (SELECT word FROM word_freq)")
+@query("q_new_words", f"SELECT suggestion_id, w AS word FROM (SELECT DISTINCT suggestion_id, unnest([x FOR x IN {WORDS_OF.format('r')} IF NOT list_contains([lower(y) FOR y IN {WORDS_OF.format('o')}], lower(x))]) AS w FROM {PAIRS_SQL} WHERE r IS NOT NULL) WHERE length(w) >= 3 AND regexp_matches(w, '^\\p{{L}}+$') AND NOT regexp_matches(w, '^\\p{{Lu}}') AND lower(w) NOT IN (SELECT word FROM word_freq)")
 def _(spark, d):
-    p = pairs(spark, d).filter("r is not null").select("suggestion_id", F.explode(F.array_except(T.bare_words(F.col("r")), T.bare_words(F.col("o")))).alias("word"))
-    known = table(spark, d, "word_freq").select("word")
-    return p.filter((F.length("word") >= 3) & F.col("word").rlike(r"^\p{Ll}+$")).distinct().join(known, "word", "left_anti").select("suggestion_id", "word")
+    p = pairs(spark, d).filter("r is not null").select("suggestion_id", T.bare_words(F.col("r")).alias("n"), F.transform(T.bare_words(F.col("o")), F.lower).alias("old"))
+    new = p.select("suggestion_id", F.explode(F.filter("n", lambda x: ~F.array_contains("old", F.lower(x)))).alias("word")).distinct()
+    shaped = new.filter((F.length("word") >= 3) & F.col("word").rlike(r"^\p{L}+$") & ~F.col("word").rlike(r"^\p{Lu}"))
+    known = table(spark, d, "word_freq").select(F.col("word").alias("low"))
+    return shaped.withColumn("low", F.lower("word")).join(known, "low", "left_anti").select("suggestion_id", "word")
+
+
+@query("q_replacement_band", f"SELECT s.suggestion_id, s.word, s.replacement, CASE WHEN contains(replacement, ' ') THEN length(s.word) >= {K.COMPOUND_LEAST} ELSE NOT (p >= 5 AND length(s.word) - p <= 3 AND length(s.replacement) - p <= 3) AND round_even(coalesce(r.word_count, {K.MISSING_FREQUENCY}), 0) > round_even(coalesce(w.word_count, {K.MISSING_FREQUENCY}), 0) END AS passes FROM (SELECT *, {PREFIX.format(a='word', b='replacement')} AS p FROM {SWAPS}) s LEFT JOIN word_freq w ON w.word = s.word LEFT JOIN word_freq r ON r.word = s.replacement")
+def _(spark, d):
+    f = table(spark, d, "word_freq")
+    w, r = f.select("word", F.col("word_count").alias("fw")), f.select(F.col("word").alias("replacement"), F.col("word_count").alias("fr"))
+    return swaps(spark, d).join(w, "word", "left").join(r, "replacement", "left").select("suggestion_id", "word", "replacement", G.passes_band(F.col("word"), F.col("replacement"), F.coalesce("fw", F.lit(K.MISSING_FREQUENCY)), F.col("fr")).alias("passes"))
 
 
 # --- answers of models ----------------------------------------------------------------------------------------------

@@ -34,14 +34,14 @@ THRESHOLDS = {
 }
 
 # Order in which the problems of one sentence are taken up.
-PRIORITY = ("sentence_length", "max_sdl", "subordinate_clause", "passive", "content_words_per_clause", "abstract_nouns", "word_frequency", "enumeration")
+PRIORITY = ("sentence_length", "passive", "subordinate_clause", "max_sdl", "content_words_per_clause", "abstract_nouns", "word_frequency")
 SENTENCE_LEVEL = ("max_sdl", "content_words_per_clause", "abstract_nouns", "passive", "subordinate_clause", "sentence_length")
 BUNDLE = 8
 SPELLING_CHUNK = 25
 BUDGET_WORDS, BUDGET_MOST = 10, 25
 
 # Characters that are quotation marks of some kind.
-QUOTES = "“”„‟‘’‚‛«»‹›"
+QUOTES = "«»‘’‛“”„‟‹›"
 
 # Part-of-speech classes.
 NOUNS = ("NOUN", "PROPN")
@@ -50,15 +50,28 @@ SUBORDINATE = ("acl:relcl", "advcl", "ccomp", "csubj", "acl")
 MODIFIERS = ("amod", "nummod", "nmod", "nmod:poss", "acl")
 CONSTITUENTS = ("NOUN", "PROPN", "PRON", "ADJ", "NUM", "ADV")
 
-# Indefinite pronouns that refer to people.
-PERSON_PRONOUNS = ("iedereen", "iemand", "niemand", "men", "ieder", "elkeen", "allen", "sommigen", "velen", "weinigen", "anderen", "enkelen", "beiden", "alleman", "eenieder", "menigeen")
+# Indefinite pronouns that refer to people.
+PERSON_PRONOUNS = ("iemand", "niemand", "elk", "ieder", "iedereen", "eenieder", "menigeen", "elkeen", "sommigen", "enigen", "anderen", "velen", "allen", "weinigen", "enkelen", "beiden")
 
-# Separable verb particles and endings of diminutives and inflected adjectives.
-PARTICLES = tuple("aan achter af bij binnen boven door heen in langs mee na neer om onder op over rond samen tegen terug thuis toe tussen uit vast voor voorbij vooruit voort weg weer los neder open".split())
-DIMINUTIVES = ("je", "jes", "tje", "tjes", "etje", "etjes", "pje", "pjes", "kje", "kjes", "ke", "kes")
-ADJECTIVE_ENDINGS = ("e", "er", "ere", "st", "ste")
+# Separable verb particles.
+PARTICLES = (
+    "tegen", "terug", "samen", "langs", "tussen", "achter", "binnen", "buiten", "boven", "onder", "voort", "vooruit", "verder", "door", "over", "voor", "weg",
+    "mee", "aan", "af", "op", "uit", "in", "na", "toe", "om", "bij", "neer", "open", "dicht", "vast", "los", "rond",
+)
 
-# Connectives that already link a sentence to the one before it.
-CONNECTIVES = tuple(
-    "maar want dus omdat doordat daarom daardoor echter toch bovendien ook verder daarnaast hierdoor zodat hoewel terwijl toen daarna vervolgens eerst ten tot kortom bijvoorbeeld zo namelijk immers anders".split()
-)
+# Endings of diminutives and of inflected and compared adjectives.
+DIMINUTIVES = ("netjes", "netje", "etjes", "etje", "pjes", "pje", "kjes", "kje", "tjes", "tje", "jes", "je")
+ADJECTIVE_ENDINGS = ("ere", "er", "ste", "st", "e")
+
+# Connectives that already link a sentence to the one before it.
+CONNECTIVES = (
+    "want", "omdat", "doordat", "aangezien", "zodat", "waardoor", "dus", "daarom", "hierdoor", "daardoor", "maar", "echter", "toch", "hoewel", "terwijl", "immers",
+    "namelijk", "bovendien", "daarnaast", "verder", "ook", "vervolgens", "daarna", "kortom", "derhalve", "bijgevolg", "desondanks", "niettemin", "integendeel", "sterker",
+)
+
+# Conjunctions whose clauses must stay joined, and coordinators that close a list.
+CLAUSE_CONJUNCTIONS = ("maar", "want", "dus")
+LIST_COORDINATORS = ("en", "of")
+
+# A word at least this long may be replaced by several.
+COMPOUND_LEAST = 15

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leesmaat import constants as K
 from leesmaat.functions import text as T
 
 
@@ -21,7 +22,7 @@ def alters_url(original: Column, rewrite: Column) -> Column:
 
 def breaks_conjunction(original: Column, rewrite: Column) -> Column:
     """A clause joined by a coordinating conjunction lost it."""
-    lost = [F.contains(F.lower(original), F.lit(f", {w} ")) & ~F.contains(F.lower(rewrite), F.lit(f"{w} ")) for w in ("maar", "want", "dus")]
+    lost = [F.contains(F.lower(original), F.lit(f", {w} ")) & ~F.contains(F.lower(rewrite), F.lit(f", {w} ")) for w in K.CLAUSE_CONJUNCTIONS]
     return lost[0] | lost[1] | lost[2]
 
 
@@ -37,10 +38,26 @@ def higher_band(candidate: Column, original: Column) -> Column:
 
 
 def plausible(wrong: Column, right: Column, f_wrong: Column, f_right: Column) -> Column:
-    """Whether a correction may be meant: long common start, both short, or more frequent."""
+    """Whether a correction may be meant: long common start, both short, or more frequent; unlisted words have the default
+    frequency. For a correction in several words only the frequency counts here; splits of the word itself are `split_of`."""
     p = T.common_prefix(wrong, right)
     shorter = F.least(F.length(wrong), F.length(right))
-    return (p >= F.greatest(F.lit(3), shorter - 2)) | ((F.length(wrong) <= 4) & (F.length(right) <= 4)) | F.coalesce(f_right > f_wrong, F.lit(False))
+    miss = F.lit(K.MISSING_FREQUENCY)
+    alike = (p >= F.greatest(F.lit(3), shorter - 2)) | ((F.length(wrong) <= 4) & (F.length(right) <= 4))
+    return alike & ~F.contains(right, F.lit(" ")) | (F.coalesce(f_right, miss) > F.coalesce(f_wrong, miss))
+
+
+def split_of(wrong: Column, right: Column) -> Column:
+    """Whether a correction only sets blanks into the word."""
+    return F.contains(right, F.lit(" ")) & (F.regexp_replace(right, " ", "") == wrong)
+
+
+def passes_band(word: Column, replacement: Column, f_word: Column, f_replacement: Column) -> Column:
+    """Whether a replacement for a rare word is worth it: several words only for a long compound, else a word of another
+    family in a higher band. A null replacement passes."""
+    several = F.contains(F.trim(replacement), F.lit(" "))
+    single = ~same_family(word, F.trim(replacement)) & higher_band(F.coalesce(f_replacement, F.lit(K.MISSING_FREQUENCY)), f_word)
+    return F.when(replacement.isNull() | (replacement == ""), True).when(several, F.length(word) >= K.COMPOUND_LEAST).otherwise(single)
 
 
 def first_failure(original: Column, rewrite: Column) -> Column:

@@ -9,7 +9,9 @@ from leesmaat import constants as K
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 SPACE = r"[\s   -     　]+"
-URL = r"(?:https?://|www\.)[^\s<>\"]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+# Fixed value: a web or mail address.
+URL = r"(?i:(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+\.[\w.-]+)"
+CLOSERS = r"[\"')\]”’ ]*$"
 
 
 def straight_quotes(text: Column) -> Column:
@@ -35,9 +37,10 @@ def bare_words(text: Column) -> Column:
 
 def ends_like_sentence(line: Column) -> Column:
     """Whether a line ends in a closing mark (behind quotes and brackets), holds a whole sentence, or ends in an address behind text."""
-    closed = line.rlike(r"[.!?…][\"'”’»)\]\s]*$")
-    inner = line.rlike(r"[.!?…]\s")
-    address = line.rlike(rf"\S\s+(?:{URL})\s*$")
+    bare = F.regexp_replace(line, CLOSERS, "")
+    closed = bare.rlike(r"[.!?…]$")
+    inner = (bare != "") & line.rlike(r"[.!?…]\s")
+    address = bare.rlike(rf"\S\s+{URL}$")
     return F.coalesce(closed | inner | address, F.lit(False))
 
 
@@ -49,7 +52,7 @@ def is_fragment(text: Column) -> Column:
 
 def urls(text: Column) -> Column:
     """Web and mail addresses without marks at their end."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({URL})"), 1), lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", ""))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({URL})"), 1), lambda u: F.regexp_replace(u, r"[.,;:!?)\]]+$", ""))
 
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:

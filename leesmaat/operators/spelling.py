@@ -11,6 +11,7 @@ from leesmaat.functions import text as T
 
 LONGEST = 14  # longer words are left alone
 DISTANCE = 2
+COMMON = 3.0  # frequency of a common word
 
 
 def unknown_words(features: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -58,6 +59,10 @@ def reject_reason(proposals: DataFrame, frequency: DataFrame, sentences: int | s
     f = frequency.select(F.col("word").alias("wrong"), F.col("word_count").alias("f_wrong"))
     g = frequency.select(F.col("word").alias("right"), F.col("word_count").alias("f_right"))
     p = proposals.join(f, "wrong", "left").join(g, "right", "left")
+    # a split is plausible only if every part is a common word
+    parts = p.filter(G.split_of(F.col("wrong"), F.col("right"))).select("wrong", "right", F.explode(F.split("right", " ")).alias("word")).distinct()
+    common = parts.join(frequency.select("word", "word_count"), "word", "left").groupBy("wrong", "right").agg(F.bool_and(F.coalesce("word_count", F.lit(0.0)) >= COMMON).alias("parts_common"))
+    p = p.withColumn("is_split", G.split_of(F.col("wrong"), F.col("right"))).join(common, ["wrong", "right"], "left")
     last = F.col(sentences) if isinstance(sentences, str) else F.lit(sentences)
     reason = F.coalesce(
         F.when((F.col("sent_idx") < 0) | (F.col("sent_idx") >= last), "range"),
@@ -66,6 +71,6 @@ def reject_reason(proposals: DataFrame, frequency: DataFrame, sentences: int | s
         F.when(F.instr("sentence", F.col("wrong")) == 0, "absent"),
         F.when(F.col("wrong") == F.col("right"), "no_effect"),
         F.when(F.col("f_wrong").isNotNull() & F.col("f_right").isNotNull() & (F.levenshtein("wrong", "right") > 2), "both_valid"),
-        F.when(~G.plausible(F.col("wrong"), F.col("right"), F.col("f_wrong"), F.col("f_right")), "implausible"),
+        F.when(F.col("is_split"), F.when(~F.coalesce("parts_common", F.lit(False)), "implausible")).when(~G.plausible(F.col("wrong"), F.col("right"), F.col("f_wrong"), F.col("f_right")), "implausible"),
     )
     return p.select(*proposals.columns, reason.alias("reject_reason"))

@@ -24,8 +24,8 @@ def candidate_stems():
     verb = [F.when(lemma.startswith(p) & (F.length(lemma) - len(p) >= 4), F.substring(lemma, F.lit(len(p) + 1), F.length(lemma))) for p in K.PARTICLES]
     return F.array_compact(
         F.when(F.col("pos") == "VERB", F.array(lemma, *verb))
-        .when(F.col("pos").isin(*K.NOUNS), F.array(lemma, *without_end(lemma, K.DIMINUTIVES, 3), *without_end(low, K.DIMINUTIVES, 3)))
-        .when(F.col("pos") == "ADJ", F.array(lemma, *without_end(low, K.ADJECTIVE_ENDINGS, 3)))
+        .when(F.col("pos") == "NOUN", F.array(lemma, *without_end(lemma, K.DIMINUTIVES, 3), *without_end(low, K.DIMINUTIVES, 3)))
+        .when(F.col("pos") == "ADJ", F.array(lemma, *without_end(lemma, K.ADJECTIVE_ENDINGS, 3), *without_end(low, K.ADJECTIVE_ENDINGS, 3)))
         .otherwise(F.array(lemma))
     )
 
@@ -76,31 +76,37 @@ def enumeration_conj(based: DataFrame, items: int = K.THRESHOLDS["enumeration_it
     """Enumerations as groups of conjuncts: the group with the most members of each sentence that has enough of them over
     enough words, none of them a finite verb; equals by position."""
     g = based.groupBy(*SENTENCE, "base").agg(
-        F.count("*").alias("items"), (F.max("i") - F.min("i") + 1).alias("span"), F.bool_or(F.col("pos").isin("VERB", "AUX") & F.contains("tag", F.lit("pv"))).alias("finite")
+        F.count("*").alias("items"), (F.max("i") - F.min("i") + 1).alias("span"), F.bool_or(finite()).alias("finite")
     )
     best = W.partitionBy(*SENTENCE).orderBy(F.col("items").desc(), "base")
     return g.filter((F.col("items") >= items) & (F.col("span") >= span) & ~F.col("finite")).withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*SENTENCE, "items", "span")
 
 
-def enumeration_infinitive(tokens: DataFrame, least: int = 2) -> DataFrame:
-    """Enumerations of nominalised infinitives: "het [modifier] ...en van" at least twice in a sentence."""
+def finite():
+    """A finite verb."""
+    return F.col("pos").isin("VERB", "AUX") & F.contains("tag", F.lit("WW|pv"))
+
+
+def enumeration_infinitive(tokens: DataFrame, items: int = K.THRESHOLDS["enumeration_items"], span: int = K.THRESHOLDS["enumeration_span"]) -> DataFrame:
+    """Enumerations of nominalised infinitives: "het [modifier] INFINITIVE van", twice at least; a noun in -en counts as one."""
     w = W.partitionBy(*SENTENCE).orderBy("i")
-    nxt = lambda c, k: F.lead(c, k).over(w)
-    t = tokens.withColumn("_a", nxt("lower", 1)).withColumn("_b", nxt("lower", 2)).withColumn("_c", nxt("lower", 3)).withColumn("_p", nxt("pos", 1))
-    verbal = lambda c: F.col(c).endswith("en") & (F.length(c) >= 4)
-    match = (F.col("lower") == "het") & (verbal("_a") & (F.col("_b") == "van") | F.col("_p").isin("ADJ", "ADV") & verbal("_b") & (F.col("_c") == "van"))
-    return t.filter(match).groupBy(*SENTENCE).agg(F.count("*").alias("items"), (F.max("i") - F.min("i") + 1).alias("span")).filter(F.col("items") >= least)
+    noun = (F.col("pos") == "VERB") & F.startswith("tag", F.lit("WW|inf")) | (F.col("pos") == "NOUN") & F.col("lower").endswith("en")
+    between = F.col("pos").isin("ADJ", "ADV") | (F.col("pos") == "VERB") & F.col("tag").rlike(r"^WW\|[vo]d")
+    t = tokens.withColumn("_n", noun).withColumn("_m", ~noun & between).withColumn("_v", F.col("lower") == "van")
+    nxt = lambda c, k: F.coalesce(F.lead(c, k).over(w), F.lit(False))
+    t = t.withColumn("_at", F.when(nxt("_n", 1) & nxt("_v", 2), F.col("i") + 1).when(nxt("_m", 1) & nxt("_n", 2) & nxt("_v", 3), F.col("i") + 2))
+    g = t.filter((F.col("lower") == "het") & F.col("_at").isNotNull()).groupBy(*SENTENCE).agg(F.count("*").alias("items"), (F.max("_at") - F.min("i") + 1).alias("span"))
+    return g.filter((F.col("items") >= 2) & (F.col("items") >= items) & (F.col("span") >= span))
 
 
 def enumeration_commas(tokens: DataFrame, items: int = K.THRESHOLDS["enumeration_items"], span: int = K.THRESHOLDS["enumeration_span"]) -> DataFrame:
-    """Enumerations by commas: the parts after the first comma hold no verb, and the last begins with "en" or "of"."""
-    w = W.partitionBy(*SENTENCE).orderBy("i")
-    comma = F.col("lower") == ","
-    turn = comma | F.col("lower").isin("en", "of")
-    t = tokens.withColumn("commas", F.sum(comma.cast("int")).over(w)).filter("commas > 0").withColumn("part", F.sum(turn.cast("int")).over(w))
-    parts = t.filter(~F.col("is_punct") & ~F.col("lower").isin("en", "of")).groupBy(*SENTENCE, "part").agg(F.bool_or(F.col("pos").isin("VERB", "AUX")).alias("verb"))
-    edges = t.filter(turn).groupBy(*SENTENCE).agg(F.min("i").alias("lo"), F.max_by("lower", "i").alias("last"))
-    reach = t.groupBy(*SENTENCE).agg(F.max("i").alias("hi"))
-    s = parts.groupBy(*SENTENCE).agg(F.bool_or("verb").alias("verb"), (F.count("*") + 1).alias("items"))
-    j = s.join(edges, SENTENCE).join(reach, SENTENCE)
-    return j.select(*SENTENCE, "items", (F.col("hi") - F.col("lo") + 1).alias("span"), "verb", "last").filter(F.col("last").isin("en", "of") & ~F.col("verb") & (F.col("items") >= items) & (F.col("span") >= span)).select(*SENTENCE, "items", "span")
+    """Enumerations by commas: the parts after the first comma, the last one split at its last "en" or "of", hold no finite
+    verb. The part before the first comma counts as one; the span runs from that comma to the last word."""
+    whole = W.partitionBy(*SENTENCE)
+    comma = F.col("text") == ","
+    t = tokens.withColumn("_first", F.min(F.when(comma, F.col("i"))).over(whole)).withColumn("_last", F.max(F.when(comma, F.col("i"))).over(whole))
+    t = t.filter(F.col("i") > F.col("_first")).withColumn("_turn", F.max(F.when((F.col("i") > F.col("_last")) & F.col("lower").isin(*K.LIST_COORDINATORS), F.col("i"))).over(whole))
+    part = F.sum(comma.cast("int")).over(whole.orderBy("i")) + (F.col("i") > F.col("_turn")).cast("int")
+    words = t.filter(F.col("_turn").isNotNull()).withColumn("_part", part).filter(~F.col("is_punct") & (F.col("i") != F.col("_turn")))
+    g = words.groupBy(*SENTENCE).agg((F.countDistinct("_part") + 1).alias("items"), (F.max("i") - F.min("_first") + 1).alias("span"), F.bool_or(finite()).alias("_f"))
+    return g.filter(~F.col("_f") & (F.col("items") >= items) & (F.col("span") >= span)).select(*SENTENCE, "items", "span")

@@ -58,7 +58,7 @@ def consolidated_jobs(triggers: DataFrame, cap: int | str | None) -> DataFrame:
     w = w.withColumn("pick", F.row_number().over(W.partitionBy("doc_id").orderBy("round", "sent_idx"))).join(used, "doc_id", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     w = within_cap(w, F.col("pick") + F.col("used"), cap)
     bundles = w.groupBy("doc_id", "used", F.floor((F.col("pick") - 1) / K.BUNDLE).alias("bundle")).agg(F.min_by("sent_idx", "pick").alias("sent_idx"), F.transform(F.array_sort(F.collect_list(F.struct("pick", "word"))), lambda x: x["word"]).alias("words"))
-    b = bundles.select("doc_id", (F.col("used") + F.col("bundle") + 1).cast("int").alias("job_idx"), F.when(F.size("words") > 1, "wordfreq_bundle").otherwise("single").alias("kind"), "sent_idx", F.array(F.lit("word_frequency")).alias("types"), "words")
+    b = bundles.select("doc_id", (F.col("used") + F.col("bundle") + 1).cast("int").alias("job_idx"), F.lit("wordfreq_bundle").alias("kind"), "sent_idx", F.array(F.lit("word_frequency")).alias("types"), "words")
     return first.select("doc_id", "job_idx", "kind", "sent_idx", "types", "words").unionByName(b)
 
 

@@ -30,7 +30,8 @@ def priority(x: str) -> str:
 SENT = "PARTITION BY doc_id, sent_idx ORDER BY i"
 PAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 PRON = "(contains(tag, 'VNW') AND (contains(tag, '|pers|') OR contains(tag, '|pr|') OR contains(tag, '|bez|')))"
-CLOSED = r"(regexp_matches({0}, '[.!?…][\"''”’»)\]\s]*$') OR regexp_matches({0}, '[.!?…]\s') OR regexp_matches({0}, '\S\s+(?:" + T.URL.replace("'", "''") + r")\s*$'))"
+BARE = "regexp_replace({0}, '" + T.CLOSERS.replace("'", "''") + "', '')"
+CLOSED = "(regexp_matches(" + BARE + ", '[.!?…]$') OR (" + BARE + " <> '' AND regexp_matches({0}, '[.!?…]\\s')) OR regexp_matches(" + BARE + ", '\\S\\s+" + T.URL.replace("'", "''") + "$'))"
 TH = K.THRESHOLDS
 
 PARTS: dict[str, str] = {
@@ -102,8 +103,8 @@ PARTS: dict[str, str] = {
     "doc": f"SELECT *, {level('score')} AS level FROM d1",
     "stems": f"""SELECT DISTINCT lower, lemma, pos, unnest(list_concat([lemma],
         CASE WHEN pos = 'VERB' THEN [substr(lemma, length(p) + 1) FOR p IN [{', '.join(f"'{p}'" for p in K.PARTICLES)}] IF prefix(lemma, p) AND length(lemma) - length(p) >= 4]
-             WHEN pos IN ('NOUN', 'PROPN') THEN list_concat([left(lemma, length(lemma) - length(p)) FOR p IN [{', '.join(f"'{p}'" for p in K.DIMINUTIVES)}] IF suffix(lemma, p) AND length(lemma) - length(p) >= 3], [left(lower, length(lower) - length(p)) FOR p IN [{', '.join(f"'{p}'" for p in K.DIMINUTIVES)}] IF suffix(lower, p) AND length(lower) - length(p) >= 3])
-             WHEN pos = 'ADJ' THEN [left(lower, length(lower) - length(p)) FOR p IN [{', '.join(f"'{p}'" for p in K.ADJECTIVE_ENDINGS)}] IF suffix(lower, p) AND length(lower) - length(p) >= 3] ELSE [] END)) AS stem
+             WHEN pos = 'NOUN' THEN list_concat([left(lemma, length(lemma) - length(p)) FOR p IN [{', '.join(f"'{p}'" for p in K.DIMINUTIVES)}] IF suffix(lemma, p) AND length(lemma) - length(p) >= 3], [left(lower, length(lower) - length(p)) FOR p IN [{', '.join(f"'{p}'" for p in K.DIMINUTIVES)}] IF suffix(lower, p) AND length(lower) - length(p) >= 3])
+             WHEN pos = 'ADJ' THEN list_concat([left(lemma, length(lemma) - length(p)) FOR p IN [{', '.join(f"'{p}'" for p in K.ADJECTIVE_ENDINGS)}] IF suffix(lemma, p) AND length(lemma) - length(p) >= 3], [left(lower, length(lower) - length(p)) FOR p IN [{', '.join(f"'{p}'" for p in K.ADJECTIVE_ENDINGS)}] IF suffix(lower, p) AND length(lower) - length(p) >= 3]) ELSE [] END)) AS stem
       FROM (SELECT DISTINCT lower, lemma, pos FROM f2 WHERE frequency < {TH['word_frequency']})""",
     "family": "SELECT s.lower, s.lemma, s.pos, max(w.word_count) AS family FROM stems s LEFT JOIN word_freq w ON w.word = s.stem GROUP BY 1, 2, 3",
     "trig": f"""SELECT f.doc_id, f.sent_idx, 0 AS ord, 'word_frequency' AS type, f.i, f.lower AS word, f.frequency AS value, CAST({TH['word_frequency']} AS DOUBLE) AS threshold FROM f2 f JOIN family USING (lower, lemma, pos) WHERE f.frequency < {TH['word_frequency']} AND (family IS NULL OR family < {TH['word_frequency']})

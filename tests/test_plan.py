@@ -64,7 +64,7 @@ def consolidate(rows, cap):
         words = words[: max(0, cap - len(jobs))]
         for k in range(0, len(words), K.BUNDLE):
             part = words[k : k + K.BUNDLE]
-            jobs.append(("wordfreq_bundle" if len(part) > 1 else "single", part[0][1], 1, tuple(r[5] for r in part)))
+            jobs.append(("wordfreq_bundle", part[0][1], 1, tuple(r[5] for r in part)))
         out += [(doc, n + 1, *j) for n, j in enumerate(jobs)]
     return sorted(out, key=str)
 

@@ -38,7 +38,7 @@ def test_replace_first(spark):
 
 def test_guards(spark):
     df = spark.createDataFrame(
-        [("Een zin.", "een  ZIN!", "noop"), ("Zie www.a.nl.", "Zie daar.", "url"), ("Hij kwam, maar zij niet.", "Hij kwam. Zij niet.", "conjunction"), ("Een zin.", "Iets anders.", None), ("Een zin.", " ", "empty"), ("Een zin.", None, "empty")],
+        [("Een zin.", "een  ZIN!", "noop"), ("Zie www.a.nl.", "Zie daar.", "url"), ("Hij kwam, maar zij niet.", "Hij kwam. Maar zij niet.", "conjunction"), ("Een zin.", "Iets anders.", None), ("Een zin.", " ", "empty"), ("Een zin.", None, "empty")],
         "o string, r string, want string",
     )
     assert all(r[0] == r[1] for r in df.select(G.first_failure(F.col("o"), F.col("r")), "want").collect())
