@@ -80,7 +80,7 @@ def _(spark, d):
 @query(
     "q_unwrap_gate",
     """SELECT doc_id, joinable, suspicious, joinable >= 3 AND suspicious >= greatest(2, 0.4 * joinable) AS hard_wrapped FROM (
-       SELECT doc_id, count(*) FILTER (line <> '' AND nxt <> '') AS joinable, count(*) FILTER (line <> '' AND nxt <> '' AND type = 'heading' AND regexp_matches(nxt, '^\\p{Ll}')) AS suspicious
+       SELECT doc_id, count(*) FILTER (line <> '' AND nxt <> '') AS joinable, count(*) FILTER (line <> '' AND nxt <> '' AND type = 'heading') AS suspicious
        FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS nxt FROM kinds) GROUP BY doc_id)""",
 )
 def _(spark, d):
@@ -89,16 +89,12 @@ def _(spark, d):
 
 @query(
     "q_unwrapped",
-    """SELECT doc_id, coalesce(u.text, docs.text) AS text FROM docs LEFT JOIN (
-       SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY para) AS text FROM (
-         SELECT doc_id, para, trim(string_agg(piece, '' ORDER BY n), ' ') AS p FROM (
-           SELECT doc_id, para, n, CASE WHEN w.word IS NOT NULL THEN left(line, length(line) - 1) WHEN joined IS NOT NULL THEN line ELSE line || ' ' END AS piece FROM (
-             SELECT *, CASE WHEN regexp_extract(line, '(\\p{L}+)-$', 1) <> '' AND regexp_extract(coalesce(nxt, ''), '^(\\p{Ll}\\p{L}*)', 1) <> '' THEN lower(regexp_extract(line, '(\\p{L}+)-$', 1) || regexp_extract(nxt, '^(\\p{Ll}\\p{L}*)', 1)) END AS joined FROM (
-               SELECT *, lead(line) OVER (PARTITION BY doc_id, para ORDER BY n) AS nxt FROM (
-                 SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS para FROM kinds WHERE doc_id IN (
-                   SELECT doc_id FROM (SELECT doc_id, count(*) FILTER (line <> '' AND nxt <> '') AS j, count(*) FILTER (line <> '' AND nxt <> '' AND type = 'heading' AND regexp_matches(nxt, '^\\p{Ll}')) AS s
-                     FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS nxt FROM kinds) GROUP BY doc_id) WHERE j >= 3 AND s >= greatest(2, 0.4 * j)))
-               WHERE line <> '')) x LEFT JOIN word_freq w ON w.word = x.joined) GROUP BY doc_id, para) GROUP BY doc_id) u USING (doc_id)""",
+    """WITH g AS (SELECT doc_id FROM (SELECT doc_id, count(*) FILTER (line <> '' AND nxt <> '') AS j, count(*) FILTER (line <> '' AND nxt <> '' AND type = 'heading') AS s FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS nxt FROM kinds) GROUP BY doc_id) WHERE j >= 3 AND s >= greatest(2, 0.4 * j)),
+       e AS (SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS para FROM kinds WHERE doc_id IN (SELECT doc_id FROM g)),
+       j AS (SELECT *, CASE WHEN regexp_extract(line, '(\\p{L}+)-$', 1) <> '' AND regexp_extract(coalesce(nxt, ''), '^(\\p{Ll}\\p{L}*)', 1) <> '' THEN lower(regexp_extract(line, '(\\p{L}+)-$', 1) || regexp_extract(nxt, '^(\\p{Ll}\\p{L}*)', 1)) END AS joined FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id, para ORDER BY n) AS nxt FROM e WHERE line <> '')),
+       p AS (SELECT doc_id, min(n) AS n, trim(string_agg(CASE WHEN w.word IS NOT NULL THEN left(line, length(line) - 1) WHEN joined IS NOT NULL THEN line ELSE line || ' ' END, '' ORDER BY n), ' ') AS p FROM j LEFT JOIN word_freq w ON w.word = j.joined GROUP BY doc_id, para
+         UNION ALL SELECT doc_id, n, line FROM e WHERE line = '')
+       SELECT doc_id, coalesce(u.text, docs.text) AS text FROM docs LEFT JOIN (SELECT doc_id, string_agg(p, chr(10) ORDER BY n) AS text FROM p GROUP BY doc_id) u USING (doc_id)""",
 )
 def _(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
@@ -589,7 +585,7 @@ def _(spark, d):
        WHERE (type <> 'blank' OR (last <> 'blank' AND ahead IS NOT NULL)) AND n >= first GROUP BY doc_id""",
 )
 def _(spark, d):
-    return editor.edited_text(blocks.blocks(table(spark, d, "documents")).withColumn("number", F.lit(None).cast("int")))
+    return editor.edited_text(blocks.blocks(table(spark, d, "documents")).withColumn("ordered", F.lit(False)).withColumn("number", F.lit(None).cast("int")))
 
 
 @query("q_word_diff")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leesmaat import constants as K
 from leesmaat.functions import text as T
 from leesmaat.workspace import by_document
 
@@ -39,11 +40,11 @@ def blocks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def wrapping(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, joinable, suspicious, hard_wrapped: pairs of neighbouring lines with text, those whose first doesn't end like a
-    sentence and whose second starts small, and whether they are so many that the text was wrapped by a converter."""
+    sentence, and whether they are so many that the text was wrapped by a converter."""
     w = W.partitionBy("doc_id").orderBy("n")
     t = lines(documents, key, text).withColumn("next", F.lead("line").over(w))
     pair = (F.col("line") != "") & (F.col("next") != "")
-    odd = pair & ~T.ends_like_sentence(F.col("line")) & F.col("next").rlike(r"^\p{Ll}")
+    odd = pair & ~T.ends_like_sentence(F.col("line"))
     g = t.groupBy("doc_id").agg(F.count(F.when(pair, 1)).alias("joinable"), F.count(F.when(odd, 1)).alias("suspicious"))
     return g.withColumn("hard_wrapped", (F.col("joinable") >= 3) & (F.col("suspicious") >= F.greatest(F.lit(2.0), 0.4 * F.col("joinable"))))
 
@@ -55,8 +56,8 @@ def unwrap(documents: DataFrame, dictionary: DataFrame | None = None, key: str =
     src = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     wrapped = src.join(gate, "doc_id", "left_semi")
     w = W.partitionBy("doc_id").orderBy("n")
-    t = lines(wrapped, "doc_id", "text").withColumn("para", F.sum((F.col("line") == "").cast("int")).over(w)).filter("line <> ''")
-    t = t.withColumn("next", F.lead("line").over(W.partitionBy("doc_id", "para").orderBy("n")))
+    every = lines(wrapped, "doc_id", "text").withColumn("para", F.sum((F.col("line") == "").cast("int")).over(w))
+    t = every.filter("line <> ''").withColumn("next", F.lead("line").over(W.partitionBy("doc_id", "para").orderBy("n")))
     tail, head = F.regexp_extract("line", r"(\p{L}+)-$", 1), F.regexp_extract("next", r"^(\p{Ll}\p{L}*)", 1)
     t = t.withColumn("joined", F.when((tail != "") & (head != ""), F.lower(F.concat(tail, head))))
     if dictionary is not None:
@@ -64,77 +65,101 @@ def unwrap(documents: DataFrame, dictionary: DataFrame | None = None, key: str =
     else:
         t = t.withColumn("known", F.lit(None).cast("boolean"))
     piece = F.when(F.col("known"), F.expr("left(line, length(line) - 1)")).when(F.col("joined").isNotNull(), F.col("line")).otherwise(F.concat("line", F.lit(" ")))
-    paras = t.groupBy("doc_id", "para").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("p")))), lambda x: x["p"]), "")).alias("p"))
-    texts = paras.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "p"))), lambda x: x["p"]), "\n\n").alias("text"))
+    joined = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("p")))), lambda x: x["p"]), ""))
+    paras = t.groupBy("doc_id", "para").agg(F.min("n").alias("n"), joined.alias("p")).select("doc_id", "n", "p")
+    blanks = every.filter("line = ''").select("doc_id", "n", F.col("line").alias("p"))
+    texts = paras.unionByName(blanks).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda x: x["p"]), "\n").alias("text"))
     return src.join(gate, "doc_id", "left_anti").unionByName(texts)
 
 
 BLOCK = pa.schema([("doc_id", pa.int64()), ("block_idx", pa.int32()), ("type", pa.string()), ("text", pa.string()), ("ordered", pa.bool_()), ("number", pa.int32())])
 
 
+ADDRESS_AT_END = re.compile(rf"\S\s+{T.URL}$")
+
+
+def reads_like_sentence(line: str) -> bool:
+    """The same test as ends_like_sentence, for text at hand."""
+    bare = re.sub(T.CLOSERS, "", line)
+    return bool(bare) and (bare[-1] in ".!?…" or bool(re.search(r"[.!?…]\s", line)) or bool(ADDRESS_AT_END.search(bare)))
+
+
 def _plain(s: str) -> str:
-    """Inline Markdown as plain text."""
+    """Inline Markdown as plain text with straight quotation marks."""
     s = re.sub(r"!\[([^\]]*)\]\([^)]*\)|\[([^\]]*)\]\([^)]*\)", lambda m: m[1] or m[2] or "", s)
-    return re.sub(r"\s+", " ", re.sub(r"(\*\*|__|\*|_|`)(?=\S)(.+?)(?<=\S)\1", r"\2", s)).strip()
-
-
-def markdown_blocks(text: str | None) -> Iterator[tuple[str, str, bool | None, int | None]]:
-    """(type, text, ordered, number) of a Markdown text: prose, heading, list_item, quote, blank. Fenced code, tables and rules
-    are left out; a paragraph that is all bold or no sentence is a heading."""
-    para: list[str] = []
-    kind = "prose"
-    fenced = blank = started = False
-
-    def close():
-        nonlocal para, started, blank
-        if para:
-            body = " ".join(para)
-            t = kind
-            if t == "prose" and (re.fullmatch(r"(\*\*|__).+\1", body.strip()) or not re.search(r"[.!?…][\"'”’»)\]\s*_]*$|[.!?…]\s", body)):
-                t = "heading"
-            if blank and started:
-                yield "blank", "", None, None
-            yield t, _plain(body), None, None
-            started, blank, para = True, False, []
-
-    item = None
-    for line in [*(text or "").splitlines(), ""]:
+    s = re.sub(r"(\*\*|__|\*|_|`)(?=\S)(.+?)(?<=\S)\1", r"\2", s)
+    return re.sub(r"\s+", " ", s).strip().translate({ord(q): '"' for q in K.QUOTES})
+
+
+Block = tuple[str, str, bool | None, int | None]
+
+
+def markdown_blocks(text: str | None) -> list[Block]:
+    """(type, text, ordered, number) of a Markdown text: prose, heading, list_item, quote, blank; items are numbered within
+    their list, whatever their markers say. Fenced code, tables, rules and raw HTML are left out; a paragraph that is all bold
+    or doesn't read like a sentence is a heading. Blanks stand between blocks only, one at a time."""
+    out: list[Block] = []
+    lines: list[str] = []  # of the paragraph, quote or item that is open
+    kind, place, ordered, fenced = "prose", 0, False, False
+
+    def blank() -> None:
+        if out and out[-1][0] != "blank":
+            out.append(("blank", "", None, None))
+
+    def close() -> None:
+        nonlocal lines
+        raw, lines = " ".join(lines), []
+        body = _plain(raw)
+        if not body:
+            return
+        if kind == "item":
+            out.append(("list_item", body, ordered, place))
+        elif kind == "quote":
+            out.append(("quote", body, None, None))
+        else:
+            bold = re.fullmatch(r"(\*\*|__)(?:(?!\1).)+\1", raw.strip())
+            out.append(("heading" if bold or not reads_like_sentence(body) else "prose", body, None, None))
+
+    def leave_list() -> None:
+        nonlocal place
+        if place:
+            blank()
+        place = 0
+
+    for line in (text or "").splitlines():
         s = line.strip()
         if s.startswith(("```", "~~~")):
-            yield from close()
+            close()
+            leave_list()
             fenced = not fenced
+        elif fenced or s.startswith("|") or re.fullmatch(r"(?:[-*_]\s*){3,}", s) or not lines and re.match(r"</?[a-zA-Z]", s):
             continue
-        if fenced or re.fullmatch(r"(?:[-*_]\s*){3,}", s) or s.startswith("|"):
-            continue
-        m = re.match(r"(?:[-*+]|(\d{1,9})[.)])\s+(.*)", s)
-        h = re.match(r"#{1,6}\s+(.*?)\s*#*$", s)
-        if not s:
-            yield from close()
-            if item:
-                yield item
-                item = None
-            kind, blank = "prose", True
-        elif h or m or s.startswith(">") and kind != "quote":
-            yield from close()
-            if item:
-                yield item
-                item = None
-            if blank and started:
-                yield "blank", "", None, None
-            blank = False
-            if h:
-                yield "heading", _plain(h[1]), None, None
-                started, kind = True, "prose"
-            elif m:
-                item = ("list_item", _plain(m[2]), m[1] is not None, int(m[1]) if m[1] else None)
-                started = True
-            else:
-                kind = "quote"
-                para = [s.lstrip("> ")]
-        elif item:
-            item = (item[0], f"{item[1]} {_plain(s)}", item[2], item[3])
+        elif not s:
+            close()
+            if not place:
+                blank()
+            kind = "prose"
+        elif m := re.match(r"(?:[-*+]|(\d{1,9})[.)])\s+(.*)", s):
+            close()
+            if place and ordered != (m[1] is not None):
+                leave_list()
+            kind, ordered, place, lines = "item", m[1] is not None, place + 1, [m[2]]
+        elif h := re.match(r"#{1,6}\s+(.*?)\s*#*$", s):
+            close()
+            leave_list()
+            kind = "prose"
+            if _plain(h[1]):
+                out.append(("heading", _plain(h[1]), None, None))
+        elif lines:
+            lines.append(s.lstrip("> ") if kind == "quote" else s)
         else:
-            para.append(s.lstrip("> ") if kind == "quote" else s)
+            leave_list()
+            kind = "quote" if s.startswith(">") else "prose"
+            lines = [s.lstrip("> ") if kind == "quote" else s]
+    close()
+    while out and out[-1][0] == "blank":
+        out.pop()
+    return out
 
 
 def from_markdown(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -204,9 +204,9 @@ def diagnose(suggestions: DataFrame) -> DataFrame:
 
 
 def edited_text(layout: DataFrame) -> DataFrame:
-    """doc_id, text: a document put together again, list markers and quotation signs included. layout: doc_id, block_idx, type, text, number."""
+    """doc_id, text: a document put together again, list markers and quotation signs included. layout: doc_id, block_idx, type, text, ordered, number."""
     line = (
-        F.when(F.col("type") == "list_item", F.concat(F.coalesce(F.concat(F.col("number").cast("string"), F.lit(". ")), F.lit("- ")), F.col("text")))
+        F.when(F.col("type") == "list_item", F.concat(F.when(F.col("ordered"), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- "), F.col("text")))
         .when(F.col("type") == "quote", F.concat(F.lit("> "), F.col("text")))
         .when(F.col("type") == "blank", F.lit(""))
         .otherwise(F.col("text"))

@@ -154,6 +154,8 @@ def sql(select: str) -> str:
     if not need:
         return select
     recursive = {"climb", "up"}
+    if select.lstrip().startswith("WITH "):
+        select = "," + select.lstrip()[4:]
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({PARTS[n]})" for n in PARTS if n in need) + "\n" + select
 
 

@@ -56,11 +56,11 @@ def test_blocks(spark):
 
 
 def test_unwrap(spark):
-    wrapped = "De man loopt over de brug en kijkt naar het wa-\nter dat onder hem\ndoor stroomt naar\nde zee.\n\nNog een alinea."
+    wrapped = "De man loopt over de brug en kijkt naar het wa-\nter dat onder hem\ndoor stroomt naar\nde zee.\n\n\nNog een alinea."
     df = spark.createDataFrame([(1, wrapped), (2, "Een zin.\nNog een.")], "doc_id long, text string")
     words = spark.createDataFrame([("water",)], "word string")
     out = {r[0]: r[1] for r in blocks.unwrap(df, words).collect()}
-    assert out[1] == "De man loopt over de brug en kijkt naar het water dat onder hem door stroomt naar de zee.\n\nNog een alinea."
+    assert out[1] == "De man loopt over de brug en kijkt naar het water dat onder hem door stroomt naar de zee.\n\n\nNog een alinea."
     assert out[2] == "Een zin.\nNog een."
     kept = {r[0]: r[1] for r in blocks.unwrap(df, None).collect()}
     assert "wa-ter" in kept[1]
@@ -70,8 +70,8 @@ def test_markdown():
     text = "# Kop\n\nEen **vette** zin.\nVervolg.\n\n**Tussenkop**\n\n- een\n- twee\n  vervolg\n\n3. drie\n\n> citaat\n> meer\n\n```\ncode\n```\n"
     got = [b[:2] for b in blocks.markdown_blocks(text) if b[0] != "blank"]
     assert got == [("heading", "Kop"), ("prose", "Een vette zin. Vervolg."), ("heading", "Tussenkop"), ("list_item", "een"), ("list_item", "twee vervolg"), ("list_item", "drie"), ("quote", "citaat meer")]
-    assert [b for b in blocks.markdown_blocks(text) if b[1] == "drie"] == [("list_item", "drie", True, 3)]
-    assert list(blocks.markdown_blocks(None)) == [] and list(blocks.markdown_blocks("")) == []
+    assert [b for b in blocks.markdown_blocks(text) if b[0] == "list_item"] == [("list_item", "een", False, 1), ("list_item", "twee vervolg", False, 2), ("list_item", "drie", True, 1)]
+    assert blocks.markdown_blocks(None) == blocks.markdown_blocks("") == blocks.markdown_blocks("\n\n") == []
 
 
 def test_short_sentences_join_the_next_and_never_chain(spark):
