@@ -66,6 +66,8 @@ PLAIN = frozenset(
 # Capitalised words that start names of organisations and places, not of people.
 ORGANISATION = frozenset("stichting gemeente vereniging dorpshuis buurthuis wijkcentrum bibliotheek ziekenhuis school basisschool college provincie ministerie bureau dienst afdeling bedrijf café restaurant hotel station park huis raad commissie team fonds".split())
 STREET = r"(?:straat|laan|weg|plein|singel|hof|pad|kade|gracht|dijk|steeg|plantsoen|dreef|markt|baan|erf|allee|boulevard|wal|haven|park|ring|burg|brink|veld|hoek|kamp|akker|tuin|poort|oever|zoom|hage|gaarde|meent|stede|berg|laantje|straatje|weide|waard|pas|rak|burgwal|vest|bolwerk|kolk|werf)"
+STREET_ENDS = tuple(STREET[3:-1].split("|"))
+WORD_NUMBER = re.compile(r"([^\W\d_]{3,})\s+(?=\d)")
 STREET_FIRST = r"(?:Oude|Nieuwe|Lange|Korte|Hoge|Lage|Grote|Kleine|Eerste|Tweede|Derde|Vierde|Voorste|Achterste|Noord|Zuid|Oost|West|Sint|St\.|Prins|Prinses|Koning|Koningin|Burgemeester|Burg\.|Dokter|Dr\.|Pastoor|Jan|Willem|Maria|Van|De|Het|Ds\.|Mr\.|Graaf|Hertog|Kardinaal|Professor|Prof\.)"
 
 
@@ -119,9 +121,11 @@ def rewrite(plain: Plain, pattern: re.Pattern, replace) -> Plain:
 
 
 MIXED = re.compile(r"\w*[" + "".join(HOMOGLYPHS) + r"]\w*")
+LOOKALIKE = re.compile("[" + "".join(HOMOGLYPHS) + "]")
 WIDE = re.compile(r"[０-９＠．－＋（）]+")
 INVISIBLE = re.compile("(?<=\\w)[\u00ad\u200b-\u200d\u2060\ufeff]+(?=\\w)")
 SIGN = re.compile(r"(?<=[\w\]])\s{0,2}(?:\(\s?(?:at|apenstaartje|a)\s?\)|\[\s?(?:at|apenstaartje)\s?\]|\{\s?at\s?\}|<at>|\bapenstaartje\b|\s@\s|@)\s{0,2}(?=\w)|(?<=\w)\s@(?=\w)|(?<=\w)@\s(?=\w)", re.I)
+BRACKETED = re.compile(r"[(\[{<]\s?(?:at|a)\b")
 SPOKEN_AT = re.compile(r"(?<=\w)\s(?:at|bij)\s(?=[\w-]+\s(?:dot|punt)\s)", re.I)
 DOT = re.compile(r"(?<=\w)\s{0,2}(?:\(\s?(?:dot|punt)\s?\)|\[\s?(?:dot|punt)\s?\]|\{\s?(?:dot|punt)\s?\})\s{0,2}(?=\w)", re.I)
 SPOKEN_DOT = re.compile(r"(?<=\w)\s(?:dot|punt)\s(?=[a-z]{2,})", re.I)
@@ -142,7 +146,8 @@ def plain(text: str) -> Plain:
     p = Plain(text, None, None)
     if not text.isascii():
         p = rewrite(p, INVISIBLE, lambda m: "")
-        p = rewrite(p, MIXED, _latin)
+        if LOOKALIKE.search(p.text):
+            p = rewrite(p, MIXED, _latin)
         p = rewrite(p, WIDE, lambda m: "".join(chr(ord(c) - 0xFEE0) for c in m.group()))
     p = rewrite(p, SPELLED, lambda m: "".join(DIGITS[w] for w in re.findall(r"[^\W\d_]+", m.group().lower())))
     low = p.text.lower()
@@ -151,7 +156,7 @@ def plain(text: str) -> Plain:
         p = rewrite(p, DOT, lambda m: ".")
         if "@" in p.text or "[at" in low or "(at" in low or "apenstaart" in low:
             p = rewrite(p, SPOKEN_DOT, lambda m: "." if re.search(r"(?:@|\bat\b|\bapenstaartje\b)[\s\])]{0,3}[\w.\-]*$", p.text[max(0, m.start() - 80) : m.start()], re.I) else None)
-    if "@" in p.text or "at" in low or "apenstaart" in low:
+    if "@" in p.text or "apenstaart" in low or BRACKETED.search(low):
         p = rewrite(p, SIGN, lambda m: "@")
     return p
 
@@ -180,8 +185,10 @@ NAME = re.compile(
     rf")(?![\w@])"
 )
 LOWER = r"[^\W\d_]{4,}(?:-[^\W\d_]+)*"
-NAME_ANY = re.compile(rf"(?<![\w@.'’+-])(?P<g>{'|'.join(sorted(GIVEN - {'ben'}))})\s+(?P<p>(?:(?:van|de|der|den|ter|ten)\s+){{0,3}})(?P<l>{LOWER})(?![\w@]|\.\w|\s?@)", re.I)
+NAME_ANY = re.compile(rf"(?<![\w@.'’+-])(?P<g>[^\W\d_]+)\s+(?P<p>(?:(?:van|de|der|den|ter|ten)\s+){{0,3}})(?P<l>{LOWER})(?![\w@]|\.\w|\s?@)", re.I)
 CUE_BEFORE = re.compile(rf"(?:{TITLES}|van|aan|met|over|voor|door|nam|naar|volgens)\s+$", re.I)
+LETTERS = re.compile(r"[^\W\d_]+")
+TITLE_WORD = re.compile(r"(?i)heer|dhr|mevr|mw|meneer|mijnheer|dr|ir|ing|mr|prof|fam|aanvra|cliënt|patiënt|bewoner|naam is|ik ben|ik heet|genaamd|groet|hoogachtend|attentie|t\.a\.v")
 CUED = re.compile(rf"(?i:\b{TITLES})\s+(?P<name>(?:{FIRST}\s+)?{PARTS}{LAST})(?![\w@])")
 CUED_INITIALS = re.compile(rf"(?i:\b{TITLES})\s+(?P<name>(?:[a-z]\.\s?){{1,4}}{PARTS}[a-z]{{4,}}(?:-[a-z]+)*)(?![\w@])")
 
@@ -218,16 +225,19 @@ def _names(t: str) -> list[Hit]:
         else:  # go on behind the first word
             at = m.start() + re.match(r"[\w'’-]+[.,]?", m.group()).end()
     at = 0
-    low = set(re.findall(r"[^\W\d_]+", t.lower()))
-    while not GIVEN.isdisjoint(low) and (m := NAME_ANY.search(t, at)):  # names in small letters or in capitals
-        g, last = m["g"], m["l"]
-        at = m.start("g") + len(g)
-        if g.lower() not in GIVEN or not (g.islower() or (g.isupper() and last.isupper())):
+    for word in LETTERS.finditer(t):  # names in small letters or in capitals
+        g = word.group()
+        if word.start() < at or g.lower() not in GIVEN or g == "ben" or not (m := NAME_ANY.match(t, word.start())):
+            continue
+        last = m["l"]
+        if not (g.islower() or (g.isupper() and last.isupper())):
             continue
         if last.lower().split("-")[0] in PLAIN or (g.islower() and (not last.islower() or g in ALSO_WORDS and not m["p"] and not CUE_BEFORE.search(t[max(0, m.start() - 24) : m.start()]) and not re.match(r"\s(?:en|heeft|schreef|delen|was|niet|gaat|bellen)\b|\s?[,(.]|\s*$", t[m.end() :]))):
             continue
         hits.append(Hit("person_name", m.start(), m.end()))
         at = m.end()
+    if not TITLE_WORD.search(t):
+        return hits
     for pattern in (CUED, CUED_INITIALS):
         for m in pattern.finditer(t):
             words = re.findall(r"[^\W\d_]+", m["name"])
@@ -256,7 +266,8 @@ def detect(text: str) -> list[Hit]:
         if sum(c.isdigit() for c in m.group()) >= 2 and (m.group()[0].isupper() or IDENTITY_CUE.search(t[max(0, m.start() - 40) : m.start()])) and not OTHER_CUE.search(t[max(0, m.start() - 24) : m.start()]):
             found.append(Hit("identity_number", *m.span()))
     found += [Hit("street_address", *m.span()) for m in ADDRESS.finditer(t)]
-    for m in ADDRESS_ANY.finditer(t):
+    near_number = any(m[1].lower().endswith(STREET_ENDS) for m in WORD_NUMBER.finditer(t))
+    for m in ADDRESS_ANY.finditer(t) if near_number else ():
         if m.group().upper() == m.group() or m.group().lower() == m.group():
             word = re.match(r"(?i)\s*\w+", m.group()).group().lower()
             if word in ("bij", "op", "onderweg", "halverwege") or not re.search(rf"(?i){STREET}\s+{HOUSE}$", m.group()):
