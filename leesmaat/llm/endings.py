@@ -19,8 +19,10 @@ from leesmaat.llm.sentences import ABBREVIATIONS, ENDING, UNMARKED_CHAR
 
 WORD = re.compile(r"[^\W\d_]+(?:[-'’.][^\W\d_]+)*|\d+(?:[.,:/]\d+)*")
 FULL = ".!?…。！？؟।॥"
-# a closing mark inside text; initials before a name are none
-MARKED = re.compile(r"((?!(?<![\w.])[A-Z]\.)(?:[^\W\d_]+(?:[-'’.][^\W\d_]+)*|\d+(?:[.,:/]\d+)*)(?:\s*[)\]])?)[.!?…]+[\"”’»)]*\s+(?=[\"“„‘«'(]?[A-ZÀ-Þ])")
+AROUND = ".,;:!?…\"'“”„‘’‚«»()[]{}*_`-–—"
+CLOSERS = "\"'”’»)]“"
+ENDERS = frozenset(FULL + CLOSERS)
+OPENS = re.compile(r"[\"“„‘«'(\[]*[A-ZÀ-Þ]")  # how a piece begins that can open a sentence
 ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
 LABEL = re.compile(r"\s*(?:\*\*)?([A-ZÀ-Þ][\w ]{1,24}?)(?:\*\*)?:(?:\*\*)?\s")
 # Whole answers that need no closing mark.
@@ -44,16 +46,21 @@ def token(words: list[str], i: int) -> str:
 
 def count_words(value: str, c: dict[str, Counter]) -> None:
     """Add a value's counts by kind: inside, before a mark, at the end of a line without one, and labels that close a block."""
-    words = WORD.findall(value)
-    c["inside"].update([w if not w[0].isdigit() else token(words, i) for i, w in enumerate(map(str.lower, words[:-1]))])
-    for m in MARKED.finditer(value):
-        w = m[1].rstrip(" )]").lower()
-        if len(w) == 1 and m[1][0].isupper():
-            continue
-        if w[0].isdigit():
-            before = WORD.findall(value[max(0, m.start(1) - 40) : m.end(1)])
-            w = token(before, len(before) - 1)
-        c["mark"][w] += 1
+    pieces = value.split()
+    words = [p.strip(AROUND).lower() for p in pieces]
+    inside, mark = c["inside"], c["mark"]
+    before = ""
+    for k, w in enumerate(words):
+        if w and w[0].isdigit():
+            w = ("" if not before or before[0].isdigit() else before) + "#"
+        if k + 1 < len(words) and w:
+            inside[w] += 1
+            p = pieces[k]
+            if p[-1] in ENDERS:
+                end = p.rstrip(CLOSERS)
+                if end and end[-1] in FULL and OPENS.match(pieces[k + 1]) and not (len(w) == 1 and p.strip(AROUND).isupper()):
+                    mark[w] += 1
+        before = words[k]
     if "\n" not in value:
         return
     lines = value.split("\n")
