@@ -16,7 +16,7 @@ from leesmaat.api import Analysis, Readability
 from leesmaat.functions import guards as G
 from leesmaat.functions import score as S
 from leesmaat.functions import text as T
-from leesmaat.operators import aggregate, blocks, editor, features, rewrite, spelling, stats, triggers
+from leesmaat.operators import aggregate, blocks, editor, features, rewrite, spelling, stats, syntax, triggers, validation
 from leesmaat.plans import planner
 from leesmaat.sources import eval_items, lexicons, results
 
@@ -218,6 +218,16 @@ def _(spark, d):
     return aggregate.passive_spans(analysis(spark, d).features)
 
 
+@query("q_subordinate_texts", "SELECT s.doc_id, s.sent_idx, s.i, string_agg(t.text, ' ' ORDER BY t.i) AS span FROM sub s JOIN up u ON u.doc_id = s.doc_id AND u.anc = s.i JOIN tok t ON t.doc_id = u.doc_id AND t.i = u.i GROUP BY 1, 2, 3")
+def _(spark, d):
+    return syntax.subtree_texts(analysis(spark, d).tokens, aggregate.opens_subordinate())
+
+
+@query("q_modifier_texts", "SELECT s.doc_id, s.sent_idx, s.i, string_agg(t.text, ' ' ORDER BY t.i) AS span FROM f2 s JOIN up u ON u.doc_id = s.doc_id AND u.anc = s.i JOIN tok t ON t.doc_id = u.doc_id AND t.i = u.i WHERE s.is_modifier GROUP BY 1, 2, 3")
+def _(spark, d):
+    return syntax.subtree_texts(analysis(spark, d).features, F.col("is_modifier"))
+
+
 # --- sentences and documents ----------------------------------------------------------------------------------------
 
 SENTENCE_INTS = "doc_id, sent_idx, sent_length, concrete, abstract, undefined, unknown, content_words, finite_verbs, has_passive, humans, subordinate_clauses"
@@ -496,6 +506,35 @@ def _(spark, d):
     return swaps(spark, d).join(w, "word", "left").join(r, "replacement", "left").select("suggestion_id", "word", "replacement", G.passes_band(F.col("word"), F.col("replacement"), F.coalesce("fw", F.lit(K.MISSING_FREQUENCY)), F.col("fr")).alias("passes"))
 
 
+LINKS = "(SELECT DISTINCT suggestion_id, relation, original_text AS o, suggested_text AS r FROM suggestions WHERE type = 'connective' AND original_text IS NOT NULL)"
+SPACED = "regexp_replace({0}, '" + T.SPACE + "', ' ', 'g')"
+OLD = "[lower(y) FOR y IN " + WORDS_OF.format(SPACED.format("o")) + "]"
+ADDED = f"""[x FOR x IN {WORDS_OF.format(SPACED.format('r'))} IF NOT list_contains({OLD}, lower(x)) AND lower(x) NOT IN {Q.names(K.CONNECTIVES)} AND length(x) >= 4 AND regexp_matches(x, '^\\p{{L}}+$') AND NOT regexp_matches(x, '^\\p{{Lu}}')
+  AND len([k FOR k IN range(2, length(x) - 1) IF list_contains({OLD}, left(lower(x), k)) AND list_contains({OLD}, substr(lower(x), k + 1))]) = 0 AND NOT (lower(x) = 'geen' AND (list_contains({OLD}, 'niet') OR list_contains({OLD}, 'geen')))]"""
+
+
+@query("q_link_failure", f"SELECT suggestion_id, CASE WHEN NOT coalesce(lower(trim(relation, ' ')) IN {Q.names(validation.STRONG_RELATIONS)}, false) THEN 'weak relation' WHEN r IS NULL OR trim(r, ' ') = '' OR contains(lower(r), 'niet toegepast') THEN 'nothing proposed' WHEN len({ADDED}) > 0 THEN 'adds content' END AS failure FROM {LINKS}")
+def _(spark, d):
+    s = table(spark, d, "suggestions").filter("type = 'connective' and original_text is not null").select("suggestion_id", "relation", "original_text", "suggested_text").distinct()
+    return s.select("suggestion_id", validation.link_failure(F.col("relation"), F.col("original_text"), F.col("suggested_text")).alias("failure"))
+
+
+@query(
+    "q_list_failure",
+    f"""SELECT suggestion_id, CASE WHEN list_intro IS NULL OR trim(list_intro, ' ') = '' THEN 'no introduction' WHEN list_items IS NULL OR len(list_items) < 3 THEN 'too few items'
+       WHEN len([t FOR t IN list_items IF len([x FOR x IN {WORDS_OF.format(SPACED.format('t'))} IF length(x) >= 4 AND regexp_matches(x, '^\\p{{L}}+$') AND list_contains({OLD}, lower(x))]) = 0]) > 0 THEN 'invented item' END AS failure
+       FROM (SELECT DISTINCT suggestion_id, original_text AS o, list_intro, list_items FROM suggestions WHERE type = 'enumeration' AND original_text IS NOT NULL)""",
+)
+def _(spark, d):
+    s = table(spark, d, "suggestions").filter("type = 'enumeration' and original_text is not null").select("suggestion_id", "original_text", "list_intro", "list_items").distinct()
+    return s.select("suggestion_id", validation.list_failure(F.col("original_text"), F.col("list_intro"), F.col("list_items")).alias("failure"))
+
+
+@query("q_affected_words")
+def _(spark, d):
+    return editor.affected_words(pairs(spark, d), "suggestion_id", "o", "r")
+
+
 # --- answers of models ----------------------------------------------------------------------------------------------
 
 

@@ -51,6 +51,43 @@ def word_diff(old: list[str], new: list[str], strip: str = STRIP) -> list[tuple[
     return out
 
 
+def affected(old: list[str], new: list[str], strip: str = STRIP) -> list[int]:
+    """Places of the old words that a rewrite changes. Words that only move don't count, unless all do."""
+    regions = word_diff(old, new, strip)
+    spare: dict[str, int] = {}
+    for _, _, a, b in regions:
+        for w in new[a:b]:
+            spare[normal(w, strip)] = spare.get(normal(w, strip), 0) + 1
+    raw = [k for a, b, _, _ in regions for k in range(a, b)]
+    changed = []
+    for k in raw:
+        w = normal(old[k], strip)
+        if spare.get(w, 0) > 0:
+            spare[w] -= 1
+        else:
+            changed.append(k)
+    return changed or raw
+
+
+def split_points(words: list[str], parts: int) -> list[int]:
+    """Words behind which a sentence shown in so many parts is divided: a closing mark before a capital, at most parts - 1."""
+    found = [k for k in range(len(words) - 1) if re.search(r"[.!?]$", words[k]) and re.match(r"[A-ZÀ-ÖØ-Þ]", words[k + 1])]
+    return found[: max(0, parts - 1)]
+
+
+def affected_words(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """key, words (array of places in the old text) of each pair of texts; null texts count as empty."""
+    schema = pa.schema([("key", pa.string()), ("words", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, affected((o or "").split(), (n or "").strip("\"“”").split())) for k, o, n in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+
+    src = pairs.select(F.col(key).cast("string").alias("key"), F.col(old).alias("o"), F.col(new).alias("n"))
+    return src.mapInArrow(run, "key string, words array<int>").withColumnRenamed("key", key)
+
+
 DIFF = pa.schema([("key", pa.string()), ("old_start", pa.int32()), ("old_end", pa.int32()), ("new_start", pa.int32()), ("new_end", pa.int32()), ("old_text", pa.string()), ("new_text", pa.string())])
 
 

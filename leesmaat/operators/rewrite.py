@@ -103,15 +103,26 @@ def parsed(answers: DataFrame, key: str, content: str, required: str | None = No
     return src.mapInArrow(run, "key string, block int, fields map<string,string>").withColumnRenamed("key", key)
 
 
-# Prompts of our own, by kind of problem; {sentence} and {issue} are filled in.
+# Prompts of our own, by kind of problem; {sentence} and {issue} are filled in. The field names are those the parsers know.
 TEMPLATES = {
-    "sentence_rewrite": "Herschrijf de zin zodat hij makkelijker leest. Houd de betekenis gelijk.\nPROBLEEM: {issue}\nZIN: {sentence}\nAntwoord met een regel VOORSTEL: en een regel TOELICHTING:.",
-    "word_frequency": "Noem een bekender woord voor '{issue}' dat in deze zin past.\nZIN: {sentence}\nAntwoord met WOORD:, VERBETERING: en REDEN:.",
+    "sentence_rewrite": "Herschrijf de zin zodat hij makkelijker leest. Houd de betekenis gelijk.\nPROBLEEM: {issue}\nZIN: {sentence}\nAntwoord met BEHOUDEND: (blijft een zin), VOLLEDIG: (mag gesplitst) en UITLEG:.",
+    "word_frequency": "Noem een bekender woord voor '{issue}' dat in deze zin past.\nZIN: {sentence}\nAntwoord met VERVANGING:, HERSCHRIJVING: en UITLEG:.",
     "spelling": "Noem spelfouten in de genummerde zinnen, elk als blok met ZIN_NUMMER:, WOORD:, VERBETERING:, gescheiden door ---. Antwoord GEEN_FOUTEN als er geen zijn.\n{sentence}",
-    "connective": "Voeg de twee zinnen samen met een verbindingswoord.\n{sentence}\nAntwoord met RELATIE: (reden, gevolg of tegenstelling) en ZIN:.",
-    "enumeration": "Maak van de opsomming een lijst: een regel INLEIDING: en een regel ITEM: per punt.\nZIN: {sentence}",
+    "connective": "Voeg twee zinnen samen met een verbindingswoord als dat past.\n{sentence}\nAntwoord per paar met NA_ZIN:, RELATIE: (reden, gevolg of tegenstelling), HERSCHRIJVING: en UITLEG:, gescheiden door ---.",
+    "enumeration": "Maak van de opsomming een lijst: een regel INLEIDING:, een regel ITEM: per punt en een regel UITLEG:.\nZIN: {sentence}",
 }
 
+# Default model of each kind of provider, whether calls may run side by side, and its temperature.
+PROVIDERS = {
+    "openai": ("gpt-4o-mini", True, 0.7), "anthropic": ("claude-3-5-haiku-latest", True, None), "ollama": ("llama3.2", False, None),
+    "mistral": ("mistral-large-latest", True, 0.7), "hetzner": ("Qwen3.6-35B-A3B-FP8", True, 0.3), "mlx": ("Qwen2.5-14B-Instruct-4bit", False, None),
+}
+
+
+def token_limit(kind: str, words: int = 1) -> int:
+    """Most tokens of an answer by kind of job."""
+    return {"spelling": 1024, "wordfreq_bundle": min(2048, 200 * words + 150)}.get(kind, 512)
+
 
 def issue_text(kind, value, word):
     """What is wrong, in words, for a prompt."""

@@ -116,3 +116,28 @@ def parse(tokens: DataFrame) -> DataFrame:
 def heads(parsed: DataFrame) -> DataFrame:
     """doc_id, sent_idx, i, head: a row per token and head."""
     return parsed.select("doc_id", "sent_idx", "i", F.explode("heads").alias("head"))
+
+
+def subtree_texts(parsed: DataFrame, where) -> DataFrame:
+    """doc_id, sent_idx, i, span: the words of the subtree of every token that meets a condition, in text order."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sent_idx", pa.int32()), ("i", pa.int32()), ("span", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, s, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                items.sort(key=lambda x: x["i"])
+                up, wanted = {x["i"]: x["head"] for x in items}, {x["i"]: [] for x in items if x["wanted"]}
+                for x in items:
+                    at, seen = x["i"], set()
+                    while at in up and at not in seen:
+                        seen.add(at)
+                        if at in wanted:
+                            wanted[at].append(x["text"])
+                        at = up[at]
+                rows += [(d, s, i, " ".join(words)) for i, words in wanted.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
+
+    items = F.collect_list(F.struct("i", "head", "text", F.coalesce(where, F.lit(False)).alias("wanted")))
+    g = parsed.groupBy("doc_id", "sent_idx").agg(items.alias("t")).filter(F.exists("t", lambda x: x["wanted"]))
+    return g.mapInArrow(run, "doc_id bigint, sent_idx int, i int, span string")
