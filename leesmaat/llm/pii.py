@@ -171,7 +171,8 @@ DOCUMENT = re.compile(r"(?<![\w-])[A-Z]{2}[A-Z0-9]{6}\d(?![\w-])|(?<![\w-])[a-z]
 IDENTITY_CUE = re.compile(r"(?:\bbsn\b|burgerservice|sofi|persoonsnummer|paspoort|rijbewijs|identiteit|\bid-?kaart|\bpas\b|document|ingeschreven|inschrijving|legitimatie)", re.I)
 OTHER_CUE = re.compile(r"(?:kenmerk|factuur|zaaknummer|zaak|isbn|bestel|order|rekening|iban|kvk|klantnummer|artikel|polis|dossier|telt|betaal|betaling|tracking|barcode)\w*", re.I)
 HOUSE = r"\d{1,5}(?!\d)(?:[-\s]?(?:hs|bis|huis|boven|[IVX]{1,3})(?!\w)|-\d{1,4}(?!\w)|[-\s]?[a-zA-Z](?!\w))?"
-ADDRESS = re.compile(rf"(?<![\w'’-])(?:(?:{STREET_FIRST}\s+){{0,3}}(?:[A-Z][\w'’.-]*\s+(?:van\s+|de\s+|der\s+|den\s+)*)?)?[A-Z][\w'’-]*?{STREET}\s+{HOUSE}|(?<![\w'’-])(?:{STREET_FIRST}\s+){{1,3}}[A-Z][\w'’-]+\s+{HOUSE}(?=,?\s+(?:in\s+)?\d{{4}}\s?[A-Z]{{2}}\b)")
+STREET_ALONE = "(?:" + "|".join(w.capitalize() for w in STREET_ENDS) + ")"
+ADDRESS = re.compile(rf"(?<![\w'’-])(?:{STREET_FIRST}\s+){{1,3}}{STREET_ALONE}\s+{HOUSE}|(?<![\w'’-])(?:(?:{STREET_FIRST}\s+){{0,3}}(?:[A-Z][\w'’.-]*\s+(?:van\s+|de\s+|der\s+|den\s+)*)?)?[A-Z][\w'’-]*?{STREET}\s+{HOUSE}|(?<![\w'’-])(?:{STREET_FIRST}\s+){{1,3}}[A-Z][\w'’-]+\s+{HOUSE}(?=,?\s+(?:in\s+)?\d{{4}}\s?[A-Z]{{2}}\b)")
 ADDRESS_ANY = re.compile(rf"(?<![\w'’-])(?:(?:oude|nieuwe|lange|korte|hoge|lage|grote|kleine)\s+)?(?:\w{{3,}}{STREET}|(?:voor|achter)pad|haven)\s+{HOUSE}", re.I)
 LAST = r"(?:[A-Z][\w]+(?:['’-][A-Z]?[\w]+)*|[A-Z]['’][A-Z]\w+)"
 PARTS = rf"(?:{PARTICLE}\s+){{0,3}}"
@@ -198,6 +199,11 @@ def eleven(digits: str) -> bool:
     return len(digits) == 9 and sum((9 - i) * int(d) for i, d in enumerate(digits[:8])) % 11 == int(digits[8]) % 11
 
 
+def _before(t: str, at: int, reach: int = 48) -> str:
+    """What stands before a place in the same sentence, abbreviations in front of numbers included."""
+    return re.split(r"[.!?]\s+(?=[A-ZÀ-Þ])|\n\s*\n", t[max(0, at - reach) : at])[-1]
+
+
 def _names(t: str) -> list[Hit]:
     hits: list[Hit] = []
     at = 0
@@ -254,16 +260,16 @@ def detect(text: str) -> list[Hit]:
     for m in PHONE.finditer(t):
         digits = re.sub(r"\D", "", m.group())
         international = m.group()[0] == "+" or digits.startswith("00")
-        if (9 <= len(digits) - 2 * digits.startswith("00") <= 15 if international else len(digits.replace("(0)", "")) == 10) and not OTHER_CUE.search(t[max(0, m.start() - 24) : m.start()]):
+        if (9 <= len(digits) - 2 * digits.startswith("00") <= 15 if international else len(digits.replace("(0)", "")) == 10) and not OTHER_CUE.search(_before(t, m.start(), 24)):
             found.append(Hit("phone", *m.span()))
     for m in NUMBER.finditer(t):
         digits = re.sub(r"\D", "", m.group())
-        before = t[max(0, m.start() - 48) : m.start()]
+        before = _before(t, m.start())
         cue, other = [list(c.finditer(before)) for c in (IDENTITY_CUE, OTHER_CUE)]
         if cue and (not other or other[-1].start() < cue[-1].start()) or (not other and eleven(digits)):
             found.append(Hit("identity_number", *m.span()))
     for m in DOCUMENT.finditer(t):
-        if sum(c.isdigit() for c in m.group()) >= 2 and (m.group()[0].isupper() or IDENTITY_CUE.search(t[max(0, m.start() - 40) : m.start()])) and not OTHER_CUE.search(t[max(0, m.start() - 24) : m.start()]):
+        if sum(c.isdigit() for c in m.group()) >= 2 and (m.group()[0].isupper() or IDENTITY_CUE.search(t[max(0, m.start() - 40) : m.start()])) and not OTHER_CUE.search(_before(t, m.start(), 24)):
             found.append(Hit("identity_number", *m.span()))
     found += [Hit("street_address", *m.span()) for m in ADDRESS.finditer(t)]
     near_number = any(m[1].lower().endswith(STREET_ENDS) for m in WORD_NUMBER.finditer(t))

@@ -23,6 +23,8 @@ def found(text):
         ("Mijn BSN is 9992.87.035.", [("identity_number", "9992.87.035")]),
         ("Het rijbewijs heeft documentnummer XWB08M087.", [("identity_number", "XWB08M087")]),
         ("Ik woon op Lange Voorpad 12-2, 1234 AB Dorp.", [("street_address", "Lange Voorpad 12-2")]),
+        ("Ik woon op Oude Haven 12 bis te Dorp.", [("street_address", "Oude Haven 12 bis")]),
+        ("Hij betaalt. Tel. 06-00123456", [("phone", "06-00123456")]),
         ("De heer J.P. van der Berg schreef.", [("person_name", "J.P. van der Berg")]),
         ("Mevr. Fatima Jansen belde.", [("person_name", "Fatima Jansen")]),
         ("Vraag naar Jansen, Noor.", [("person_name", "Jansen, Noor")]),
