@@ -32,7 +32,7 @@ THRESHOLD = 0.5
 
 # Digits and signs that stand for letters.
 LEET = str.maketrans("0134579@$!", "oieastgasi")
-MIX = re.compile(r"(?<![\w.,/@-])(?=[\d@$!]*[^\W\d_][\w@$!]*[^\W\d_])(?=\w*[\d@$!])[\w@$!]*[\w](?![\w.,/@-]*@|/)")
+SIGNS = re.compile(r"(?<=[^\W\d_])[@$!]+(?=[^\W_])|(?<![\w.@])[@$](?=[^\W\d_]{3,}\b(?!\.|@))")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*·])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_]|[.\-_*·][^\W_])")
 STARS = re.compile(r"(?<![\w*])[^\W\d_]\w*\*+\w*(?![\w*])")
 REPEAT = re.compile(r"([^\W\d_])\1{2,}")
@@ -57,39 +57,60 @@ wij helpen vluchtelingen met het vinden van een woning|de politie zoekt de dader
 
 
 def reveal(text: str) -> str:
-    """The text without disguises of words: spaced and dotted letters, digits for letters, stars, stretched letters."""
+    """The text without disguises that cross the bounds of words: spaced and dotted letters, stars, signs for letters."""
     t = SPACED.sub(lambda m: re.sub(r"[\W_]", "", m.group()), text)
     if "*" in t:
         t = STARS.sub(lambda m: MASKED, t)
-    t = MIX.sub(lambda m: m.group().translate(LEET), t)
-    return REPEAT.sub(r"\1", t)
+    if "@" in t or "$" in t or "!" in t:
+        t = SIGNS.sub(lambda m: m.group().translate(LEET), t)
+    return t
+
+
+def plain_word(word: str) -> str:
+    """A word without disguises inside it: digits for letters, where it has two letters at least, and stretched letters."""
+    if re.search(r"\d", word) and sum(c.isalpha() for c in word) >= 2:
+        word = word.translate(LEET)
+    return REPEAT.sub(r"\1", word)
+
+
+class Numbers(dict):
+    """Running numbers of words, and the hash behind each; marks between sentences are one word, number 0."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = [int(EDGE)]
+
+    def __missing__(self, w: str) -> int:
+        if not w or not w[0].isalnum():
+            n = 0
+        elif (bare := plain_word(w)) != w:
+            n = self[bare]
+        else:
+            n = len(self.hashes)
+            self.hashes.append(xxhash.xxh64_intdigest(w))
+        self[w] = n
+        return n
 
 
 class Reader:
-    """Turns texts into sentence numbers and hashed features, remembering the hashes of words it has met."""
+    """Turns texts into word hashes, remembering the words it has met up to a limit."""
 
     LIMIT = 500_000
 
     def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def word(self, w: str) -> int:
-        h = int(EDGE) if not w[0].isalnum() else xxhash.xxh64_intdigest(w)
-        if len(self.known) >= self.LIMIT:
-            self.known.clear()
-        self.known[w] = h
-        return h
+        self.known = Numbers()
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of all texts, each followed by an edge, and the text each stands in."""
-        get, word, hashes, sizes = self.known.get, self.word, [], []
+        if len(self.known) > self.LIMIT:
+            self.known = Numbers()
+        numbers, sizes, number = [], [], self.known.__getitem__
         for t in texts:
-            tokens = TOKEN.findall(reveal(t))
-            hs = [get(w) or word(w) for w in map(str.lower, tokens)]
-            hs.append(int(EDGE))
-            hashes += hs
-            sizes.append(len(hs))
-        return np.array(hashes, np.uint64), np.repeat(np.arange(len(texts)), sizes)
+            tokens = "\0".join(TOKEN.findall(reveal(t))).lower().split("\0")
+            numbers += map(number, tokens)
+            numbers.append(0)
+            sizes.append(len(tokens) + 1)
+        return np.array(self.known.hashes, np.uint64)[np.array(numbers, np.int64)], np.repeat(np.arange(len(texts)), sizes)
 
 
 SHIFT = np.uint64(64 - BITS)
@@ -238,6 +259,7 @@ class Scorer:
         self.reader, self.dense = Reader(), np.zeros((len(CATEGORIES), (1 << BITS) + 1), np.float32)
         for c, (at, w) in enumerate(sparse):
             self.dense[c, at] = w
+        self.any = (self.dense != 0).any(0)  # a small table that tells the few buckets that matter
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability by text and category: that of the worst sentence."""
@@ -249,12 +271,10 @@ class Scorer:
         home = np.zeros(total, np.int64)
         home[sentence] = doc
         out = np.zeros((len(texts), len(CATEGORIES)))
+        hits = [(b[hit], sentence[p[hit]]) for b, p in parts for hit in [np.flatnonzero(self.any[b])]]
+        bucket, row = np.concatenate([b for b, _ in hits]), np.concatenate([r for _, r in hits])
         for c in range(len(CATEGORIES)):
-            s = np.full(total, float(self.dense[c, BIAS]))
-            for b, p in parts:
-                w = self.dense[c, b]
-                hit = np.flatnonzero(w)
-                s += np.bincount(sentence[p[hit]], w[hit], total)
+            s = np.bincount(row, self.dense[c, bucket], total) + float(self.dense[c, BIAS])
             best = np.full(len(texts), -50.0)
             np.maximum.at(best, home, s)
             out[:, c] = 1 / (1 + np.exp(-np.clip(best, -50, 50)))

@@ -9,9 +9,16 @@ import numpy as np
 from leesmaat.llm import abuse
 
 
-def test_reveal():
-    assert abuse.reveal("d3b13l m i s l u k k e l i n g h.a.l.v.e g--k eiiiikel") == "debiel mislukkeling halve g--k eikel"
-    assert abuse.reveal("r*t en **vet** op 27a, 3e") == f"{abuse.MASKED} en **vet** op 27a, 3e"
+def bare(text):
+    return " ".join(map(abuse.plain_word, abuse.reveal(text).split()))
+
+
+def test_disguises():
+    assert bare("d3b13l m i s l u k k e l i n g h.a.l.v.e g--k eiiiikel") == "debiel mislukkeling halve g--k eikel"
+    assert bare("r*t en **vet** op 27a, 3e") == f"{abuse.MASKED} en **vet** op 27a, 3e"
+    assert bare("kl@tz@k leuk!") == "klatzak leuk!"
+    numbers = abuse.Numbers()
+    assert numbers["d3b13l"] == numbers["debiel"] != numbers["eikel"] and numbers["."] == 0
 
 
 def corpus(n, seed):
