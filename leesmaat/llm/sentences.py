@@ -63,7 +63,8 @@ TOKEN = re.compile(r"[^\s„“‘«»\"(\[「,;:]*$")
 NEXT = re.compile(r"[\s]*")
 WORD = re.compile(r"[^\W\d_]+")
 UNMARKED_CHAR = re.compile(f"[{UNMARKED}]")
-CONTEXT = 400  # characters on either side that the lexer may look at
+CASE = 400  # characters on either side that tell whether text has capitals
+CONTEXT = 500  # characters on either side that the lexer may look at
 
 
 def _starts_sentence(text: str, at: int) -> bool | None:
@@ -84,7 +85,7 @@ def _token_before(text: str, dot: int) -> str:
 
 def _caseless(text: str, at: int) -> bool:
     """Whether the text around a mark is written in one case only."""
-    near = text[max(0, at - 150) : at + 150]
+    near = text[max(0, at - CASE) : at + CASE]
     return near == near.lower() or near == near.upper()
 
 
@@ -110,6 +111,9 @@ def _is_boundary(text: str, start: int, end: int, nxt: int) -> bool:
             return opens is not False or (text[nxt].islower() and _caseless(text, start))
         if low in ABBREVIATIONS:
             return False
+        tail = low.rpartition(".")[2]
+        if tail != low and len(tail) > 2 and tail in ABBREVIATIONS:  # a blank is missing in front of it
+            return False
         if re.search(r"(?:^|\.)[^\W\d_]$", token):  # initials and short forms
             return opens is None
         word = WORD.match(text, nxt)
