@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "p6_found": sentences.p6_found,
         "p7_ids": encode.p7_ids,
         "p8_found": leak.p8_found,
+        "p8_paraphrases": leak.p8_paraphrases,
         "p8_report": leak.p8_report,
         "p9_found": abuse.p9_found,
         "p9_scores": abuse.p9_scores,
