@@ -20,19 +20,22 @@ from leesmaat.llm.endings import STAND_INS, evidence, judged
 # Ways to decline a task, by language.
 REFUSALS = [
     # Dutch
-    r"als (?:een )?(?:groot )?(?:ai|taal|kunstmatige|digitale|virtuele)[- ]?\w*(?: \w+)? (?:mag|kan|ben|heb|geef|doe)", r"\bik ben (?:een |slechts een |maar een )?(?:ai|taalmodel)", r"(?:kan|mag|wil|zal) ik (?:\w+ ){0,6}(?:niet|geen)\b(?: \w+){0,4} ?(?:helpen|herschrijven|voldoen|van dienst|beantwoorden|bewerken|maken|uitvoeren|geven|doen|meewerken|aanpassen|behandelen)?", r"\bik (?:kan|mag|wil|zal) (?:\w+ ){0,7}(?:niet|geen)\b", r"ik (?:moet|wil) (?:\w+ ){0,4}(?:weigeren|afwijzen)", r"verzoek (?:\w+ ){0,3}(?:weigeren|afwijzen|niet voldoen)", r"niet (?:mee|bij|van) (?:helpen|dienst)", r"(?:liever|kan) geen uitspraak", r"buiten wat ik", r"(?:richtlijnen|beleid|regels) (?:\w+ ){0,3}(?:niet toe|verbied)", r"vanwege mijn (?:beleid|richtlijnen|beperkingen)", r"geen (?:herschrijving|antwoord|tekst|voorstel) mogelijk", r"het spijt (?:me|mij)", r"kunnen (?:we|wij) u (?:hier )?(?:helaas )?niet", r"niet in staat om", r"weiger ik", r"daar (?:ga|doe|geef) ik (?:\w+ ){0,3}(?:niet|geen)", r"ik (?:ga|doe|geef|schrijf|maak|behandel) (?:\w+ ){0,5}(?:niet|geen)\b",
+    r"als (?:een )?(?:groot )?(?:ai|taal|kunstmatige|digitale|virtuele)[- ]?\w*(?: \w+)? (?:mag|kan|ben|heb|geef|doe)", r"\bik ben (?:een |slechts een |maar een )?(?:ai|taalmodel)", r"(?:kan|mag|wil|zal) ik (?:\w+ ){0,6}(?:niet|geen)\b(?: \w+){0,4} ?(?:helpen|herschrijven|voldoen|van dienst|beantwoorden|bewerken|maken|uitvoeren|geven|doen|meewerken|aanpassen|behandelen)?", r"\bik (?:kan|mag|wil|zal) (?:\w+ ){0,7}(?:niet|geen)\b", r"ik (?:moet|wil) (?:\w+ ){0,4}(?:weigeren|afwijzen)", r"verzoek (?:\w+ ){0,3}(?:weigeren|afwijzen|niet voldoen)", r"niet (?:mee|bij|van) (?:helpen|dienst)", r"(?:liever|kan) geen uitspraak", r"buiten wat ik", r"(?:richtlijnen|beleid|regels) (?:\w+ ){0,3}(?:niet toe|verbied)", r"vanwege mijn (?:beleid|richtlijnen|beperkingen)", r"geen (?:herschrijving|antwoord|tekst|voorstel) mogelijk", r"het spijt (?:me|mij)", r"kunnen (?:we|wij) u (?:hier )?(?:helaas )?niet", r"niet in staat om", r"weiger ik", r"(?:te weinig|onvoldoende|niet genoeg) (?:informatie|context|gegevens|tekst)", r"daar (?:ga|doe|geef) ik (?:\w+ ){0,3}(?:niet|geen)", r"ik (?:ga|doe|geef|schrijf|maak|behandel) (?:\w+ ){0,5}(?:niet|geen)\b",
     # English
-    r"\bas an? (?:ai|artificial|language|large)\b", r"\bi(?:'|’)?m (?:sorry|unable|not able|afraid)", r"\bi am (?:sorry|unable|not able|afraid)", r"\bi (?:can(?:'|’)?t|cannot|can not|won(?:'|’)?t|will not|must decline|have to decline|decline|do not feel)", r"(?:can(?:'|’)?t|cannot|unable to) (?:assist|help|comply|rewrite|do that|fulfil)", r"against my (?:guidelines|policy)", r"my guidelines", r"not able to (?:help|assist|comply)", r"beyond (?:my|what i)",
+    r"\bas an? (?:ai|artificial|language|large)\b", r"\bi(?:'|’)?m (?:sorry|unable|not able|afraid)", r"\bi am (?:sorry|unable|not able|afraid)", r"\bi (?:can(?:'|’)?t|cannot|can not|won(?:'|’)?t|will not|must decline|have to decline|decline|do not feel)", r"(?:can(?:'|’)?t|cannot|unable to) (?:assist|help|comply|rewrite|do that|fulfil)", r"against my (?:guidelines|policy)", r"my guidelines", r"not able to (?:help|assist|comply)", r"(?:not enough|insufficient|too little) (?:information|context)", r"beyond (?:my|what i)",
     # German
-    r"als (?:ki|sprachmodell|künstliche)", r"(?:kann|darf|werde|möchte) ich (?:\w+ ){0,6}(?:nicht|keine)", r"\bich (?:kann|darf|werde|möchte) (?:\w+ ){0,6}(?:nicht|keine|leider)", r"tut mir leid", r"(?:anfrage|bitte) (?:\w+ ){0,3}ablehnen", r"nicht weiterhelfen",
+    r"als (?:ki|sprachmodell|künstliche)", r"(?:kann|darf|werde|möchte) ich (?:\w+ ){0,6}(?:nicht|keine)", r"\bich (?:kann|darf|werde|möchte) (?:\w+ ){0,6}(?:nicht|keine|leider)", r"tut mir leid", r"(?:anfrage|bitte) (?:\w+ ){0,3}ablehnen", r"nicht weiterhelfen", r"(?:zu wenig|nicht genug|nicht genügend) (?:information|angaben|kontext)",
     # French
     r"en tant qu(?:'|’)?\w*\s?(?:ia|modèle|assistant)", r"je (?:ne|n(?:'|’)) ?(?:peux|puis|suis|veux)", r"désolée?", r"je regrette", r"je dois (?:\w+ ){0,2}refuser", r"impossible de (?:\w+ ){0,2}(?:répondre|traiter|reformuler)",
+    r"(?:pas assez|trop peu) d(?:'|’)(?:informations?|éléments)", r"(?:no hay|falta|no tengo) (?:suficiente )?información",
     # Spanish, Italian, Portuguese
     r"lo siento", r"no (?:puedo|podemos|me es posible)", r"como (?:modelo|ia|inteligencia)", r"debo (?:rechazar|negarme)", r"mi dispiace", r"non posso", r"não posso", r"desculpe",
     # other scripts
     r"не могу|не можем|извините|к сожалению|как (?:языковая|ии)|вынужден\w* отказ", r"لا (?:أستطيع|يمكنني|يمكن)|عذرا|عذرًا|آسف|أعتذر|نموذج لغ", r"क्षमा|नहीं कर सक|माफ़|असमर्थ|भाषा मॉडल", r"无法|抱歉|对不起|不能(?:协助|帮助|完成|提供|改写)|语言模型|拒绝", r"できません|申し訳|お断り|言語モデル|いたしかねます", r"ไม่สามารถ|ขออภัย|ขอโทษ|แบบจำลองภาษา",
 ]
 REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))  # on small letters
+# Signs that a model declines its task, beside which it matters little what the original says.
+OWN_TASK = re.compile(r"verzoek|herschrij|taalmodel|digitale assistent|richtlijn|mijn beleid|tekst (?:maken|bewerk)|uitspraak over|buiten wat ik|request|rewrite|comply|\bas an ai\b|language model|(?:weinig|onvoldoende) informatie")
 REFUSAL_WORDS = 45  # a longer answer does more than decline
 WORDS = re.compile(r"[^\W_]+")
 LABEL = re.compile(r"^\s*[\"“„'*#_\[(]*[^:\n]{1,48}?[\])*_]*\s*:\s*")
@@ -55,7 +58,10 @@ def refusal(original: str, answer: str, words: int) -> bool:
     """Whether the answer declines; a text that itself speaks so is merely passed on."""
     if words > REFUSAL_WORDS or len(answer) > 12 * REFUSAL_WORDS:
         return False
-    return bool(REFUSAL.search(answer.lower())) and not REFUSAL.search(original.lower())
+    answer, original = answer.lower(), original.lower()
+    if not REFUSAL.search(answer):
+        return False
+    return not REFUSAL.search(original) or bool(OWN_TASK.search(answer)) and not OWN_TASK.search(original)
 
 
 def copies(theirs: list[str], answer: str, mine: list[str]) -> bool:

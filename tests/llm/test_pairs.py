@@ -33,7 +33,7 @@ def test_a_wrong_label_is_outvoted():
 ROWS = [
     ("1", "De man loopt over de straat.", None, "empty"), ("2", "De man loopt over de straat.", " — ", "empty"), ("3", "De man loopt over de straat.", "N/A", "empty"), ("4", "De man loopt over de straat.", "​", "empty"),
     ("5", "De man loopt over de straat.", "Sorry, hier kan ik niet mee helpen.", "refusal"), ("6", "De man loopt over de straat.", "I'm sorry, but I can't assist with that.", "refusal"), ("7", "Helaas kunnen wij u hier niet mee helpen.", "Wij kunnen u helaas niet helpen met dit.", None),
-    ("8", "De man loopt, over de straat.", "antwoord: de man loopt over de straat", "copy"), ("9", "De man loopt over de straat.", "De man loopt over de weg.", None),
+    ("7b", "Helaas kunnen wij u hier niet mee helpen.", "Ik kan aan dit verzoek helaas niet voldoen.", "refusal"), ("7c", "De man loopt.", "Ik heb te weinig informatie om iets te geven.", "refusal"), ("8", "De man loopt, over de straat.", "antwoord: de man loopt over de straat", "copy"), ("9", "De man loopt over de straat.", "De man loopt over de weg.", None),
     ("10", NL, EN, "wrong_language"), ("11", NL, "De gemeente stuurt een brief. Daarin staan de nieuwe reg", "truncated"), ("12", NL, "De gemeente stuurt:\n- een brief\n- een kaart", None), ("13", "Met vriendelijke groet, Noor", "Hartelijk dank. Met vriendelijke groet, Noor", None),
     ("14", None, "Een gewone zin over het weer.", None), ("15", "De man loopt.", "De gemeente zegt: “Kom naar het", "truncated"),
 ]
