@@ -26,6 +26,7 @@ OPENS = re.compile(r"[\"“„‘«'(\[]*[A-ZÀ-Þ]")  # how a piece begins that
 ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
 LABEL = re.compile(r"\s*(?:\*\*)?([A-ZÀ-Þ][\w ]{1,24}?)(?:\*\*)?:(?:\*\*)?\s")
 # Whole answers that need no closing mark.
+LABELLED = 8  # words of a labelled value that may stand without a mark; longer ones are sentences
 SHORT = frozenset("geen ok oké ja nee klopt akkoord correct goed prima none no yes nee. n.v.t nvt n/a geen-fouten gereed klaar".split())
 SHORT_TEXTS = frozenset(["geen fouten gevonden", "geen fouten", "geen suggesties", "geen voorstel", "geen wijziging", "geen wijzigingen", "geen opmerkingen", "niets gevonden", "geen verbetering nodig", "no errors found", "no changes", "in orde", "alles goed", "geen verbeteringen"])
 # Stand-ins for "no value", without marks and in lower case.
@@ -157,9 +158,9 @@ def ending(value: str, original: str | None = None) -> tuple[str, str, str]:
     if low in SHORT or low in SHORT_TEXTS or " ".join(re.findall(r"[^\W_]+", low)) in STAND_INS:
         return "whole", tok, ""
     label = LABEL.match(last)
-    if label and len(lines) > 1 or label and re.match(r"[A-Z ]{3,}:", last.strip()):
+    if label and (len(lines) > 1 or re.match(r"[A-Z ]{3,}:", last.strip())) and len(WORD.findall(last)) <= LABELLED:
         blocks = re.split(r"(?m)^\s*---\s*$", text)
-        return "line", tok, label[1].lower() if len(WORD.findall(last)) <= 8 and (len(blocks) > 1 or len(lines) <= 4) else ""
+        return "line", tok, label[1].lower() if len(blocks) > 1 or len(lines) <= 4 else ""
     if ITEM.match(last) and (len(lines) > 1 or last.strip().startswith("-")):
         return "line", tok, ""
     if re.match(r"#{1,6}\s", last):
