@@ -34,5 +34,16 @@ def queries() -> dict[str, Query]:
     }
 
 
+# Runs of twelve words by plain joins of all of them: too much for a corpus, but a check of the retrieval on small tables.
+LEAKS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM heldout_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest([array_to_string(w[k:k + 11], ' ') FOR k IN range(1, len(w) - 10)]) AS gram FROM d WHERE len(w) >= 12),
+ig AS (SELECT item_id, unnest([array_to_string(w[k:k + 11], ' ') FOR k IN range(1, len(w) - 10)]) AS gram FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p8_found": LEAKS,
+        "p8_report": f"SELECT h.item_id, h.suite, h.split, count(l.doc_id) AS documents FROM heldout_items h LEFT JOIN ({LEAKS}) l USING (item_id) GROUP BY 1, 2, 3",
+    }
