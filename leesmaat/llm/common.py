@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -18,9 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MOVING = re.compile(r"\b(?:Aggregate|Join|Window|Distinct|Deduplicate|Sort|Repartition|RepartitionByExpression)\b")
+
+
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Give a scan of few large files enough tasks for Python work; whole rows are dealt round-robin, so no key is hot."""
+    """Give Python work enough tasks; whole rows are dealt round-robin, so no key is hot.
+
+    A scan is left alone if its files already make enough. What a shuffle made is dealt anew without looking: asking for its
+    number of tasks would run it, and adaptive execution sizes tasks by bytes, not by the work on them."""
     want = df.sparkSession.sparkContext.defaultParallelism * factor
+    if MOVING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df.repartition(max(want, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
