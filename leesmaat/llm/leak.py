@@ -5,7 +5,11 @@ stretch of RUN words or more can hold a case. Windows of passages and all RUN-wo
 in the space of a distributed randomised SVD. An item's gram is a candidate for a window if their cosine reaches the
 window's own threshold: the lowest cosine between the window and any gram it contains. A gram that stands in the window
 is as near as the window's own copy of it, so no case falls below. Candidates are then checked for the longest run of
-words they share, and, for near cases, for the longest common subsequence."""
+words they share.
+
+Near cases have words that no item uses, and no cosine bounds a longest common subsequence, so they are searched over all
+words of a document: a window that has NEAR_WORDS of a gram has one of any RUN - NEAR_WORDS + 1 places of it, so the rarest
+ones lead to every candidate."""
 
 from __future__ import annotations
 
@@ -27,7 +31,7 @@ DIMENSIONS, OVERSAMPLE, POWER = 64, 8, 2
 ITEMS = 100_000  # items at most; they are a fixed evaluation set, not a corpus
 BLOCK = 20_000  # grams of items that are searched in one pass
 SLACK = 1e-3  # rounding of cosines
-NEAR_COSINE, NEAR_WORDS = 0.8, 10  # a paraphrase: so near in the space, and so many of RUN words in the same order
+NEAR_WORDS = 10  # a paraphrase: WINDOW consecutive words hold so many of a gram's RUN words in the same order
 CELLS = 4_000_000  # numbers of a dense block of TF-IDF or cosines
 
 WORD = re.compile(r"[^\W_]+")
@@ -149,9 +153,8 @@ def latent_space(runs: DataFrame, size: int, grams: np.ndarray) -> np.ndarray:
     return (idf[:, None] * basis).astype(np.float32)
 
 
-def _search(space: Space, doc: np.ndarray, column: pa.Array, near: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(document, gram) of the candidates of some passages whose longest common run with the gram is RUN words; with `near`,
-    of those without such a run whose longest common subsequence has NEAR_WORDS."""
+def _search(space: Space, doc: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document, gram) of the candidates of some passages whose longest common run with the gram is RUN words."""
     codes, row, start, end = _windows(column)
     sums = np.concatenate([np.zeros((1, space.latent.shape[1])), np.cumsum(space.latent[codes], 0, dtype=np.float64)])
     own, vectors = _units(sums[RUN:] - sums[:-RUN]), _units(sums[end] - sums[start])
@@ -160,7 +163,7 @@ def _search(space: Space, doc: np.ndarray, column: pa.Array, near: bool = False)
         at = np.flatnonzero(start + s + RUN <= end)
         g = own[start[at] + s]
         limit[at] = np.minimum(limit[at], np.where(g.any(1), np.einsum("ij,ij->i", g, vectors[at]), -2))
-    limit = np.full(len(start), NEAR_COSINE, np.float32) if near else limit - SLACK
+    limit -= SLACK
     step, found = max(1, CELLS // max(1, len(space.unit))), []
     for lo in range(0, len(start), step):
         at, gram = np.nonzero(vectors[lo : lo + step] @ space.unit.T >= limit[lo : lo + step, None])
@@ -168,8 +171,7 @@ def _search(space: Space, doc: np.ndarray, column: pa.Array, near: bool = False)
         same = np.zeros(len(at), bool)
         for s in range(WINDOW - RUN + 1):
             same |= (cells[:, s : s + RUN] == space.grams[gram]).all(1)
-        hit = ~same & (lcs(cells, space.grams[gram]) >= NEAR_WORDS) if near else same
-        found.append((doc[row[lo + at[hit]]], gram[hit]))
+        found.append((doc[row[lo + at[same]]], gram[same]))
     return (np.concatenate([d for d, _ in found]), np.concatenate([g for _, g in found])) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -184,6 +186,110 @@ def lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best[:, -1]
 
 
+@dataclass
+class Seeds:
+    """The items' grams with the number of their item, and for each word (from start[w] to start[w + 1]) the grams and the
+    places in them that it leads to. `order` has a gram's places from the rarest on."""
+
+    grams: np.ndarray
+    owner: np.ndarray
+    order: np.ndarray
+    start: np.ndarray
+    gram: np.ndarray
+    place: np.ndarray
+
+
+def seeds(grams: np.ndarray, owner: np.ndarray, frequency: np.ndarray) -> Seeds:
+    """Every gram under its RUN - NEAR_WORDS + 1 rarest places: a case misses RUN - NEAR_WORDS at most, so it has one."""
+    order = np.argsort(frequency[grams], axis=1, kind="stable")
+    place = order[:, : RUN - NEAR_WORDS + 1]
+    word = np.take_along_axis(grams, place, 1).ravel()
+    by = np.argsort(word, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(frequency)))]).astype(np.int64)
+    return Seeds(grams, owner, order, start, by // place.shape[1], place.ravel()[by])
+
+
+def _near(s: Seeds, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, exact) of the words of some documents: exact ones hold a whole gram of the item, the others WINDOW words
+    with NEAR_WORDS of a gram in their order."""
+    ends, values = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+    n = np.diff(ends)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) + WINDOW * (row + 1)  # gaps around each document keep windows inside it
+    codes = np.full(len(row) + WINDOW * (len(n) + 1), -1, np.int64)
+    codes[at] = values[ends[0] : ends[-1]]
+    first, many = s.start[codes[at]], np.where(codes[at] < 0, 0, s.start[codes[at] + 1] - s.start[codes[at]])
+    at, row, first, many = (x[many > 0] for x in (at, row, first, many))
+    upto, most, lo = np.cumsum(many), CELLS // (2 * WINDOW), 0
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        m = many[lo:hi]
+        e = np.repeat(first[lo:hi] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        p, r, g, o = np.repeat(at[lo:hi], m), np.repeat(row[lo:hi], m), s.gram[e], s.place[e]
+        missing = np.zeros(len(p), np.int8)
+        for k in range(RUN):  # words of the gram that don't stand in any window of the seed
+            w, absent = s.grams[g, s.order[g, k]], np.ones(len(p), bool)
+            for x in range(1 - WINDOW, WINDOW):
+                absent &= codes[p + x] != w
+            missing += absent
+            keep = missing <= RUN - NEAR_WORDS
+            p, r, g, o, missing = p[keep], r[keep], g[keep], o[keep], missing[keep]
+        exact = (codes[(p - o)[:, None] + np.arange(RUN)] == s.grams[g]).all(1)
+        pair = r * (s.owner.max() + 1) + s.owner[g]
+        found.append((r[exact], s.owner[g[exact]], np.ones(exact.sum(), bool)))
+        rest = ~np.isin(pair, pair[exact])
+        begin = (p[rest, None] - np.arange(WINDOW)).ravel()
+        r, g = np.repeat(r[rest], WINDOW), np.repeat(g[rest], WINDOW)
+        _, once = np.unique(begin * len(s.grams) + g, return_index=True)
+        for x in range(0, len(once), most):
+            i = once[x : x + most]
+            i = i[lcs(codes[begin[i, None] + np.arange(WINDOW)], s.grams[g[i]]) >= NEAR_WORDS]
+            found.append((r[i], s.owner[g[i]], np.zeros(len(i), bool)))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def near_leaks(documents: DataFrame, rows: list[tuple[int, list[int]]], vocabulary: dict[str, int], key: str, text: str, item: str) -> DataFrame:
+    """(key, item) of every document that holds no RUN consecutive words of the item, but WINDOW with NEAR_WORDS of such a
+    run in their order. rows: the items' numbers and words."""
+    spark = documents.sparkSession
+    known = spark.sparkContext.broadcast(vocabulary)  # words of the evaluation set
+    schema = pa.schema([("doc", pa.int64()), ("codes", pa.list_(pa.int32()))])
+
+    def read(k, t):
+        get = known.value.get
+        codes = [get(w, -1) for w in words(t)]
+        return [(k, codes)] if sum(c >= 0 for c in codes) >= NEAR_WORDS else []
+
+    src = documents.filter(F.length(text) > 0).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    coded = cut(spread(src).mapInArrow(lambda bs: per_row(bs, read, schema), "doc bigint, codes array<int>"), "codes")
+    frequency = np.zeros(len(vocabulary), np.int64)
+    for r in coded.select(F.explode("codes").alias("word")).filter("word >= 0").groupBy("word").count().collect():  # vocabulary rows
+        frequency[r["word"]] = r["count"]
+    ids = np.array([i for i, _ in rows], np.int64)
+    found = [(n, ws[a : a + RUN]) for n, (_, ws) in enumerate(rows) for a in range(len(ws) - RUN + 1)]
+    grams, owner = np.array([g for _, g in found], np.int64).reshape(-1, RUN), np.array([n for n, _ in found], np.int64)
+    out_schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("exact", pa.bool_())])
+    hits = None
+    for lo in range(0, max(1, len(grams)), BLOCK):  # a block of item grams against all documents
+        held = spark.sparkContext.broadcast((ids, seeds(grams[lo : lo + BLOCK], owner[lo : lo + BLOCK], frequency)))
+
+        def search(batches, held=held):
+            ids, s = held.value
+            for b in batches:
+                for at in range(0, b.num_rows, 1_024):
+                    part = b.slice(at, 1_024)
+                    d, i, exact = _near(s, part.column("codes"))
+                    doc, owner = part.column("doc").to_numpy()[d], ids[i]
+                    pairs = np.unique(np.stack([doc, owner, exact.astype(np.int64)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(pairs[2] > 0)], schema=out_schema)
+
+        found_here = spread(coded).mapInArrow(search, "doc bigint, item bigint, exact boolean")
+        hits = found_here if hits is None else hits.unionByName(found_here)
+    return hits.groupBy("doc", "item").agg(F.max("exact").alias("exact")).filter("not exact").select(F.col("doc").alias(key), F.col("item").alias(item))
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", near: bool = False) -> DataFrame:
     """(key, item) of every document that holds RUN consecutive words of an item. Null and short texts hold none; items
     that share a passage are all named; equal rows give one. Both keys are integers. With `near`, instead, documents with a
@@ -192,6 +298,8 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     rows = bounded_rows(items.select(F.col(item).alias("i"), F.col("text").alias("t")).filter(F.col("t").isNotNull() & F.col("i").isNotNull()).distinct(), ITEMS, "the evaluation set")
     worded = [(r["i"], words(r["t"])) for r in rows]
     vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in worded for w in ws}))}
+    if near:
+        return near_leaks(documents, [(i, [vocabulary[w] for w in ws]) for i, ws in sorted(worded)], vocabulary, key, text, item)
     found = [(i, [vocabulary[w] for w in ws[a : a + RUN]]) for i, ws in sorted(worded) for a in range(len(ws) - RUN + 1)]
     grams = np.array([g for _, g in found], np.int64).reshape(-1, RUN)
     owner = np.array([i for i, _ in found], np.int64)
@@ -216,7 +324,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             for b in batches:
                 for at in range(0, b.num_rows, 2_048):
                     part = b.slice(at, 2_048)
-                    d, g = _search(space, part.column("doc").to_numpy(), part.column("codes"), near)
+                    d, g = _search(space, part.column("doc").to_numpy(), part.column("codes"))
                     pairs = np.unique(np.stack([d, space.owner[g]]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], schema=out_schema)
 
@@ -231,8 +339,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of an item with a few words changed, and the passage itself nowhere."""
-    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")
-    return leaks(documents, items, near=True).join(leaks(documents, items), ["doc_id", "item_id"], "left_anti")
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), near=True)
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

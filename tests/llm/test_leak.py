@@ -75,3 +75,41 @@ def test_paraphrases(spark):
     i = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     assert (1, 7) in [tuple(r) for r in leak.leaks(d, i, near=True).collect()]
     assert [tuple(r) for r in leak.leaks(d, i).collect()] == [(2, 7)]
+
+
+def brute_near(docs, items):
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for p in x:
+            before = 0
+            for j, q in enumerate(y, 1):
+                before, row[j] = row[j], (before + 1 if p == q else max(row[j], row[j - 1]))
+        return row[-1]
+
+    grams = {(i, tuple(w[k : k + leak.RUN])) for i, t in items for w in [leak.words(t or "")] for k in range(len(w) - leak.RUN + 1)}
+    windows = {(d, tuple(w[k : k + leak.WINDOW])) for d, t in docs for w in [leak.words(t or "")] for k in range(max(1, len(w) - leak.WINDOW + 1))}
+    return {(d, i) for d, w in windows for i, g in grams if len(set(w) & set(g)) > 4 and lcs(w, g) >= leak.NEAR_WORDS} - brute(docs, items)
+
+
+def test_paraphrases_against_brute_force(spark):
+    item = [f"w{k}" for k in range(30)]
+    items = [(7, " ".join(item)), (8, "kort"), (9, None)]
+    rng = random.Random(3)
+    docs = [
+        (1, " ".join([*item[4:10], "onbekend", *item[11:16]])),  # a word that no item uses in the middle
+        (2, " ".join([*item[20:28], *item[2:6], "w25", *item[7:12], "w29", *item[13:15], *item[20:28]])),  # inside a longer stretch of known words
+        (3, " ".join([*item[3:7], "x", "y", *item[7:11], "z", *item[11:14]])),  # unknown words inserted
+        (4, " ".join([*item[3:7], "x", "y", "z", *item[10:14]])),  # three of twelve replaced
+        (5, " ".join(item[3:20])),
+        (6, None),
+    ]
+    for d in range(10, 60):
+        k = rng.randrange(18)
+        part = [w if rng.random() < 0.85 else rng.choice(["x", "y", *item]) for w in item[k : k + 12]]
+        docs.append((d, " ".join([*rng.choices([*item, "x"], k=rng.randint(0, 20)), *part, *rng.choices([*item, "y"], k=rng.randint(0, 20))])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in leak.leaks(d, i, near=True).collect()}
+    assert got == brute_near(docs, items)
+    assert {(1, 7), (2, 7), (3, 7)} <= got and not {(4, 7), (5, 7)} & got
+    assert leak.leaks(d.filter("false"), i, near=True).count() == 0 and leak.leaks(d, i.filter("false"), near=True).count() == 0
