@@ -181,11 +181,12 @@ def judged(values: DataFrame, keys: list[str], column: str, original: str | None
     labels = counts.filter("block > 0").select(F.col("token").alias("label"), F.col("block").alias("closes"))
     known = counts.select("token", "inside", "mark", "line")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    p_end: Column = zero("mark") / F.greatest(zero("inside"), zero("mark"), F.lit(1))
+    share = lambda c: zero(c) / F.greatest(zero("inside"), zero(c), F.lit(1))  # noqa: E731  # what ends something stands inside too
+    p_end: Column = share("mark")
     verdict = (
         F.when(F.col("verdict") == "dots", p_end < (rare if dots is None else dots))
         .when(F.col("verdict") == "mark", (zero("inside") >= 5) & (p_end < rare))
-        .otherwise((zero("line") == 0) | ((F.col("label") != "") & F.col("closes").isNull()))
+        .otherwise((share("line") < rare) | ((F.col("label") != "") & F.col("closes").isNull()))
     )
     looked = open_.join(known, "token", "left").join(labels, "label", "left").select(*keys, verdict.alias("incomplete"))
     return settled.unionByName(looked)

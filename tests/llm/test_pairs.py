@@ -70,3 +70,14 @@ def test_truncated(spark):
     df = spark.createDataFrame(rows, "row_key string, value string").select(F.lit("t").alias("src_table"), "row_key", F.lit("p").alias("provider"), F.lit(None).cast("string").alias("model"), "value", F.lit(None).cast("string").alias("original"))
     got = {r["row_key"] for r in truncation.truncated(df).filter("truncated").collect()}
     assert got == {"c1", "c2"}
+
+
+def test_a_list_item_is_judged_by_the_share_of_line_ends(spark):
+    counts = spark.createDataFrame([("de", 5000, 0, 1, 0), ("kaart", 500, 0, 200, 0), ("boom", 300, 0, 9, 0), ("nieuwe", 800, 0, 0, 0)], "token string, inside long, mark long, line long, block long")
+    for times in (1, 10):  # whatever the size of the input
+        grown = counts.select("token", *[(F.col(c) * times).alias(c) for c in ("inside", "mark", "line", "block")])
+        vals = spark.createDataFrame([(w, f"De man koopt:\n- een brief\n- {w}") for w in ("de", "kaart", "boom", "nieuwe", "verzeker")], "k string, v string")
+        got = {r["k"]: r["incomplete"] for r in endings.judged(vals, ["k"], "v", None, grown).collect()}
+        assert got == {"de": True, "kaart": False, "boom": False, "nieuwe": True, "verzeker": True}
+        lax = {r["k"]: r["incomplete"] for r in endings.judged(vals, ["k"], "v", None, grown, rare=0.05).collect()}
+        assert lax == got | {"boom": True}
