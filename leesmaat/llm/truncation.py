@@ -1,8 +1,9 @@
 """Problem 5: values cut off by a field limit or in transfer.
 
 Length hazards, the share of the values of at least L characters that have exactly L, are computed with window functions
-for each source; each is tested against its neighbours, with false-discovery control over all lengths of all sources.
-Lengths that stand out are field limits. A value is reported if its ending is incomplete; at a limit a weaker sign of
+for each source. What is tested, with false-discovery control over all lengths of all sources, is the number of values of a
+length against the mean number of its neighbours that aren't limits themselves: hazards grow to 1 where a source's lengths
+end, limit or not. Lengths that stand out are field limits. A value is reported if its ending is incomplete; at a limit a weaker sign of
 incompleteness is enough. Cuts in transfer fall at any length, so the ending alone decides elsewhere."""
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,19 +19,24 @@ from pyspark.sql import types as T
 from leesmaat.llm.common import cut, latest, table
 from leesmaat.llm.endings import evidence, judged
 
-NEIGHBOURS = 20  # lengths on either side whose hazards are the yardstick
+NEIGHBOURS = 20  # lengths on either side whose numbers are the yardstick
 FALSE_RATE = 0.01
 LEAST = 5  # values of one length, for a limit
 
 
 def hazards(values: DataFrame, source: list[str], column: str) -> DataFrame:
-    """source..., length, n, at_risk, hazard, expected: per source and length that occurs."""
+    """source..., length, n, at_risk, hazard: per source and length that occurs."""
     lengths = values.filter(F.length(column) > 0).groupBy(*source, F.length(column).alias("length")).agg(F.count("*").alias("n"))
     down = W.partitionBy(*source).orderBy(F.col("length").desc())
+    return lengths.withColumn("at_risk", F.sum("n").over(down)).withColumn("hazard", F.col("n") / F.col("at_risk"))
+
+
+def expected(source: list[str]) -> Column:
+    """Mean number of values of the lengths around that aren't limits."""
     near = W.partitionBy(*source).orderBy("length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    h = lengths.withColumn("at_risk", F.sum("n").over(down)).withColumn("hazard", F.col("n") / F.col("at_risk"))
-    around = (F.sum("n").over(near) - F.col("n")) / (2 * NEIGHBOURS)
-    return h.withColumn("expected", F.greatest(around, F.lit(0.02)))
+    other = F.when(F.col("limit"), 0).otherwise(F.col("n"))
+    limits_ = F.col("limit").cast("int")
+    return F.greatest((F.sum(other).over(near) - other) / F.greatest(2 * NEIGHBOURS - F.sum(limits_).over(near) + limits_, F.lit(1)), F.lit(0.02))
 
 
 @F.pandas_udf(T.DoubleType())  # a type, not its name: the module must load without a session
@@ -50,13 +56,18 @@ def poisson_tail(n: pd.Series, expected: pd.Series) -> pd.Series:
 
 
 def limits(values: DataFrame, source: list[str], column: str, rate: float = FALSE_RATE) -> DataFrame:
-    """Hazards with p_value and `limit`: whether the length stands out by the Benjamini-Hochberg rule over all of them."""
-    h = cut(hazards(values, source, column).withColumn("p_value", poisson_tail("n", "expected")), "hazards")
-    tests = h.count()
-    # no p-value above the rate can pass, so only the few below it are ranked in one window
-    ranked = h.filter((F.col("n") >= LEAST) & (F.col("p_value") <= rate)).withColumn("rank", F.row_number().over(W.orderBy("p_value", "length", *source)))
-    bound = ranked.filter(F.col("p_value") <= rate * F.col("rank") / F.lit(max(tests, 1))).agg(F.max("p_value")).first()[0]
-    return h.withColumn("limit", (F.col("n") >= LEAST) & F.coalesce(F.col("p_value") <= F.lit(bound), F.lit(False)))
+    """Hazards with expected, p_value and `limit`: whether the length stands out by the Benjamini-Hochberg rule over all of
+    them. Limits that were found no longer count as neighbours, until no more are found: one limit doesn't hide another."""
+    h = cut(hazards(values, source, column).withColumn("limit", F.lit(False)), "hazards")
+    tests, before, now = h.count(), -1, 0
+    while now > before:
+        h = cut(h.withColumn("expected", expected(source)).withColumn("p_value", poisson_tail("n", "expected")), "hazards")
+        # no p-value above the rate can pass, so only the few below it are ranked in one window
+        ranked = h.filter((F.col("n") >= LEAST) & (F.col("p_value") <= rate)).withColumn("rank", F.row_number().over(W.orderBy("p_value", "length", *source)))
+        bound = ranked.filter(F.col("p_value") <= rate * F.col("rank") / F.lit(max(tests, 1))).agg(F.max("p_value")).first()[0]
+        h = h.withColumn("limit", F.col("limit") | (F.col("n") >= LEAST) & F.coalesce(F.col("p_value") <= F.lit(bound), F.lit(False)))
+        before, now = now, h.filter("limit").count()
+    return h.select(*source, "length", "n", "at_risk", "hazard", "expected", "p_value", "limit")
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,11 @@ def test_a_list_item_is_judged_by_the_share_of_line_ends(spark):
         assert got == {"de": True, "kaart": False, "boom": False, "nieuwe": True, "verzeker": True}
         lax = {r["k"]: r["incomplete"] for r in endings.judged(vals, ["k"], "v", None, grown, rare=0.05).collect()}
         assert lax == got | {"boom": True}
+
+
+def test_a_limit_does_not_hide_another(spark):
+    rows = [(f"r{n}", "p", "m", "x" * (30 + n % 170)) for n in range(1700)] + [(f"c{n}", "p", "m", "y" * (100 if n % 25 else 112)) for n in range(1000)]
+    df = spark.createDataFrame(rows, "row_key string, provider string, model string, value string")
+    got = truncation.limits(df, ["provider", "model"], "value")
+    assert [r["length"] for r in got.filter("limit").orderBy("length").collect()] == [100, 112]
+    assert got.filter("length = 112").first()["expected"] < 11
