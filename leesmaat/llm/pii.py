@@ -129,6 +129,9 @@ BRACKETED = re.compile(r"[(\[{<]\s?(?:at|a)\b")
 SPOKEN_AT = re.compile(r"(?<=\w)\s(?:at|bij)\s(?=[\w-]+\s(?:dot|punt)\s)", re.I)
 DOT = re.compile(r"(?<=\w)\s{0,2}(?:\(\s?(?:dot|punt)\s?\)|\[\s?(?:dot|punt)\s?\]|\{\s?(?:dot|punt)\s?\})\s{0,2}(?=\w)", re.I)
 SPOKEN_DOT = re.compile(r"(?<=\w)\s(?:dot|punt)\s(?=[a-z]{2,})", re.I)
+AT_BEFORE = re.compile(r"(?:@|\bat\b|\bapenstaartje\b)[\s\])}>]{0,4}[\w.\-]*$", re.I)
+LETTER_BEFORE = re.compile(r"\(\s?a\s?\)\s{0,2}[\w.\-]*$", re.I)  # also how parts of a sentence are lettered
+NO_DOMAIN = re.compile(r"(?:aan|dat|die|door|een|en|gaat|geldt|het|in|is|met|of|om|ook|op|te|uit|van|voor|waar|wat|werd|wordt|zijn)\b", re.I)
 SPELLED = re.compile(r"\b(?:" + "|".join(DIGITS) + r")\b(?:[\s,.\-]{1,2}(?:" + "|".join(DIGITS) + r")\b){5,}", re.I)
 
 
@@ -154,8 +157,8 @@ def plain(text: str) -> Plain:
     if "punt" in low or "dot" in low:
         p = rewrite(p, SPOKEN_AT, lambda m: "@")
         p = rewrite(p, DOT, lambda m: ".")
-        if "@" in p.text or "[at" in low or "(at" in low or "apenstaart" in low:
-            p = rewrite(p, SPOKEN_DOT, lambda m: "." if re.search(r"(?:@|\bat\b|\bapenstaartje\b)[\s\])]{0,3}[\w.\-]*$", p.text[max(0, m.start() - 80) : m.start()], re.I) else None)
+        if "@" in p.text or "apenstaart" in low or BRACKETED.search(low):
+            p = rewrite(p, SPOKEN_DOT, lambda m: "." if AT_BEFORE.search(p.text[max(0, m.start() - 80) : m.start()]) or not NO_DOMAIN.match(p.text, m.end()) and LETTER_BEFORE.search(p.text[max(0, m.start() - 80) : m.start()]) else None)
     if "@" in p.text or "apenstaart" in low or BRACKETED.search(low):
         p = rewrite(p, SIGN, lambda m: "@")
     return p

@@ -56,3 +56,9 @@ def test_table(spark):
     assert {r["row_key"] for r in got} == {"3"} and len(got) == 2000
     assert pii.masked(df, ["row_key"], "text").count() == 4
     assert pii.find(df.filter("false"), ["row_key"], "text").count() == 0
+
+
+@pytest.mark.parametrize("sign", ["( at )", "[ at ]", "(a)", "{at}", "{ at }", "<at>"])
+def test_a_spoken_dot_after_a_bracketed_sign(sign):
+    assert found(f"Mail piet {sign} voorbeeld punt nl graag") == [("email", f"piet {sign} voorbeeld punt nl")]
+    assert found("Bij vraag (a) eerste punt is dit goed") == []
