@@ -36,7 +36,8 @@ REFUSALS = [
 REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))  # on small letters
 # Signs that a model declines its task, beside which it matters little what the original says.
 OWN_TASK = re.compile(r"verzoek|herschrij|taalmodel|digitale assistent|richtlijn|mijn beleid|tekst (?:maken|bewerk)|uitspraak over|buiten wat ik|request|rewrite|comply|\bas an ai\b|language model|(?:weinig|onvoldoende) informatie")
-REFUSAL_WORDS = 45  # a longer answer does more than decline
+REFUSAL_WORDS, PASSED_ON = 45, 0.25  # a longer answer does more than decline if it holds this share of the original's long words
+LONG = 5  # letters of words that two texts don't share by chance
 WORDS = re.compile(r"[^\W_]+")
 LABEL = re.compile(r"^\s*[\"“„'*#_\[(]*[^:\n]{1,48}?[\])*_]*\s*:\s*")
 IGNORED = re.compile("[​-‏⁠﻿­]")
@@ -54,14 +55,17 @@ def empty(answer: str | None) -> bool:
     return not words or len(words) <= 3 and " ".join(words) in STAND_INS
 
 
-def refusal(original: str, answer: str, words: int) -> bool:
-    """Whether the answer declines; a text that itself speaks so is merely passed on."""
-    if words > REFUSAL_WORDS or len(answer) > 12 * REFUSAL_WORDS:
+def refusal(original: str, answer: str, theirs: set[str], mine: list[str]) -> bool:
+    """Whether the answer declines; a text that itself speaks so is merely passed on, and a long answer that holds words of
+    the original does more than decline. theirs, mine: the words of both."""
+    low, original = answer.lower(), original.lower()
+    if not REFUSAL.search(low):
         return False
-    answer, original = answer.lower(), original.lower()
-    if not REFUSAL.search(answer):
-        return False
-    return not REFUSAL.search(original) or bool(OWN_TASK.search(answer)) and not OWN_TASK.search(original)
+    if len(mine) > REFUSAL_WORDS or len(answer) > 12 * REFUSAL_WORDS:
+        asked = {w for w in theirs if len(w) >= LONG} or theirs
+        if asked and len(asked.intersection(mine)) >= PASSED_ON * len(asked):
+            return False
+    return not REFUSAL.search(original) or bool(OWN_TASK.search(low)) and not OWN_TASK.search(original)
 
 
 def copies(theirs: list[str], answer: str, mine: list[str]) -> bool:
@@ -75,9 +79,10 @@ def copies(theirs: list[str], answer: str, mine: list[str]) -> bool:
 
 
 def foreign(original: tuple[np.ndarray, int], answer: tuple[np.ndarray, int]) -> bool:
-    """Whether the answer is in another language: each side beats the other's language by the margin on its own text."""
-    (o, n), (a, m) = original, answer
-    if m < 2 * langid.LEAST_LETTERS or n < langid.LEAST_LETTERS:
+    """Whether the answer is in another language: each side beats the other's language by the margin on its own text, which
+    short answers seldom do."""
+    (o, n), (a, _) = original, answer
+    if n < langid.LEAST_LETTERS:
         return False
     mine, theirs = int(a.argmax()), int(o.argmax())
     return mine != theirs and a[mine] - a[theirs] > langid.MARGIN and o[theirs] - o[mine] > langid.MARGIN
@@ -92,7 +97,7 @@ def defects(pairs: DataFrame, key: str, original: str, answers: list[str], model
         mine = bare(a)
         if not mine or len(mine) <= 3 and " ".join(mine) in STAND_INS:
             return "empty"
-        if refusal(o, a, len(mine)):
+        if refusal(o, a, known, mine):
             return "refusal"
         if copies(theirs, a, mine):
             return "copy"

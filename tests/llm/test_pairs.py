@@ -89,3 +89,18 @@ def test_a_limit_does_not_hide_another(spark):
     got = truncation.limits(df, ["provider", "model"], "value")
     assert [r["length"] for r in got.filter("limit").orderBy("length").collect()] == [100, 112]
     assert got.filter("length = 112").first()["expected"] < 11
+
+
+def test_a_long_refusal():
+    original = "De gemeente stuurt u een brief over de nieuwe regels voor het afval in uw straat en wijk."
+    long = "Sorry, hier kan ik niet mee helpen. " + "Mijn makers hebben vastgelegd welke taken bij mij passen, en daar hoort deze vraag niet bij; probeer het gerust nog eens met een ander verzoek, dan kijk ik graag opnieuw wat er mogelijk is. " * 2
+    assert len(pairs.bare(long)) > pairs.REFUSAL_WORDS
+    known = set(pairs.bare(original))
+    assert pairs.refusal(original, long, known, pairs.bare(long))
+    assert not pairs.refusal(original, long + original, known, pairs.bare(long + original))
+
+
+def test_a_short_answer_in_another_language():
+    m = langid.fit([(k, t * 20) for k, t in (("nl", NL), ("en", EN), ("de", DE), ("fr", FR)) for _ in range(3)])
+    assert pairs.foreign(m.judge(NL), m.judge("The new waste")) and not pairs.foreign(m.judge(NL), m.judge("De wijk"))
+    assert not pairs.foreign(m.judge(NL), m.judge("7"))
