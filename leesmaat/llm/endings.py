@@ -22,6 +22,7 @@ FULL = ".!?…。！？؟।॥"
 AROUND = ".,;:!?…\"'“”„‘’‚«»()[]{}*_`-–—"
 CLOSERS = "\"'”’»)]“"
 ENDERS = frozenset(FULL + CLOSERS)
+MARKED = (("\u1000", "\u109f", frozenset("\u104b")), ("\u1780", "\u17ff", frozenset("\u17d4\u17d5\u17da")))  # Burmese, Khmer: their letters and closing marks; Thai and Lao have none
 OPENS = re.compile(r"[\"“„‘«'(\[]*[A-ZÀ-Þ]")  # how a piece begins that can open a sentence
 ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
 LABEL = re.compile(r"\s*(?:\*\*)?([A-ZÀ-Þ][\w ]{1,24}?)(?:\*\*)?:(?:\*\*)?\s")
@@ -131,7 +132,9 @@ def ending(value: str, original: str | None = None) -> tuple[str, str, str]:
         if mine[-2:] == theirs[-2:] and (alike == end or alike not in FULL) and len(mine) >= min(2, len(theirs)):
             return "whole", tok, ""
     if UNMARKED_CHAR.match(end):
-        return "whole", tok, ""
+        marks = next((m for a, z, m in MARKED if a <= end <= z), frozenset())
+        unclosed = end not in marks and not marks.isdisjoint(body)  # its sentences have marks, the last one hasn't
+        return ("cut" if unclosed and not ITEM.match(last) and not LABEL.match(last) else "whole"), tok, ""
     if end in FULL:
         for a, b in PAIRS:
             opened = sum(text.count(x) for x in a)

@@ -104,3 +104,12 @@ def test_a_short_answer_in_another_language():
     m = langid.fit([(k, t * 20) for k, t in (("nl", NL), ("en", EN), ("de", DE), ("fr", FR)) for _ in range(3)])
     assert pairs.foreign(m.judge(NL), m.judge("The new waste")) and not pairs.foreign(m.judge(NL), m.judge("De wijk"))
     assert not pairs.foreign(m.judge(NL), m.judge("7"))
+
+
+def test_scripts_with_their_own_closing_marks():
+    burmese, khmer = "\u1000\u103b\u103d\u1014\u103a", "\u1781\u17d2\u1789\u17bb\u17c6"
+    for word, mark in ((burmese, "\u104b"), (khmer, "\u17d4")):
+        assert endings.ending(f"{word}{mark} {word}{mark}")[0] == "whole" and endings.ending(word)[0] == "whole"
+        assert endings.ending(f"{word}{mark} {word}")[0] == "cut"
+        assert endings.ending(f"{word}{mark}\n- {word}\n- {word}")[0] == "whole"
+    assert endings.ending("\u0e01\u0e32\u0e23")[0] == "whole"
