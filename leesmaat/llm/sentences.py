@@ -3,21 +3,24 @@
 A lexer turns text into a short tape of events (closing marks with what follows them, quotation marks, empty lines, list
 markers, headings, blanks in scripts without closing marks). A finite transducer reads the tape: its state says whether
 it is in running text, in quoted speech, in a list item or in a heading, and in which states a closing mark starts a new
-unit. For a long document each chunk becomes a function from the state at its start to the state at its end and the
-units it starts; functions compose associatively, so chunks are lexed in parallel and a prefix scan of the functions
-gives every chunk its start state.
+unit. Of a long document each chunk becomes a function from the state at its start to the state at its end; functions compose
+associatively, so chunks are lexed in parallel, a prefix scan of the functions gives every chunk its start state, a scan
+from the end tells whether a quotation left open is ever closed, and each chunk then names its own units. Only the functions,
+a few numbers each, come together.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leesmaat.llm.common import latest, per_row, spread, table
+from leesmaat.llm.common import cut, latest, per_row, spread, table
 
 # Abbreviations that don't end a sentence, in lower case and without the last full stop.
 ABBREVIATIONS = frozenset(
@@ -64,7 +67,7 @@ NEXT = re.compile(r"[\s]*")
 WORD = re.compile(r"[^\W\d_]+")
 UNMARKED_CHAR = re.compile(f"[{UNMARKED}]")
 CASE = 400  # characters on either side that tell whether text has capitals
-CONTEXT = 500  # characters on either side that the lexer may look at
+CONTEXT = 500  # characters on either side that the lexer may look at; what lies further back comes along as a flag
 
 
 def _starts_sentence(text: str, at: int) -> bool | None:
@@ -134,9 +137,11 @@ def _in_address(text: str, dot: int) -> bool:
     return bool(re.search(r"(?:@|\(at\)|\[at\])\s?\S*$", text[max(0, dot - 60) : dot], re.I))
 
 
-def lex(text: str, lo: int = 0, hi: int | None = None) -> list[tuple[str, int, int]]:
+def lex(text: str, lo: int = 0, hi: int | None = None, in_item: bool | None = None) -> list[tuple[str, int, int]]:
     """Events (kind, state number, start of the unit that would begin) whose mark stands in text[lo:hi].
 
+    in_item: for a piece of a longer text, whether the line that runs into the piece began with a list marker.
+
     Kinds: hard (a unit ends in any state), soft (ends in running text), head, item (hard, and the state changes),
     line (ends a heading), open, close (with 1 in the position's place if what follows starts a new unit)."""
     hi = len(text) if hi is None else hi
@@ -172,7 +177,8 @@ def lex(text: str, lo: int = 0, hi: int | None = None) -> list[tuple[str, int, i
             if ITEM_START.match(text, nxt):
                 before = text[max(0, start - 3) : start].rstrip()[-1:]
                 previous = text.rfind("\n", 0, start) + 1
-                if before in ".!?:;…”\"’»" or ITEM_START.match(text, NEXT.match(text, previous).end()):
+                follows = bool(ITEM_START.match(text, NEXT.match(text, previous).end())) if previous or in_item is None else in_item
+                if before in ".!?:;…”\"’»" or follows:
                     out.append(("item", ITEM, nxt))
                     continue
             out.append(("line", 0, nxt))
@@ -308,60 +314,135 @@ def units(text: str | None) -> list[int]:
     return sorted(set(s.sure + s.pending))
 
 
-LONG = 50_000  # characters of a chunk of a long document
+LONG = 2_000  # characters of a chunk; longer texts are cut
 
 
-def units_in_chunks(text: str, size: int = LONG) -> list[int]:
-    """The same by the functions of chunks, as the distributed form does it."""
-    s = scan([function(chunk_events(text, a, min(len(text), a + size))) for a in range(0, len(text), size)])[TEXT]
-    return sorted(set(s.sure + s.pending))
+def pieces(text: str, size: int = LONG) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, in_item) of the chunks of a text. A cut falls between two letters, so no mark, blank or marker is cut,
+    however long a run of them is. in_item: whether the line that runs into the chunk began with a list marker."""
+    lo, line, item = 0, 0, False
+    while lo < len(text):
+        hi = min(len(text), lo + size)
+        while hi < len(text) and not (text[hi - 1].isalpha() and text[hi].isalpha()):
+            hi += 1
+        yield lo, hi, item
+        line = text.rfind("\n", lo, hi) + 1
+        if line:
+            item = bool(ITEM_START.match(text, NEXT.match(text, line).end()))
+        elif not lo:
+            item = bool(ITEM_START.match(text, NEXT.match(text).end()))
+        lo = hi
+
+
+def piece_events(text: str, base: int, lo: int, hi: int, in_item: bool) -> list[tuple[str, int, int]]:
+    """Tape of the chunk [lo, hi) of a document of which only `text`, from the place base on, is at hand."""
+    return [(k, x, p if p < 0 else p + base) for k, x, p in lex(text, lo - base, hi - base, in_item if base else None)]
+
+
+NUMBER = {s: i for i, s in enumerate(STATES)}
+EVENTS = ("hard", "soft", "head", "item", "line", "quote", "open")
+FATES = ("open", "kept", "dropped")
+
+
+def summary(events: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """The function of a tape without its units: by number of the start state that of the end state, and what becomes of a
+    quotation left open before."""
+    steps = [run(events, s) for s in STATES]
+    return [NUMBER[s.end] for s in steps], [FATES.index(s.before) for s in steps]
 
 
-def chunk_events(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
-    return lex(text, lo, hi)
+def prefix_scan(ends: np.ndarray) -> np.ndarray:
+    """Of the functions of a document's chunks (rows, end state by start state), the composition of all before each: doubling
+    steps, in each of which all rows are composed at once."""
+    if not len(ends):
+        return ends
+    f = np.vstack([np.arange(ends.shape[1], dtype=ends.dtype), ends[:-1]])
+    step = 1
+    while step < len(f):
+        g = f.copy()
+        g[step:] = np.take_along_axis(f[step:], f[:-step], axis=1)  # first the earlier function
+        f, step = g, step * 2
+    return f
 
 
-STEP = pa.struct([("state", pa.int32()), ("end", pa.int32()), ("sure", pa.list_(pa.int32())), ("pending", pa.list_(pa.int32())), ("before", pa.string())])
-STEP_DDL = "array<struct<state int, end int, sure array<int>, pending array<int>, before string>>"
+def starts_and_fates(ends: np.ndarray, fates: np.ndarray) -> tuple[list[int], list[bool]]:
+    """Start state of each chunk, and whether the units of a quotation it leaves open are kept: what the next chunk that
+    settles it says, or at the document's end yes."""
+    first = prefix_scan(ends)[:, NUMBER[TEXT]]
+    said = fates[np.arange(len(first)), first]
+    keep, known = [], True
+    for x in said[::-1].tolist():
+        keep.append(known)
+        known = known if x == 0 else x == 1
+    return [STATES[x] for x in first.tolist()], keep[::-1]
+
+
+def units_in_chunks(text: str, size: int = LONG) -> list[int]:
+    """The same as `units` by the functions of chunks that see no more than the distributed form shows them."""
+    tapes = []
+    for lo, hi, item in pieces(text, size):
+        base = max(0, lo - CONTEXT)
+        tapes.append(piece_events(text[base : hi + CONTEXT], base, lo, hi, item))
+    f = [summary(t) for t in tapes]
+    out: set[int] = set()
+    for tape, state, keep in zip(tapes, *starts_and_fates(np.array([a for a, _ in f]), np.array([b for _, b in f])), strict=True):
+        s = run(tape, state)
+        out.update(s.sure, s.pending if keep else ())
+    return sorted(out)
+
+
+TAPE = ("kind", "number", "at", "ends", "fates")
 
 
 def sentence_starts(df: DataFrame, keys: list[str], text: str, long: int = LONG) -> DataFrame:
-    """(keys..., start_pos) of every sentence unit; keys are strings. Null and blank texts have no units; equal rows give equal units."""
-    src = df.select(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0)
+    """(keys..., start_pos) of every sentence unit; keys are strings. Null and blank texts have no units; equal rows give equal
+    units. Texts beyond `long` characters are cut in chunks (module docstring)."""
     names = [f"k{i}" for i in range(len(keys))]
+    src = df.select(*[F.col(k).cast("string").alias(n) for n, k in zip(names, keys, strict=True)], F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0)
     fields = [(k, pa.string()) for k in names]
     ddl = ", ".join(f"{k} string" for k in names)
     flat = pa.schema([*fields, ("start_pos", pa.int32())])
-    chunked = pa.schema([*fields, ("lo", pa.int32()), ("text", pa.string()), ("base", pa.int32()), ("hi", pa.int32())])
-    mapped = pa.schema([*fields, ("lo", pa.int32()), ("steps", pa.list_(STEP))])
+    place = [("copies", pa.int32()), ("row", pa.int64()), ("lo", pa.int32())]
+    chunked = pa.schema([*fields, *place, ("text", pa.string()), ("base", pa.int32()), ("hi", pa.int32()), ("item", pa.bool_())])
+    taped = pa.schema([*fields, *place, *((c, pa.list_(pa.int32())) for c in TAPE)])
+    begun = pa.schema([*place[1:], ("state", pa.int32()), ("keep", pa.bool_())])
+    out = f"{ddl}, start_pos int"
 
     def short(batches):
         return per_row(batches, lambda *r: ((*r[:-1], p) for p in units(r[-1])), flat, 20_000)
 
     def split(*r):
-        t = r[-1]
-        for lo in range(0, len(t), long):
+        *key, copies, row, t = r
+        for lo, hi, item in pieces(t, long):
             base = max(0, lo - CONTEXT)
-            hi = min(len(t), lo + long)
-            yield *r[:-1], lo, t[base : hi + CONTEXT], base, hi
+            yield *key, copies, row, lo, t[base : hi + CONTEXT], base, hi, item
 
-    def step(*r):
-        *key, lo, t, base, hi = r
-        events = [(k, x, p if p < 0 else p + base) for k, x, p in lex(t, lo - base, hi - base)]
-        yield *key, lo, [{"state": a, "end": s.end, "sure": s.sure, "pending": s.pending, "before": s.before} for a, s in function(events).items()]
+    def tape(*r):
+        *key, copies, row, lo, t, base, hi, item = r
+        events = piece_events(t, base, lo, hi, item)
+        yield *key, copies, row, lo, [EVENTS.index(k) for k, _, _ in events], [x for _, x, _ in events], [p for _, _, p in events], *summary(events)
 
-    def glue(*r):
-        *key, chunks = r
-        f = scan([{x["state"]: Step(x["end"], x["sure"], x["pending"], x["before"]) for x in c["steps"]} for c in sorted(chunks, key=lambda c: c["lo"])])[TEXT]
-        return ((*key, p) for p in sorted(set(f.sure + f.pending)))
+    def begin(row, chunks):
+        chunks = sorted(chunks, key=lambda c: c["lo"])
+        states, keep = starts_and_fates(np.array([c["ends"] for c in chunks]), np.array([c["fates"] for c in chunks]))
+        return [(row, c["lo"], s, k) for c, s, k in zip(chunks, states, keep, strict=True)]
+
+    def name(*r):
+        *key, copies, kind, number, at, state, keep = r
+        s = run([(EVENTS[k], n, p) for k, n, p in zip(kind, number, at, strict=True)], state)
+        return ((*key, p) for p in sorted({*s.sure, *(s.pending if keep else ())}) for _ in range(copies))
 
-    out = f"{ddl}, start_pos int"
     direct = spread(src.filter(F.length("text") <= long)).mapInArrow(short, out)
-    chunks = src.filter(F.length("text") > long).mapInArrow(lambda bs: per_row(bs, split, chunked, 8), f"{ddl}, lo int, text string, base int, hi int").repartition(*names, "lo")
-    steps = chunks.mapInArrow(lambda bs: per_row(bs, step, mapped, 8), f"{ddl}, lo int, steps {STEP_DDL}")
-    joined = steps.groupBy(*names).agg(F.collect_list(F.struct("lo", "steps")).alias("c")).mapInArrow(lambda bs: per_row(bs, glue, flat, 20_000), out)
+    once = src.filter(F.length("text") > long).groupBy(*names, F.md5("text").alias("row")).agg(F.first("text").alias("text"), F.count("*").cast("int").alias("copies"))
+    rows = once.withColumn("row", F.xxhash64(*names, "row"))  # numbers that a repeated task gives again
+    chunks = rows.select(*names, "copies", "row", "text").mapInArrow(lambda bs: per_row(bs, split, chunked, 8), f"{ddl}, copies int, row bigint, lo int, text string, base int, hi int, item boolean")
+    tapes = cut(spread(chunks).mapInArrow(lambda bs: per_row(bs, tape, taped, 64), f"{ddl}, copies int, row bigint, lo int, " + ", ".join(f"{c} array<int>" for c in TAPE)), "tapes")
+    together = tapes.groupBy("row").agg(F.collect_list(F.struct("lo", "ends", "fates")).alias("c"))  # thirty numbers a chunk
+    starts = together.mapInArrow(lambda bs: per_row(bs, begin, begun, 20_000), "row bigint, lo int, state int, keep boolean")
+    named = tapes.join(starts, ["row", "lo"]).select(*names, "copies", "kind", "number", "at", "state", "keep")
+    long_ones = named.mapInArrow(lambda bs: per_row(bs, name, flat, 20_000), out)
     back = [F.col(n).alias(k) for n, k in zip(names, keys, strict=True)]
-    return direct.unionByName(joined).select(*back, "start_pos")
+    return direct.unionByName(long_ones).select(*back, "start_pos")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

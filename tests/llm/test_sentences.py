@@ -71,3 +71,27 @@ def test_long_documents_in_spark(spark):
     assert sorted(p for i, p in got if i == "a") == S.units(text)
     assert sorted(p for i, p in got if i == "c") == [0, 0, 6, 6]
     assert S.sentence_starts(df.filter("false"), ["id"], "text").count() == 0
+
+
+def test_chunks_see_only_what_the_distributed_form_shows_them():
+    rng = random.Random(5)
+    item = "een punt over het afval in de straat en de wijk zonder een teken aan het eind van de regel " * 10
+    listed = "".join(f"- {item.strip()}\n" for _ in range(39))
+    quoted = "Hij zegt: “" + "Ja. Nee. " * 400 + "Klaar.” Zij zwijgt. Slot."
+    never = "Hij zegt: “" + "Ja. Nee. " * 400 + "\n\nNieuw. Slot."
+    heading = "# " + "kop " * 500 + "\nTekst. Meer.\n1. een\n2. twee\n"
+    blanks = "Een zin." + " " * 1500 + "Nog een." + "\n" * 1200 + "- punt\n" + "\t" * 900 + "- punt. Ja"
+    dots = "Wacht" + "." * 1400 + " Ja. " + "!" * 1300 + "Nee. 今天很好。" * 60
+    mixed = ["".join(rng.choice(PIECES + [item[:300], "„Kom. Ga.”, zegt hij. ", "ครู หมอ ", "12. "]) for _ in range(120)) for _ in range(25)]
+    for text in [listed, quoted, never, heading, blanks, dots, listed + quoted + heading, *mixed]:
+        want = S.units(text)
+        for size in (37, 150, 700, 1000, 5000):
+            assert S.units_in_chunks(text, size) == want
+    assert len(S.units(listed)) == 39
+
+
+def test_long_lists_in_spark(spark):
+    text = "".join(f"- {'een punt zonder teken ' * 40}\n" for _ in range(30)) + "Hij zegt: “" + "Ja. Nee. " * 300
+    df = spark.createDataFrame([("a", text), ("b", text), ("b", text)], "id string, text string")
+    got = sorted((r["id"], r["start_pos"]) for r in S.sentence_starts(df, ["id"], "text", long=700).collect())
+    assert got == sorted((i, p) for i in "abb" for p in S.units(text))
