@@ -7,6 +7,7 @@ after the last words (endings)."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leesmaat.llm import langid
-from leesmaat.llm.common import cut, latest, per_row, spread, table
+from leesmaat.llm.common import cut, latest, spread, table
 from leesmaat.llm.endings import STAND_INS, evidence, judged
 
 # Ways to decline a task, by language.
@@ -78,6 +79,14 @@ def copies(theirs: list[str], answer: str, mine: list[str]) -> bool:
     return bool(m) and bare(IGNORED.sub("", answer)[m.end() :]) == theirs
 
 
+MENTION = re.compile(r"(?<![^\W_])['\"‘’“”„«»`]\s?([^\W_]+)\s?['\"’‘“”«»`](?![^\W_])")
+
+
+def own_words(answer: str, known: set[str]) -> str:
+    """The answer without words of the original that it only names, in quotation marks: they are not in its own language."""
+    return MENTION.sub(lambda m: " " if m[1].casefold() in known else m.group(), answer)
+
+
 def foreign(original: tuple[np.ndarray, int], answer: tuple[np.ndarray, int]) -> bool:
     """Whether the answer is in another language: each side beats the other's language by the margin on its own text, which
     short answers seldom do."""
@@ -93,29 +102,42 @@ def defects(pairs: DataFrame, key: str, original: str, answers: list[str], model
     answers, is left open. The original is judged once for all its answers."""
     held = pairs.sparkSession.sparkContext.broadcast(model)  # languages times BUCKETS numbers, whatever the data
 
-    def defect(o: str, theirs: list[str], known: set[str], a: str | None, seen: list) -> str | None:
+    def plain(o: str, theirs: list[str], known: set[str], a: str | None) -> str | None:
+        """The defect, None where the language must tell."""
         mine = bare(a)
         if not mine or len(mine) <= 3 and " ".join(mine) in STAND_INS:
             return "empty"
         if refusal(o, a, known, mine):
             return "refusal"
-        if copies(theirs, a, mine):
-            return "copy"
-        if len(mine) >= 4 and 2 * sum(w in known for w in mine) >= len(mine):
-            return None  # made of the original's words, so in its language
-        if not seen:
-            seen.append(held.value.judge(o))
-        return "wrong_language" if foreign(seen[0], held.value.judge(a)) else None
-
-    def one(k, o, *given):
-        seen: list = []
-        theirs = bare(o)
-        known = set(theirs)
-        return [(k, f, defect(o or "", theirs, known, a, seen), o, a) for f, a in zip(answers, given, strict=True)]
+        return "copy" if copies(theirs, a, mine) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2_048):
+                keys, originals, *given = (c.to_pylist() for c in b.slice(lo, 2_048).columns)
+                rows, asked = [], []  # asked: row of the output, its original, answer
+                for x, (k, o) in enumerate(zip(keys, originals, strict=True)):
+                    theirs = bare(o)
+                    known = set(theirs)
+                    for f, values in zip(answers, given, strict=True):
+                        a = values[x]
+                        d = plain(o or "", theirs, known, a)
+                        if d is None:
+                            asked.append((len(rows), x, own_words(a, known)))
+                        rows.append([k, f, d, o, a])
+                if asked:
+                    places = sorted({x for _, x, _ in asked})
+                    at = {x: n for n, x in enumerate(places)}
+                    o_score, o_letters = held.value.judge_all([originals[x] or "" for x in places])
+                    a_score, a_letters = held.value.judge_all([a for *_, a in asked])
+                    for n, (row, x, _) in enumerate(asked):
+                        if foreign((o_score[at[x]], o_letters[at[x]]), (a_score[n], a_letters[n])):
+                            rows[row][2] = "wrong_language"
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
 
     schema = pa.schema([(c, pa.string()) for c in ("key", "field", "defect", "original", "answer")])
     src = pairs.select(F.col(key).cast("string").alias("key"), F.col(original).alias("_o"), *answers)
-    return spread(src).mapInArrow(lambda bs: per_row(bs, one, schema), "key string, field string, defect string, original string, answer string")
+    return spread(src).mapInArrow(run, "key string, field string, defect string, original string, answer string")
 
 
 def all_defects(pairs: DataFrame, key: str, original: str, answers: list[str], model: langid.Model) -> DataFrame:
