@@ -1,8 +1,11 @@
-"""How a text ends: form, closing mark, open brackets, and what the words around it say about the end of a sentence.
+"""How a text ends: form, closing mark, open brackets, and how likely its last n-gram is to end a text.
 
-The evidence is counted over all values: how often a word stands inside text, before a closing mark that more text
-follows, at the end of a line that another line follows, and how often a label closes a block. Such places can't be cut
-off, so cut values don't spoil the counts."""
+An ending is an n-gram of the last word (a number with the word before it) and what closes it: a full mark, dots, nothing
+at the end of a list item or labelled line, nothing in running text. P(end | n-gram) is estimated over all values at places
+that can't be cut off, since more text follows: how often a word stands inside text, before a full stop, before a mark that
+what follows shows to have ended a sentence, at the end of a line or paragraph that others follow, and how often a label
+closes a block. So cut values don't spoil the counts. Words that were seldom seen fall back on the share of all words with
+the same closing. Brackets, quotation marks and structures that stay open need no estimate."""
 
 from __future__ import annotations
 
@@ -25,6 +28,7 @@ ENDERS = frozenset(FULL + CLOSERS)
 MARKED = (("\u1000", "\u109f", frozenset("\u104b")), ("\u1780", "\u17ff", frozenset("\u17d4\u17d5\u17da")))  # Burmese, Khmer: their letters and closing marks; Thai and Lao have none
 OPENS = re.compile(r"[\"“„‘«'(\[]*[A-ZÀ-Þ]")  # how a piece begins that can open a sentence
 ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])\s+\S")
+OPEN_FORMS = re.compile(r"\{|```|<think>")  # their end is not that of a sentence
 LABEL = re.compile(r"\s*(?:\*\*)?([A-ZÀ-Þ][\w ]{1,24}?)(?:\*\*)?:(?:\*\*)?\s")
 # Whole answers that need no closing mark.
 LABELLED = 8  # words of a labelled value that may stand without a mark; longer ones are sentences
@@ -60,6 +64,8 @@ def count_words(value: str, c: dict[str, Counter]) -> None:
             p = pieces[k]
             if p[-1] in ENDERS:
                 end = p.rstrip(CLOSERS)
+                if end and end[-1] == ".":
+                    c["dotted"][w] += 1
                 if end and end[-1] in FULL and OPENS.match(pieces[k + 1]) and not (len(w) == 1 and p.strip(AROUND).isupper()):
                     mark[w] += 1
         before = words[k]
@@ -72,6 +78,10 @@ def count_words(value: str, c: dict[str, Counter]) -> None:
         label = m[1].lower() if m else label
         if line.strip() == "---" or not line.strip():
             continue
+        if not after.strip() and line.rstrip()[-1] not in ENDERS:
+            last = WORD.findall(line)
+            if last:
+                c["bare"][token(last, len(last) - 1)] += 1
         found = WORD.findall(line)
         if found and line.rstrip()[-1] not in FULL and (ITEM.match(after) or LABEL.match(after) or after.strip() == "---") and (ITEM.match(line) or m):
             c["line"][token(found, len(found) - 1)] += 1
@@ -80,7 +90,7 @@ def count_words(value: str, c: dict[str, Counter]) -> None:
 
 
 def evidence(values: DataFrame, column: str) -> DataFrame:
-    """token, inside, mark, line, block: counts over all values, pre-aggregated in each task."""
+    """token, inside, mark, line, block, dotted, bare: counts over all values, pre-aggregated in each task."""
     schema = pa.schema([("kind", pa.string()), ("token", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +107,9 @@ def evidence(values: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("token").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in KINDS])
 
 
-KINDS = ("inside", "mark", "line", "block")
+KINDS = ("inside", "mark", "line", "block", "dotted", "bare")
+SEEN = 5.0  # weight of all words together against the counts of one
+LIKELY = 0.5  # a word without a mark in running text ends it if this likely
 
 
 def _counted(c: dict[str, Counter], schema: pa.Schema) -> pa.RecordBatch:
@@ -171,25 +183,43 @@ def ending(value: str, original: str | None = None) -> tuple[str, str, str]:
     return "cut", tok, ""
 
 
-def judged(values: DataFrame, keys: list[str], column: str, original: str | None, counts: DataFrame, rare: float = 0.01, dots: float | None = None) -> DataFrame:
-    """keys and `incomplete` of every value that isn't blank. A value is incomplete if its ending says so, or if the word it
-    ends with makes an end unlikely: P(end | word) under `rare` (`dots` before dots), estimated from the counts."""
+def judged(
+    values: DataFrame, keys: list[str], column: str, original: str | None, counts: DataFrame, rare: float = 0.01, dots: float | None = None, at_limit: str | None = None, lax: tuple[float, float] = (0.05, 1.01)
+) -> DataFrame:
+    """keys and `incomplete` of every value that isn't blank. A value is incomplete if its ending stays open, or if its last
+    n-gram makes an end unlikely: P(end | n-gram) under `rare` (`dots` before dots), or under the bars `lax` for values with the
+    flag `at_limit`. Where the counts tell of no full stops and paragraphs, an ending is taken by its form there."""
     fields = [(k, pa.string()) for k in keys]
-    schema = pa.schema([*fields, ("verdict", pa.string()), ("token", pa.string()), ("label", pa.string())])
+    schema = pa.schema([*fields, ("limit", pa.bool_()), ("verdict", pa.string()), ("token", pa.string()), ("label", pa.string()), ("closed", pa.string())])
     cols = [F.col(k).cast("string").alias(k) for k in keys]
-    src = values.filter(F.length(F.trim(column)) > 0).select(*cols, F.col(column).alias("_v"), (F.col(original) if original else F.lit(None).cast("string")).alias("_o"))
-    ends = spread(src).mapInArrow(lambda bs: per_row(bs, lambda *r: [(*r[:-2], *ending(r[-2], r[-1]))], schema), ", ".join(f"{k} string" for k in keys) + ", verdict string, token string, label string")
-    open_ = ends.filter(F.col("verdict").isin("mark", "dots", "line"))
-    settled = ends.filter(F.col("verdict").isin("whole", "cut")).select(*keys, (F.col("verdict") == "cut").alias("incomplete"))
+    src = values.filter(F.length(F.trim(column)) > 0).select(*cols, (F.col(at_limit) if at_limit else F.lit(False)).alias("limit"), F.col(column).alias("_v"), (F.col(original) if original else F.lit(None).cast("string")).alias("_o"))
+
+    def end(*r):
+        *key, limit, value, given = r
+        verdict, tok, label = ending(value, given)
+        last = value.rstrip()[-1:]
+        closed = "dot" if verdict == "whole" and last == "." else "none" if verdict == "cut" and last.isalnum() and not OPEN_FORMS.match(value.lstrip()) else ""
+        return [(*key, limit, verdict, tok, label, closed)]
+
+    ends = spread(src).mapInArrow(lambda bs: per_row(bs, end, schema), ", ".join(f"{k} string" for k in keys) + ", limit boolean, verdict string, token string, label string, closed string")
     labels = counts.filter("block > 0").select(F.col("token").alias("label"), F.col("block").alias("closes"))
-    known = counts.select("token", "inside", "mark", "line")
+    full = "dotted" in counts.columns
+    known = counts.select("token", "inside", "mark", "line", *(("dotted", "bare") if full else ()))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     share = lambda c: zero(c) / F.greatest(zero("inside"), zero(c), F.lit(1))  # noqa: E731  # what ends something stands inside too
     p_end: Column = share("mark")
+    bar = F.when(F.col("limit"), lax[0]).otherwise(rare)
+    bar_dots = F.when(F.col("limit"), lax[1]).otherwise(rare if dots is None else dots)
     verdict = (
-        F.when(F.col("verdict") == "dots", p_end < (rare if dots is None else dots))
-        .when(F.col("verdict") == "mark", (zero("inside") >= 5) & (p_end < rare))
-        .otherwise((share("line") < rare) | ((F.col("label") != "") & F.col("closes").isNull()))
+        F.when(F.col("verdict") == "dots", p_end < bar_dots)
+        .when(F.col("verdict") == "mark", (zero("inside") >= 5) & (p_end < bar))
+        .when(F.col("verdict") == "line", (share("line") < bar) | ((F.col("label") != "") & F.col("closes").isNull()))
     )
-    looked = open_.join(known, "token", "left").join(labels, "label", "left").select(*keys, verdict.alias("incomplete"))
-    return settled.unionByName(looked)
+    if full:
+        total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("inside", "mark", "dotted", "bare")]).first()
+        all_dots = (total["mark"] + 1.0) / (max(total["mark"], total["dotted"]) + 1.0)
+        all_bare = (total["bare"] + 0.0) / (total["inside"] + 1.0)
+        smooth = lambda n, of, p: (zero(n) + SEEN * p) / (F.greatest(zero(of), zero(n)) + SEEN)
+        verdict = verdict.when(F.col("closed") == "dot", smooth("mark", "dotted", all_dots) < bar).when(F.col("closed") == "none", smooth("bare", "inside", all_bare) < LIKELY)
+    looked = ends.join(known, "token", "left").join(labels, "label", "left")
+    return looked.select(*keys, F.coalesce(verdict, F.col("verdict") == "cut").alias("incomplete"))

@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "p5_found": truncation.p5_found,
         "p5_limits": truncation.p5_limits,
         "p5_report": truncation.p5_report,
+        "p5_signals": truncation.p5_signals,
         "p6_found": sentences.p6_found,
         "p7_ids": encode.p7_ids,
         "p8_found": leak.p8_found,

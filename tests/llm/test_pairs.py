@@ -113,3 +113,54 @@ def test_scripts_with_their_own_closing_marks():
         assert endings.ending(f"{word}{mark} {word}")[0] == "cut"
         assert endings.ending(f"{word}{mark}\n- {word}\n- {word}")[0] == "whole"
     assert endings.ending("\u0e01\u0e32\u0e23")[0] == "whole"
+
+
+def test_many_texts_are_judged_as_each_is():
+    import numpy as np
+
+    m = model()
+    texts = [NL, "", "  ", "Tel. 06-1", EN + langid.APART, "数", "de", FR * 40, "été"]
+    scores, seen = m.judge_all(texts)
+    for k, t in enumerate(texts):
+        s, n = m.judge(t.replace(langid.APART, " "))
+        assert np.allclose(scores[k], s, rtol=1e-3, atol=1e-2) and seen[k] == n
+    assert m.judge_all([])[0].shape == (0, 4)
+
+
+def test_words_named_in_quotation_marks_do_not_tell_the_language():
+    known = {"vergunning", "straat"}
+    assert pairs.own_words("The word 'vergunning' is rare.", known) == "The word   is rare."
+    assert pairs.own_words("The word 'permit' isn't 'straat-'", known) == "The word 'permit' isn't 'straat-'"
+
+
+def test_each_language_has_its_part_of_the_sample(spark):
+    rows = [(k, "nl", NL) for k in range(300)] + [(1000 + k, "DE", DE) for k in range(3)] + [(2000, "fra", FR), (2001, None, EN), (2002, "en", "  "), (2003, " ", EN)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    m = langid.train(df, "lang", "text", "doc_id", sample=60)
+    assert m.langs == ["de", "fr", "nl"] and m.language(DE) == "de" and m.language(FR) == "fr"
+    assert set(langid.train(df.filter("false"), "lang", "text", "doc_id").langs) == set(langid.COMMON)
+
+
+def test_the_last_n_gram_tells_an_end(spark):
+    counts = spark.createDataFrame(
+        [("straat", 900, 300, 0, 0, 310, 0), ("aang", 900, 0, 0, 0, 900, 0), ("noor", 40, 2, 0, 0, 2, 60), ("de", 5000, 0, 0, 0, 0, 1)], "token string, inside long, mark long, line long, block long, dotted long, bare long"
+    )
+    vals = [("a", "Hij woont in de straat."), ("b", "Dat besluit is aang."), ("c", "Met groet van Noor"), ("d", "Zij gaat naar de"), ("e", "Dat is een nieuwtje."), ("f", "Hij loopt op stra"), ("g", None), ("h", " ")]
+    for times in (1, 100):  # whatever the size of the input
+        grown = counts.select("token", *[(F.col(c) * times).alias(c) for c in counts.columns[1:]])
+        got = {r["k"]: r["incomplete"] for r in endings.judged(spark.createDataFrame(vals, "k string, v string"), ["k"], "v", None, grown).collect()}
+        assert got == {"a": False, "b": True, "c": False, "d": True, "e": False, "f": True}
+
+
+def test_hazards_and_signals(spark):
+    rng_lengths = [40 + (7 * n) % 90 for n in range(3000)]
+    whole = [("r%d" % n, ("De man loopt. " * 12)[: k - 1].rstrip() + ".") for n, k in enumerate(rng_lengths)]
+    limit = [("c%d" % n, (f"Nummer {n} is een lange zin over het nieuwe afval in onze straat en over de wijk" * 2)[:80]) for n in range(150)]
+    rows = [*whole, *limit, ("t", "De man loopt over de str")]
+    df = spark.createDataFrame(rows, "row_key string, value string").select(F.lit("t").alias("src_table"), "row_key", F.lit("p").alias("provider"), F.lit(None).cast("string").alias("model"), "value", F.lit(None).cast("string").alias("original"))
+    lim = truncation.limits(df, ["src_table", "provider", "model"], "value")
+    top = lim.filter("limit").collect()
+    assert [r["length"] for r in top] == [80] and abs(top[0]["hazard"] - top[0]["n"] / top[0]["at_risk"]) < 1e-12
+    got = {r["row_key"]: r["signal"] for r in truncation.signalled(df).filter("signal is not null").collect()}
+    assert got["t"] == "transfer" and sum(v == "limit" for v in got.values()) >= 140 and not [k for k in got if k[0] == "r"]
+    assert truncation.signalled(df.filter("false")).count() == 0
