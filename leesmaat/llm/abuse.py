@@ -29,6 +29,8 @@ LIFT = 1.5  # how much more frequent a feature must be in texts of a category th
 LEAST_TEXTS = 2  # texts a feature must occur in
 CLEAN_QUANTILES = (0.998, 0.9993, 0.9996)  # by round: a responsible sentence scores above this share of the sentences of clean texts
 THRESHOLD = 0.5
+LEAST_CONFIRMED = 3  # texts of a category with a sentence that others confirm; with fewer there is no model for it
+MOST_WRONG = 0.01  # share of clean texts that a model of other texts may score at THRESHOLD; with more there is none either
 
 # Digits and signs that stand for letters.
 LEET = str.maketrans("0134579@$!", "oieastgasi")
@@ -40,22 +42,6 @@ MASKED = "maskedword"
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?…]+(?=[\s\"”’»)]|$)|[.!?](?=[A-ZÀ-Þ])|\n\s*\n|[。！？।]")
 EDGE = np.uint64(0x51ED270B7F1A3C95)  # a sentence's edge
 
-# Training sentences of our own, so that a table with few labels still yields a model.
-SEEDS = {
-    "abusive": """jij bent een idioot en niemand wil jou hier|hou je bek sukkel|rot op vuile klootzak|wat ben jij een ontzettende trut|je bent te dom om te poepen|ik weet waar je woont en ik sla je in elkaar
-ik maak je kapot als ik je tegenkom|ga toch dood mislukkeling|niemand zou je missen loser|wat een debiel die schrijver|steek het maar in je reet|kan die eikel eindelijk opdonderen|shut up you stupid idiot|you are a worthless moron
-i will find you and hurt you|lees eens een boek achterlijke gek|je moeder had je moeten weggooien|domme koe dat je bent|gore hufter krijg toch de tering""",
-    "hateful": """buitenlanders zijn ongedierte en moeten weg|alle moslims zijn terroristen en horen hier niet|joden zijn het kwaad in de wereld|homo's zijn ziek en verdienen geen rechten|vrouwen zijn minder waard dan mannen
-gehandicapten zijn een last en moeten verdwijnen|stuur die vluchtelingen terug of erger|zwarten zijn van nature dommer dan wij|immigrants are vermin and should be driven out|all gays are sick and deserve no rights
-dat soort mensen moeten ze opsluiten het zit in hun bloed|wij verhuren niets aan zulke mensen want zij deugen niet""",
-    "sexual": """ze trok haar kleren uit en ze hadden wilde seks|geile vrouwen bij jou in de buurt bel nu|bekijk gratis naaktfoto's van hete meisjes|hij kreunde terwijl zij hem likte|lekker neuken zonder gedoe
-haar natte kut verlangde naar zijn harde lul|hete webcam doet alles naakt voor jou|hot girls want to have sex with you tonight|she moaned as he entered her|zoek je een ondeugende nacht met porno""",
-    "none": """borstonderzoek is gratis voor vrouwen vanaf vijftig jaar|seksuele voorlichting op school gaat over veilig vrijen|discriminatie van homo's en moslims is verboden|wie anderen uitscheldt wordt van het forum verwijderd|de rechter veroordeelde de man wegens belediging
-een rat in huis meldt u bij de gemeente|het varken staat in de wei|de ezel draagt de zakken|de dokter bespreekt een soa test|in het museum hangt een schilderij van een naakte vrouw|schelden is niet toegestaan in de zwemzaal
-wij helpen vluchtelingen met het vinden van een woning|de politie zoekt de dader van de bedreiging|vrouwen en mannen verdienen hetzelfde loon|de eikel valt van de boom""",
-}
-
-
 def reveal(text: str) -> str:
     """The text without disguises that cross the bounds of words: spaced and dotted letters, stars, signs for letters."""
     t = SPACED.sub(lambda m: re.sub(r"[\W_]", "", m.group()), text)
@@ -201,13 +187,16 @@ def _score(model: Ftrl, c: int, s: Sentences, ids: np.ndarray) -> np.ndarray:
     return np.bincount(local, model.weights(c, u)[back], len(ids))
 
 
-def fit(texts: list[str], labels: list[dict[str, float]], own: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+def fit(texts: list[str], labels: list[dict[str, float]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sparse weights (buckets, values) of each category. labels: share of a text's votes by category; all none: {}.
-    own: how many texts at the end are training sentences of our own.
 
     Features that are no more frequent in texts of the category than elsewhere are left out. In each round the texts are
     split in folds; the sentences of a fold are judged by a model of the other folds, so that a wrongly labelled text, whose
-    sentences nothing elsewhere confirms, drops out instead of being learnt by heart."""
+    sentences nothing elsewhere confirms, drops out instead of being learnt by heart. A category with too few confirmed
+    texts, or whose models of other folds fail on clean texts, gets no weights: nothing is found for it."""
+    nothing = (np.empty(0, np.int64), np.empty(0, np.float32))
+    if not texts:
+        return [nothing] * len(CATEGORIES)
     h, doc = Reader().read(texts)
     sentence, parts = grams(h)
     total, count = int(sentence[-1]) + 1, len(texts)
@@ -218,7 +207,6 @@ def fit(texts: list[str], labels: list[dict[str, float]], own: int = 0) -> list[
     once = np.unique(all_bucket * count + home[all_row])
     of_bucket, of_text = once // count, once % count
     everywhere = np.bincount(of_bucket, minlength=1 << BITS)
-    mine = np.arange(count) >= count - own
     clean = np.array([not x for x in labels])
     fold = np.arange(count) % FOLDS
     result, model = [], Ftrl.empty()
@@ -226,8 +214,7 @@ def fit(texts: list[str], labels: list[dict[str, float]], own: int = 0) -> list[
         vote = np.array([x.get(name, 0.0) for x in labels])
         inside = np.bincount(of_bucket[vote[of_text] > 0], minlength=1 << BITS)
         share = max(1, np.count_nonzero(vote)) / count
-        good = (inside >= LEAST_TEXTS) & (inside > LIFT * share * everywhere) | (np.bincount(of_bucket[mine[of_text] & (vote[of_text] > 0)], minlength=1 << BITS) > 0)
-        keep = good[all_bucket]
+        keep = ((inside >= LEAST_TEXTS) & (inside > LIFT * share * everywhere))[all_bucket]
         bucket, row = all_bucket[keep], all_row[keep]
         order = np.argsort(row, kind="stable")
         s = Sentences(bucket[order], np.searchsorted(row[order], np.arange(total + 1)), home)
@@ -237,18 +224,26 @@ def fit(texts: list[str], labels: list[dict[str, float]], own: int = 0) -> list[
         size = np.bincount(home[used], minlength=count)
         target = positive.astype(np.float64)
         weight = np.where(positive, vote[home] * 4 / np.maximum(size[home], 4), np.where(other, 0.25, 1.0))
-        for quantile in CLEAN_QUANTILES:
+        for quantile in (*CLEAN_QUANTILES, None):  # the last pass only judges
             score = np.full(total, -50.0)
             for f in range(FOLDS):
                 held = fold[home[used]] == f
                 _train_one(model, c, s, used[~held], target, weight)
                 score[used[held]] = _score(model, c, s, used[held])
+            if quantile is None:
+                break
             lines = score[used][clean[home[used]]]
             floor = np.quantile(lines, quantile) if len(lines) else -50.0
-            chosen = positive & ((score > floor) | mine[home])
+            chosen = positive & (score > floor)
             target = chosen.astype(np.float64)
             weight = np.where(chosen, 2.0 * np.maximum(vote[home], 0.5), np.where(positive, 0.0, np.where(other, 0.25, 1.0)))
         _train_one(model, c, s, used, target, weight)
+        found = np.bincount(home[score >= 0.0], minlength=count) > 0  # by models of other texts
+        confirmed, wrong = np.count_nonzero(found & (vote > 0)), np.count_nonzero(found & clean)
+        bias = float(model.weights(c, np.array([BIAS]))[0])
+        if confirmed < LEAST_CONFIRMED or wrong > MOST_WRONG * max(1, np.count_nonzero(clean)) or bias >= 0:
+            result.append(nothing)
+            continue
         at = np.flatnonzero(np.abs(model.z[c]) > L1)
         result.append((at, model.weights(c, at).astype(np.float32)))
     return result
@@ -259,7 +254,9 @@ class Scorer:
         self.reader, self.dense = Reader(), np.zeros((len(CATEGORIES), (1 << BITS) + 1), np.float32)
         for c, (at, w) in enumerate(sparse):
             self.dense[c, at] = w
-        self.any = (self.dense != 0).any(0)  # a small table that tells the few buckets that matter
+            if not len(at):
+                self.dense[c, BIAS] = -50.0  # no model, no score
+        self.any = (self.dense[:, :BIAS] != 0).any(0)  # a small table that tells the few buckets that matter
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability by text and category: that of the worst sentence."""
@@ -281,9 +278,6 @@ class Scorer:
         return out
 
 
-
-
-
 def train(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     """Weights from labelled documents: at most SAMPLE_POSITIVE with a category and SAMPLE_NONE without, by hash order."""
     votes = labels.filter(F.col("doc_id").isNotNull() & F.col("category").isNotNull()).groupBy("doc_id").agg(
@@ -299,11 +293,7 @@ def train(documents: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.
     rows = sorted(rows, key=lambda r: r["doc_id"])
     texts = [r["text"] for r in rows]
     shares = [{c: float(r[c]) for c in CATEGORIES if r[c]} for r in rows]
-    for name, block in SEEDS.items():
-        for s in re.split(r"[|\n]", block):
-            texts.append(s)
-            shares.append({} if name == "none" else {name: 1.0})
-    return fit(texts, shares, len(texts) - len(rows))
+    return fit(texts, shares)
 
 
 def scores(documents: DataFrame, weights: list[tuple[np.ndarray, np.ndarray]], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -58,3 +58,11 @@ def test_table(spark):
     assert len(s) == 203 and all(0 <= r[c] <= 1 for r in s for c in abuse.CATEGORIES)
     assert all(r["abusive"] == 0 for r in s if r["doc_id"] in (900, 901))
     assert abuse.scores(docs.filter("false"), abuse.train(docs, votes.filter("false"))).count() == 0
+
+
+def test_too_few_labels_find_nothing():
+    texts, labels = corpus(30, 5)
+    few = [x if k == next(i for i, y in enumerate(labels) if y) else {} for k, x in enumerate(labels)]
+    for weights in (abuse.fit(texts, few), abuse.fit(texts, [{} for _ in texts]), abuse.fit([], [])):
+        p = abuse.Scorer(weights).score(texts)
+        assert p.shape == (30, 3) and (p < abuse.THRESHOLD).all()
