@@ -8,32 +8,53 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leesmaat.operators import aggregate, blocks, features, syntax, tokens, triggers
+from leesmaat.operators import aggregate, blocks, features, structure, syntax, tokens, triggers
 from leesmaat.plans import planner
 from leesmaat.sources.lexicons import Lexicons
-from leesmaat.workspace import cut
+from leesmaat.workspace import by_document, cut
 
 
 @dataclass
 class Analysis:
     """Tables of one analysis, each made on first use and written to the shared folder where several others build on it.
 
-    documents: doc_id BIGINT, text. format: text (structure by lines) or markdown. annotator: a parser; None derives columns."""
+    documents: doc_id BIGINT, text. format: text (structure by lines) or markdown. annotator: a parser; None derives columns.
+    structured: sentences are those of blocks, and fragments that can't be scored are none; without it a document is one text."""
 
     documents: DataFrame
     lexicons: Lexicons
     format: str = "text"
     annotator: tokens.Annotator | None = None
     thresholds: dict | None = None
+    structured: bool = True
 
     @cached_property
     def blocks(self) -> DataFrame:
         return blocks.from_markdown(self.documents) if self.format == "markdown" else blocks.blocks(self.documents)
 
+    @cached_property
+    def _parsed(self) -> DataFrame:
+        """Annotated tokens before fragments leave."""
+        found = tokens.annotate_blocks(by_document(self.blocks), self.annotator) if self.structured else tokens.annotate(self.documents, self.annotator)
+        return cut(syntax.parse(found), "tokens")
+
+    @cached_property
+    def _described(self) -> DataFrame:
+        return cut(features.token_features(self._parsed, self.lexicons), "described")
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        """Every sentence found in blocks, with its number among the sentences, null for a fragment."""
+        return cut(structure.without_fragments(structure.sentence_texts(self._parsed), aggregate.sentence_features(self._described)), "kept")
+
+    @cached_property
+    def layout(self) -> DataFrame:
+        return structure.layout(self.blocks, self.kept)
+
     @cached_property
     def tokens(self) -> DataFrame:
         """Annotated tokens with their structure."""
-        return cut(syntax.parse(tokens.annotate(self.documents, self.annotator)), "tokens")
+        return structure.renumbered(self._parsed, self.kept) if self.structured else self._parsed
 
     @cached_property
     def heads(self) -> DataFrame:
@@ -41,7 +62,8 @@ class Analysis:
 
     @cached_property
     def features(self) -> DataFrame:
-        return cut(features.novelty(features.token_features(self.tokens, self.lexicons)), "features")
+        found = structure.renumbered(self._described, self.kept) if self.structured else features.token_features(self._parsed, self.lexicons)
+        return cut(features.novelty(found), "features")
 
     @cached_property
     def sentences(self) -> DataFrame:
@@ -89,9 +111,10 @@ class Readability:
     def __init__(self, lexicons: Lexicons, annotator: tokens.Annotator | None = None, thresholds: dict | None = None):
         self.lexicons, self.annotator, self.thresholds = lexicons, annotator, thresholds
 
-    def analyze(self, documents: DataFrame, key: str = "doc_id", text: str = "text", format: str = "text", unwrap: bool = False) -> Analysis:
-        """documents with any other columns; null texts take no part. unwrap rejoins hard-wrapped lines first."""
+    def analyze(self, documents: DataFrame, key: str = "doc_id", text: str = "text", format: str = "text", unwrap: bool | None = None, structure: bool = True) -> Analysis:
+        """documents with any other columns; null texts take no part. unwrap rejoins hard-wrapped lines first; left open, plain
+        text with structure is. structure False takes a document as one text, as if it had no headings, lists or lines."""
         d = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-        if unwrap:
-            d = blocks.unwrap(d, self.lexicons.dictionary)
-        return Analysis(d, self.lexicons, format, self.annotator, self.thresholds)
+        if unwrap or unwrap is None and structure and format == "text":
+            d = cut(blocks.unwrap(d, self.lexicons.dictionary), "unwrapped")
+        return Analysis(d, self.lexicons, format, self.annotator, self.thresholds, structure)

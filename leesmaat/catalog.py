@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leesmaat import constants as K
@@ -16,7 +16,7 @@ from leesmaat.api import Analysis, Readability
 from leesmaat.functions import guards as G
 from leesmaat.functions import score as S
 from leesmaat.functions import text as T
-from leesmaat.operators import aggregate, blocks, editor, features, rewrite, spelling, stats, syntax, triggers, validation
+from leesmaat.operators import aggregate, blocks, editor, features, rewrite, spelling, stats, structure, syntax, triggers, validation
 from leesmaat.plans import planner
 from leesmaat.sources import eval_items, lexicons, results
 
@@ -32,17 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _analyses:
+        lex = lexicons.derived(table(spark, sf_dir, "word_freq"))
+        _analyses[key] = Readability(lex).analyze(table(spark, sf_dir, "documents"), structure=False)
+    return _analyses[key]
+
+
+def by_blocks(spark: SparkSession, sf_dir: str) -> Analysis:
+    """The same with documents taken as blocks, hard-wrapped lines rejoined first."""
+    key = (spark.sparkContext.applicationId, f"blocks of {sf_dir}")
     if key not in _analyses:
         lex = lexicons.derived(table(spark, sf_dir, "word_freq"))
         _analyses[key] = Readability(lex).analyze(table(spark, sf_dir, "documents"))
     return _analyses[key]
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, parts: dict[str, str] | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            SQL[name] = Q.steady(Q.sql(sql))
+            SQL[name] = Q.steady(Q.sql(sql, parts))
         return f
 
     return register
@@ -638,6 +647,71 @@ def _(spark, d):
     return rewrite.without_enumerated(s).select("suggestion_id").distinct()
 
 
+# --- documents as blocks --------------------------------------------------------------------------------------------
+
+
+@query("q_block_tokens", "SELECT doc_id, sent_idx, i, text, lemma, pos, dep, head FROM tok", Q.BLOCKS)
+def _(spark, d):
+    return by_blocks(spark, d)._parsed.select("doc_id", "sent_idx", "i", "text", "lemma", "pos", "dep", "head")
+
+
+@query("q_merged_sentences", "SELECT doc_id, sent_idx, string_agg(text, ' ' ORDER BY i) AS sentence FROM tok GROUP BY 1, 2", Q.BLOCKS)
+def _(spark, d):
+    return by_blocks(spark, d).kept.select("doc_id", "sent_idx", "sentence")
+
+
+@query("q_excluded_fragments", "SELECT doc_id, sent_idx, sentence FROM kept WHERE new_idx IS NULL", Q.BLOCKS)
+def _(spark, d):
+    return by_blocks(spark, d).kept.filter("new_idx IS NULL").select("doc_id", "sent_idx", "sentence")
+
+
+@query(
+    "q_layout",
+    """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, s) - 1 AS INTEGER) AS place, type, text, sentence FROM (
+       SELECT doc_id, n, 0 AS s, type, line AS text, NULL AS sentence FROM shown WHERE type <> 'prose'
+       UNION ALL SELECT k.doc_id, t.n, k.sent_idx, CASE WHEN new_idx IS NULL THEN 'heading' ELSE 'sentence' END, k.sentence, new_idx FROM kept k JOIN (SELECT DISTINCT doc_id, sent_idx, n FROM t1) t USING (doc_id, sent_idx))""",
+    Q.BLOCKS,
+)
+def _(spark, d):
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_idx", "part")) - 1
+    return by_blocks(spark, d).layout.select("doc_id", place.cast("int").alias("place"), "type", "text", F.try_element_at("sentences", F.lit(1)).alias("sentence"))
+
+
+@query("q_structured_sentences", f"SELECT {SENTENCE_INTS.replace('sent_idx', 'new_idx AS sent_idx')}, {rounded(SENTENCE_FLOATS)}, round(score, 6) AS score, level FROM sent JOIN kept USING (doc_id, sent_idx) WHERE new_idx IS NOT NULL", Q.BLOCKS)
+def _(spark, d):
+    return r6(by_blocks(spark, d).sentences.select(*SENTENCE_INTS.split(", "), *SENTENCE_FLOATS, "score", "level"), *SENTENCE_FLOATS, "score")
+
+
+@query("q_structured_score", f"SELECT doc_id, sentence_count, CAST(words AS BIGINT) AS words, {rounded(DOC_FLOATS)}, level FROM doc", Q.BLOCKS)
+def _(spark, d):
+    return r6(by_blocks(spark, d).scores.select("doc_id", "sentence_count", "words", *DOC_FLOATS, "level"), *DOC_FLOATS)
+
+
+@query("q_structured_triggers", "SELECT doc_id, new_idx AS sent_idx, type, i, word, round(value, 6) AS value FROM trig JOIN kept USING (doc_id, sent_idx) WHERE new_idx IS NOT NULL", Q.BLOCKS)
+def _(spark, d):
+    return r6(by_blocks(spark, d).triggers().select("doc_id", "sent_idx", "type", "i", "word", "value"), "value")
+
+
+def linkable(a: Analysis) -> DataFrame:
+    """Sentences of a structured analysis with what linking asks of them, and the paragraph of the layout each stands in."""
+    t = a.tokens.groupBy("doc_id", "sent_idx").agg(aggregate.count_if(~F.col("is_punct")).alias("sent_length"), F.min_by("lower", "i").alias("first_word"), F.max_by("lower", "i").alias("last_token"))
+    return t.join(structure.paragraphs(a.layout), ["doc_id", "sent_idx"])
+
+
+@query(
+    "q_paragraph_links",
+    f"""SELECT doc_id, sent_idx, second FROM (SELECT *, lead(sent_idx) OVER w AS second, lead(words) OVER w AS n2, lead(first_word) OVER w AS f2w, lead(last_token) OVER w AS l2 FROM (
+        SELECT k.doc_id, k.new_idx AS sent_idx, any_value(p.para) AS para, count(*) FILTER (NOT t.is_punct) AS words, arg_min(t.lower, t.i) AS first_word, arg_max(t.lower, t.i) AS last_token FROM tok t JOIN kept k USING (doc_id, sent_idx)
+          JOIN (SELECT doc_id, type, s, sum(CASE WHEN type <> 'sentence' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n, s) AS para FROM (SELECT doc_id, n, 0 AS s, 'other' AS type FROM shown WHERE type <> 'prose'
+            UNION ALL SELECT k.doc_id, u.n, k.sent_idx, CASE WHEN new_idx IS NULL THEN 'other' ELSE 'sentence' END FROM kept k JOIN (SELECT DISTINCT doc_id, sent_idx, n FROM t1) u USING (doc_id, sent_idx))) p ON p.doc_id = k.doc_id AND p.s = k.sent_idx AND p.type = 'sentence'
+          WHERE k.new_idx IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY doc_id, para ORDER BY sent_idx))
+        WHERE second = sent_idx + 1 AND words >= 4 AND n2 >= 4 AND last_token <> '?' AND l2 <> '?' AND f2w NOT IN {Q.names(K.CONNECTIVES)}""",
+    Q.BLOCKS,
+)
+def _(spark, d):
+    return planner.connective_candidates(linkable(by_blocks(spark, d)), ["paragraph"]).select("doc_id", "sent_idx", "second")
+
+
 # --- figures, evaluation, service -----------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leesmaat.functions import text as T
+from leesmaat.operators import structure
 from leesmaat.workspace import by_document
 
 #: An annotator turns (doc_id, text) into the token schema: doc_id, sent_idx, i, text, lower, lemma, pos, tag, dep, head, ent_type, is_punct, is_alpha.
@@ -37,14 +38,19 @@ def any_of(c: Column, values: tuple[str, ...]) -> Column:
 
 def derive(tokens: DataFrame) -> DataFrame:
     """A deterministic annotation from word lists and last letters. It is no parse: it only gives every operator of the
-    engine columns of the right shape, by rules that SQL can repeat."""
+    engine columns of the right shape, by rules that SQL can repeat. Tokens that come with sent_idx and block_idx keep them,
+    and no word of another block counts as the one before."""
     low, n = F.lower("text"), F.length("text")
     by_doc = W.partitionBy("doc_id").orderBy("i")
     ends = F.col("text").isin(".", "!", "?", "…").cast("int")
+    given = "sent_idx" in tokens.columns
+    back = W.partitionBy("doc_id", "block_idx").orderBy("i") if given else by_doc
+    place = F.col("sent_idx") if given else F.coalesce(F.sum(ends).over(by_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("sent_idx")
+    carried = ["block_idx"] if given else []
     t = tokens.select(
-        "doc_id", "i", "text", low.alias("lower"), (~F.col("text").rlike(r"^[\p{L}\p{N}]")).alias("is_punct"), F.col("text").rlike(r"^\p{L}+$").alias("is_alpha"),
-        F.coalesce(F.sum(ends).over(by_doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("sent_idx"),
-        F.coalesce(F.lag(low).over(by_doc), F.lit("")).alias("before"),
+        "doc_id", *carried, "i", "text", low.alias("lower"), (~F.col("text").rlike(r"^[\p{L}\p{N}]")).alias("is_punct"), F.col("text").rlike(r"^\p{L}+$").alias("is_alpha"),
+        place,
+        F.coalesce(F.lag(low).over(back), F.lit("")).alias("before"),
     )
     low = F.col("lower")
     pos = (
@@ -89,7 +95,18 @@ def derive(tokens: DataFrame) -> DataFrame:
     lemma = F.when(low.endswith("en") & (n > 5), F.expr("left(lower, length(lower) - 2)")).when(low.endswith("t") & is_verb, F.expr("left(lower, length(lower) - 1)")).otherwise(low)
     entity = F.when(F.col("pos") == "PROPN", F.when(n % 3 == 0, "PERSON").when(n % 3 == 1, "GPE").otherwise("ORG"))
     t = t.withColumn("dep", dep).withColumn("head", head)
-    return t.select("doc_id", "sent_idx", "i", "text", "lower", lemma.alias("lemma"), "pos", tag.alias("tag"), "dep", "head", entity.alias("ent_type"), "is_punct", "is_alpha")
+    return t.select("doc_id", *carried, "sent_idx", "i", "text", "lower", lemma.alias("lemma"), "pos", tag.alias("tag"), "dep", "head", entity.alias("ent_type"), "is_punct", "is_alpha")
+
+
+def annotate_blocks(blocks: DataFrame, annotator: Annotator | None = None) -> DataFrame:
+    """Tokens of the sentences of blocks. A plugged-in annotator gets doc_id, block_idx, text of the blocks that are analysed
+    and returns the token schema with block_idx, sent_idx and i counted within the block and head among the latter; short
+    sentences are joined and all numbers made the document's here."""
+    if annotator is None:
+        return derive(structure.sentence_tokens(blocks))
+    t = structure.merged(annotator(structure.analysed(blocks)).withColumnRenamed("sent_idx", "seg"))
+    t = structure.numbered(t.withColumn("_at", F.col("i")))
+    return t.withColumn("head", (F.col("i") - F.col("_at") + F.col("head")).cast("int")).drop("_at")
 
 
 def annotate(documents: DataFrame, annotator: Annotator | None = None) -> DataFrame:

@@ -122,6 +122,33 @@ PARTS: dict[str, str] = {
 }
 
 
+# The parts that differ where documents are taken as blocks: hard-wrapped texts are rejoined, sentences stay within the prose
+# lines of a text, short ones join the next, and what is a mere fragment without a score is no sentence.
+_RAW = {f"{k}_raw": re.sub(r"\b(docs|lines0|lines|kinds)\b", r"\1_raw", PARTS[k]) for k in ("docs", "lines0", "lines", "kinds")}
+UNWRAPPED = """SELECT doc_id, coalesce(u.text, docs_raw.text) AS text FROM docs_raw LEFT JOIN (SELECT doc_id, string_agg(p, chr(10) ORDER BY n) AS text FROM paras GROUP BY doc_id) u USING (doc_id)"""
+BLOCKS: dict[str, str] = _RAW | {
+    "wrapped": "SELECT doc_id FROM (SELECT doc_id, count(*) FILTER (line <> '' AND nxt <> '') AS j, count(*) FILTER (line <> '' AND nxt <> '' AND type = 'heading') AS s FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS nxt FROM kinds_raw) GROUP BY doc_id) WHERE j >= 3 AND s >= greatest(2, 0.4 * j)",
+    "para_lines": "SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS para FROM kinds_raw WHERE doc_id IN (SELECT doc_id FROM wrapped)",
+    "hyphens": r"SELECT *, CASE WHEN regexp_extract(line, '(\p{L}+)-$', 1) <> '' AND regexp_extract(coalesce(nxt, ''), '^(\p{Ll}\p{L}*)', 1) <> '' THEN lower(regexp_extract(line, '(\p{L}+)-$', 1) || regexp_extract(nxt, '^(\p{Ll}\p{L}*)', 1)) END AS joined FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id, para ORDER BY n) AS nxt FROM para_lines WHERE line <> '')",
+    "paras": """SELECT doc_id, min(n) AS n, trim(string_agg(CASE WHEN w.word IS NOT NULL THEN left(line, length(line) - 1) WHEN joined IS NOT NULL THEN line ELSE line || ' ' END, '' ORDER BY n), ' ') AS p FROM hyphens LEFT JOIN word_freq w ON w.word = hyphens.joined GROUP BY doc_id, para
+      UNION ALL SELECT doc_id, n, line FROM para_lines WHERE line = ''""",
+    "docs": UNWRAPPED,
+    "shown": """SELECT * FROM (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY n) AS last, max(CASE WHEN type <> 'blank' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead,
+      min(CASE WHEN type <> 'blank' THEN n END) OVER (PARTITION BY doc_id) AS first FROM kinds) WHERE (type <> 'blank' OR (last <> 'blank' AND ahead IS NOT NULL)) AND n >= first""",
+    "b0": f"SELECT doc_id, n, unnest(toks) AS text, CAST(unnest(range(len(toks))) AS INTEGER) AS p FROM (SELECT doc_id, n, regexp_extract_all(line, '{T.TOKEN}') AS toks FROM kinds WHERE type = 'prose')",
+    "b1": f"SELECT *, coalesce(sum(CASE WHEN text IN ('.', '!', '?', '…') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, n ORDER BY p {PAST}), 0) AS seg FROM b0",
+    "b2": "SELECT *, w <= 2 AND last NOT IN ('.', '!', '?') AND lead(seg) OVER (PARTITION BY doc_id, n ORDER BY seg) IS NOT NULL AS short FROM (SELECT doc_id, n, seg, count(*) FILTER (regexp_matches(text, '^[\\p{L}\\p{N}]')) AS w, arg_max(text, p) AS last FROM b1 GROUP BY 1, 2, 3)",
+    "b3": "SELECT *, short AND (seg - coalesce(max(CASE WHEN NOT short THEN seg END) OVER (PARTITION BY doc_id, n ORDER BY seg), -1)) % 2 = 1 AS opens FROM b2",
+    "b4": "SELECT doc_id, n, seg, CASE WHEN coalesce(lag(opens) OVER (PARTITION BY doc_id, n ORDER BY seg), false) THEN seg - 1 ELSE seg END AS grp FROM b3",
+    "t1": """SELECT doc_id, n, text, lower(text) AS lower, NOT regexp_matches(text, '^[\\p{L}\\p{N}]') AS is_punct, regexp_matches(text, '^\\p{L}+$') AS is_alpha, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY n, grp) - 1 AS INTEGER) AS sent_idx,
+      CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, p) - 1 AS INTEGER) AS i, coalesce(lag(lower(text)) OVER (PARTITION BY doc_id, n ORDER BY p), '') AS before FROM b1 JOIN b4 USING (doc_id, n, seg)""",
+    "texts": "SELECT doc_id, sent_idx, string_agg(text, ' ' ORDER BY i) AS sentence FROM tok GROUP BY 1, 2",
+    "kept": f"""SELECT *, CASE WHEN NOT fragment THEN CAST(sum(CASE WHEN fragment THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS INTEGER) END AS new_idx FROM (
+      SELECT doc_id, sent_idx, sentence, score IS NULL AND (len(regexp_extract_all(sentence, '\\p{{L}}+')) <= 3 OR regexp_matches(sentence, ':\\s*$')) AS fragment FROM texts JOIN s0 USING (doc_id, sent_idx))""",
+    "d0": PARTS["d0"].replace("FROM s0 GROUP", "FROM s0 JOIN kept USING (doc_id, sent_idx) WHERE new_idx IS NOT NULL GROUP"),
+}
+
+
 TIE = 1e-9
 
 
@@ -140,23 +167,26 @@ def steady(text: str) -> str:
     return text
 
 
-def sql(select: str) -> str:
-    """A query with the parts it names, and those they name."""
-    need: set[str] = set()
+def sql(select: str, parts: dict[str, str] | None = None) -> str:
+    """A query with the parts it names, and those they name; `parts` take the place of common ones of the same name."""
+    known, need, seen = PARTS | (parts or {}), [], set()
 
     def pull(text: str) -> None:
-        for name in PARTS:
-            if name not in need and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
-                need.add(name)
-                pull(PARTS[name])
+        for name in known:
+            if name not in seen and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+                seen.add(name)
+                pull(known[name])
+                need.append(name)
 
     pull(select)
     if not need:
         return select
+    if parts is None:
+        need.sort(key=list(PARTS).index)
     recursive = {"climb", "up"}
     if select.lstrip().startswith("WITH "):
         select = "," + select.lstrip()[4:]
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({PARTS[n]})" for n in PARTS if n in need) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({known[n]})" for n in need) + "\n" + select
 
 
 __all__ = ["PARTS", "TYPES", "sql"]
