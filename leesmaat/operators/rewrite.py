@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import queue
 import re
+import threading
 import time
 from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANSWER = pa.schema([("job", pa.string()), ("content", pa.string()), ("model", pa.string()), ("error", pa.string()), ("seconds", pa.float64())])
@@ -33,25 +35,33 @@ class Echo:
 
 def run_jobs(jobs: DataFrame, factory, key: str, system: str, user: str, max_tokens: int = 512, deadline: float = 300.0, on_error: str = "column") -> DataFrame:
     """key, content, model, error, seconds of every job. A failing call gives a row with its error (on_error "column") or
-    fails the task ("raise"); once a task has waited longer than the deadline its other jobs are given up with an error."""
+    fails the task ("raise"). A call that takes longer than the deadline is given up with the error "deadline", and only that
+    one: it goes on in a thread that nobody waits for, and the next job is asked of a model of its own."""
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
-        late = False
         for b in batches:
             rows = []
             for k, s, u in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 began = time.monotonic()
-                if late:
-                    rows.append((k, None, model.model, "deadline", 0.0))
-                    continue
+                answer: queue.SimpleQueue = queue.SimpleQueue()
+
+                def work(model=model, s=s, u=u, answer=answer):
+                    try:
+                        answer.put((model.complete(s or "", u or "", max_tokens), None))
+                    except Exception as e:  # handed on below
+                        answer.put((None, e))
+
+                threading.Thread(target=work, daemon=True).start()
+                name = model.model
                 try:
-                    rows.append((k, model.complete(s or "", u or "", max_tokens), model.model, None, time.monotonic() - began))
-                except Exception as e:
-                    if on_error == "raise":
-                        raise
-                    rows.append((k, None, model.model, f"{type(e).__name__}: {e}"[:500], time.monotonic() - began))
-                late = time.monotonic() - began > deadline
+                    content, error = answer.get(timeout=deadline)
+                except queue.Empty:
+                    content, error, model = None, TimeoutError("deadline"), factory()
+                if error is not None and on_error == "raise":
+                    raise error
+                text = None if error is None else "deadline" if isinstance(error, TimeoutError) and str(error) == "deadline" else f"{type(error).__name__}: {error}"[:500]
+                rows.append((k, content, name, text, time.monotonic() - began))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(ANSWER.types)], schema=ANSWER)
 
     src = jobs.select(F.col(key).cast("string").alias("job"), F.col(system).alias("s"), F.col(user).alias("u"))
@@ -109,9 +119,20 @@ TEMPLATES = {
     "word_frequency": "Noem een bekender woord voor '{issue}' dat in deze zin past.\nZIN: {sentence}\nAntwoord met VERVANGING:, HERSCHRIJVING: en UITLEG:.",
     "spelling": "Noem spelfouten in de genummerde zinnen, elk als blok met ZIN_NUMMER:, WOORD:, VERBETERING:, gescheiden door ---. Antwoord GEEN_FOUTEN als er geen zijn.\n{sentence}",
     "connective": "Voeg twee zinnen samen met een verbindingswoord als dat past.\n{sentence}\nAntwoord per paar met NA_ZIN:, RELATIE: (reden, gevolg of tegenstelling), HERSCHRIJVING: en UITLEG:, gescheiden door ---.",
+    "wordfreq_bundle": "Noem voor elk genummerd woord een bekender woord dat in zijn zin past.\n{items}\nAntwoord per woord met een blok van NUMMER:, VERVANGING:, HERSCHRIJVING: (de hele zin) en UITLEG:, gescheiden door ---.",
+    "judge": "In een zin is '{word}' vervangen door '{replacement}'. Klopt de zin nog, en betekent hij hetzelfde?\nZIN: {sentence}\nAntwoord met OORDEEL: GOED of OORDEEL: FOUT.",
     "enumeration": "Maak van de opsomming een lijst: een regel INLEIDING:, een regel ITEM: per punt en een regel UITLEG:.\nZIN: {sentence}",
 }
 
+SYSTEM = "Je helpt schrijvers om Nederlandse teksten makkelijker leesbaar te maken. Verander de inhoud niet en antwoord alleen in het gevraagde formaat."
+
+
+def level_constraint(level: Column) -> Column:
+    """An instruction to make a text of this level one level easier and no more; null for a null level."""
+    text = F.format_string("\n\nDe tekst heeft niveau %d van 4 (4 is het moeilijkst). Mik op niveau %d en vereenvoudig niet verder: toon en vakinhoud blijven.", level.cast("int"), F.greatest(F.lit(1), level.cast("int") - 1))
+    return F.when(level.isNotNull(), text)
+
+
 # Default model of each kind of provider, whether calls may run side by side, and its temperature.
 PROVIDERS = {
     "openai": ("gpt-4o-mini", True, 0.7), "anthropic": ("claude-3-5-haiku-latest", True, None), "ollama": ("llama3.2", False, None),

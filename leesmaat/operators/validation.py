@@ -79,6 +79,38 @@ def parse_list(content: Column) -> Column:
     return F.struct(bare(value(F.try_element_at(of("inleiding:"), F.lit(-1)))).alias("intro"), items.alias("items"), value(F.try_element_at(of("uitleg:"), F.lit(-1))).alias("explanation"))
 
 
+def introduced(rows: DataFrame, key: str, original: str, rewrite: str, lexicons) -> DataFrame:
+    """key, word: words of a rewrite that its original hasn't and neither word list knows; of three letters or more, in letters
+    only, not capitalised. The first by alphabet where there are several."""
+    old = F.transform(T.bare_words(F.col(original)), F.lower)
+    new = rows.select(F.col(key).alias("_backstop"), F.explode(F.filter(T.bare_words(F.col(rewrite)), lambda w: (F.length(w) >= 3) & w.rlike(r"^\p{L}+$") & ~w.rlike(r"^\p{Lu}") & ~F.array_contains(old, F.lower(w)))).alias("word"))
+    new = new.withColumn("_low", F.lower("word"))
+    for known in (lexicons.frequency, lexicons.dictionary):
+        new = new.join(known.select(F.col("word").alias("_low")).distinct(), "_low", "left_anti")
+    return new.groupBy("_backstop").agg(F.min("word").alias("word")).withColumnRenamed("_backstop", key)
+
+
+def backstop(rows: DataFrame, key: str, original: str, rewrite: str, lexicons, disagreements=None, joins: bool = False) -> DataFrame:
+    """rows with `failure`, the first guard a rewrite fails, null for none: empty, marker (it says it wasn't applied), noop,
+    conjunction, url, misspelling, agreement. key is unique. joins: the rewrite joins sentences, so only empty, marker,
+    misspelling and agreement count. disagreements: a function from (key, text) to the keys of texts in which an adjective
+    doesn't agree, such as wrong_inflection over a parser's tokens."""
+    o, r = F.col(original), F.col(rewrite)
+    bad = introduced(rows.filter(r.isNotNull()), key, original, rewrite, lexicons).select(F.col(key).alias("_backstop"), F.lit(True).alias("_typo"))
+    j = rows.join(bad, F.col(key) == F.col("_backstop"), "left").drop("_backstop")
+    if disagreements is not None:
+        odd = disagreements(rows.select(F.col(key).alias("key"), r.alias("text"))).select(F.col("key").alias("_backstop")).distinct().withColumn("_odd", F.lit(True))
+        j = j.join(odd, F.col(key) == F.col("_backstop"), "left").drop("_backstop")
+    else:
+        j = j.withColumn("_odd", F.lit(None).cast("boolean"))
+    single = F.lit(not joins)
+    failure = F.coalesce(
+        F.when(r.isNull() | (F.trim(r) == ""), "empty"), F.when(F.contains(F.lower(r), F.lit("niet toegepast")), "marker"), F.when(single & G.is_noop(o, r), "noop"), F.when(single & G.breaks_conjunction(o, r), "conjunction"),
+        F.when(single & G.alters_url(o, r), "url"), F.when(F.col("_typo"), "misspelling"), F.when(F.col("_odd"), "agreement"),
+    )
+    return j.withColumn("failure", failure).drop("_typo", "_odd")
+
+
 def variants(answers: DataFrame) -> DataFrame:
     """job, key, label, text, primary: the rewrites of a sentence worth offering. answers: job, sentence, fields (map).
 

@@ -36,8 +36,8 @@ def prioritise(triggers: DataFrame, cap: int | str | None) -> DataFrame:
 
 
 def single_jobs(triggers: DataFrame, cap: int | str | None) -> DataFrame:
-    """One job per admitted problem."""
-    return prioritise(triggers, cap).select("doc_id", F.col("pick").alias("job_idx"), F.lit("single").alias("kind"), "sent_idx", F.array("type").alias("types"), F.array("word").alias("words"))
+    """One job per admitted problem; items has the places of its words."""
+    return prioritise(triggers, cap).select("doc_id", F.col("pick").alias("job_idx"), F.lit("single").alias("kind"), "sent_idx", F.array("type").alias("types"), F.array("word").alias("words"), F.array(F.struct("sent_idx", "i", "word")).alias("items"))
 
 
 def consolidated_jobs(triggers: DataFrame, cap: int | str | None) -> DataFrame:
@@ -48,7 +48,7 @@ def consolidated_jobs(triggers: DataFrame, cap: int | str | None) -> DataFrame:
     keep = [cap] if capped else []
     level = triggers.filter(F.col("type").isin(*K.SENTENCE_LEVEL))
     types = F.transform(F.array_sort(F.collect_list(F.struct(rank_of(F.col("type")).alias("r"), "type"))), lambda x: x["type"])
-    none = F.array().cast("array<string>")
+    none, no_items = F.array().cast("array<string>"), F.array().cast("array<struct<sent_idx int,i int,word string>>")
     s = level.groupBy(*key, *keep).agg(types.alias("types")).select(*key, *keep, F.when(F.size("types") > 1, "consolidated").otherwise("single").alias("kind"), "types", none.alias("words"), F.lit(0).alias("stage"))
     e = triggers.filter(F.col("type") == "enumeration").select(*key, *keep, F.lit("single").alias("kind"), F.array("type").alias("types"), none.alias("words"), F.lit(1).alias("stage"))
     first = s.unionByName(e).withColumn("job_idx", F.row_number().over(W.partitionBy("doc_id").orderBy("stage", "sent_idx")))
@@ -57,9 +57,10 @@ def consolidated_jobs(triggers: DataFrame, cap: int | str | None) -> DataFrame:
     w = triggers.filter(F.col("type") == "word_frequency").withColumn("round", F.row_number().over(W.partitionBy(*key).orderBy("i")))
     w = w.withColumn("pick", F.row_number().over(W.partitionBy("doc_id").orderBy("round", "sent_idx"))).join(used, "doc_id", "left").withColumn("used", F.coalesce("used", F.lit(0)))
     w = within_cap(w, F.col("pick") + F.col("used"), cap)
-    bundles = w.groupBy("doc_id", "used", F.floor((F.col("pick") - 1) / K.BUNDLE).alias("bundle")).agg(F.min_by("sent_idx", "pick").alias("sent_idx"), F.transform(F.array_sort(F.collect_list(F.struct("pick", "word"))), lambda x: x["word"]).alias("words"))
-    b = bundles.select("doc_id", (F.col("used") + F.col("bundle") + 1).cast("int").alias("job_idx"), F.lit("wordfreq_bundle").alias("kind"), "sent_idx", F.array(F.lit("word_frequency")).alias("types"), "words")
-    return first.select("doc_id", "job_idx", "kind", "sent_idx", "types", "words").unionByName(b)
+    bundles = w.groupBy("doc_id", "used", F.floor((F.col("pick") - 1) / K.BUNDLE).alias("bundle")).agg(F.min_by("sent_idx", "pick").alias("sent_idx"), F.array_sort(F.collect_list(F.struct("pick", "sent_idx", "i", "word"))).alias("x"))
+    word, item = F.transform("x", lambda y: y["word"]), F.transform("x", lambda y: y.dropFields("pick"))
+    b = bundles.select("doc_id", (F.col("used") + F.col("bundle") + 1).cast("int").alias("job_idx"), F.lit("wordfreq_bundle").alias("kind"), "sent_idx", F.array(F.lit("word_frequency")).alias("types"), word.alias("words"), item.alias("items"))
+    return first.select("doc_id", "job_idx", "kind", "sent_idx", "types", "words", no_items.alias("items")).unionByName(b)
 
 
 def spelling_chunks(sentences: DataFrame) -> DataFrame:
