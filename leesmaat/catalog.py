@@ -16,7 +16,7 @@ from leesmaat.api import Analysis, Readability
 from leesmaat.functions import guards as G
 from leesmaat.functions import score as S
 from leesmaat.functions import text as T
-from leesmaat.operators import aggregate, blocks, editor, features, rewrite, spelling, stats, structure, syntax, triggers, validation
+from leesmaat.operators import aggregate, blocks, editing, editor, features, generation, rewrite, spelling, stats, structure, syntax, triggers, validation
 from leesmaat.plans import planner
 from leesmaat.sources import eval_items, lexicons, results
 
@@ -47,6 +47,11 @@ def by_blocks(spark: SparkSession, sf_dir: str) -> Analysis:
     return _analyses[key]
 
 
+def forget() -> None:
+    """Let go of the analyses that queries share, so that the next ones read their tables again."""
+    _analyses.clear()
+
+
 def query(name: str, sql: str | None = None, parts: dict[str, str] | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[name] = f
@@ -572,57 +577,133 @@ def _(spark, d):
 
 # --- editing --------------------------------------------------------------------------------------------------------
 
-# Suggestions made from the first twelve dealt problems: every third is accepted, every fourth ignored.
-MADE = "SELECT doc_id, sent_idx, type, pick, CASE WHEN pick % 3 = 0 THEN 'accepted' WHEN pick % 4 = 0 THEN 'ignored' ELSE 'pending' END AS state, CASE WHEN type = 'word_frequency' THEN i // 4 ELSE sent_idx * 1000000 END AS unit FROM dealt WHERE pick <= 12"
+# Every suggestion of the table, a re-delivered one once; a request is a document here.
+PROPOSED = "(SELECT DISTINCT ON (suggestion_id) suggestion_id AS id, request_id AS doc_id, sentence_index AS sent_idx, type, original_text AS original, suggested_text AS suggested, word_index AS i, replacement_word AS replacement, relation, error_category FROM suggestions WHERE request_id IS NOT NULL AND sentence_index IS NOT NULL ORDER BY suggestion_id, ingested_at)"
+WORD_TYPES = ("word_frequency", "spelling")
+ALONE = ("connective", "enumeration")
+
+
+def proposed(spark, d) -> DataFrame:
+    s = table(spark, d, "suggestions").filter("request_id is not null and sentence_index is not null")
+    cols = {"request_id": "doc_id", "sentence_index": "sent_idx", "type": "type", "original_text": "original", "suggested_text": "suggested", "word_index": "i", "replacement_word": "replacement", "relation": "relation", "error_category": "error_category"}
+    once = s.groupBy(F.col("suggestion_id").alias("id")).agg(F.min_by(F.struct(*[F.col(a).alias(b) for a, b in cols.items()]), "ingested_at").alias("s"))
+    return once.select("id", "s.*")
+
 
+def clustered(spark, d) -> DataFrame:
+    """Suggestions with their cluster: a change of a word covers its place, a rewrite every place of its sentence."""
+    p = proposed(spark, d)
+    whole = F.when(F.trim(F.coalesce("original", F.lit(""))) != "", F.sequence(F.lit(0), F.size(F.split(F.trim("original"), r"\s+")) - 1))
+    words = F.when(F.col("type").isin(*WORD_TYPES), F.when(F.col("i").isNotNull(), F.array("i"))).otherwise(whole)
+    return p.join(editor.clusters(p.select("doc_id", "sent_idx", "id", "type", words.alias("words"))).select("id", "cluster"), "id")
 
-def made(spark, d) -> DataFrame:
-    p = planner.prioritise(analysis(spark, d).triggers(), 12)
-    state = F.when(F.col("pick") % 3 == 0, "accepted").when(F.col("pick") % 4 == 0, "ignored").otherwise("pending")
-    unit = F.when(F.col("type") == "word_frequency", F.floor(F.col("i") / 4)).otherwise(F.col("sent_idx") * 1000000).cast("int")
-    return p.select("doc_id", "sent_idx", "type", "pick", state.alias("state"), unit.alias("unit"))
 
+CLUSTERED = rf"""(SELECT * EXCLUDE (unit, reach, n), min(id) OVER (PARTITION BY doc_id, sent_idx, unit) AS cluster FROM (
+  SELECT *, CASE WHEN type IN {Q.names(ALONE)} OR (type IN {Q.names(WORD_TYPES)} AND i IS NULL) OR (type NOT IN {Q.names(WORD_TYPES)} AND n IS NULL) THEN 'id ' || id WHEN type NOT IN {Q.names(WORD_TYPES)} OR i < reach THEN 'rewrite' ELSE 'word ' || i END AS unit FROM (
+    SELECT *, max(CASE WHEN type NOT IN {Q.names(WORD_TYPES + ALONE)} THEN n END) OVER (PARTITION BY doc_id, sent_idx) AS reach FROM (
+      SELECT *, CASE WHEN regexp_replace(coalesce(original, ''), '^ +| +$', '', 'g') <> '' THEN len(regexp_split_to_array(regexp_replace(original, '^ +| +$', '', 'g'), '\s+')) END AS n FROM {PROPOSED}))))"""
 
-@query("q_clusters", f"SELECT doc_id, sent_idx, lpad(CAST(pick AS VARCHAR), 4, '0') AS id, lpad(CAST(min(pick) OVER (PARTITION BY doc_id, sent_idx, unit) AS VARCHAR), 4, '0') AS cluster FROM ({MADE})")
+
+@query("q_suggestion_clusters", f"SELECT id, doc_id, sent_idx, cluster FROM {CLUSTERED}")
 def _(spark, d):
-    m = made(spark, d).select("doc_id", "sent_idx", F.lpad(F.col("pick").cast("string"), 4, "0").alias("id"), "type", F.array("unit").alias("words"))
-    return editor.clusters(m)
+    return clustered(spark, d).select("id", "doc_id", "sent_idx", "cluster")
+
+
+def decided(spark, d) -> DataFrame:
+    """Suggestions with their state after the first of every sentence, by id, is accepted."""
+    c = clustered(spark, d)
+    w = Window.partitionBy("doc_id", "sent_idx").orderBy("id")
+    log = c.select("doc_id", "id", "sent_idx", "cluster", "type", F.row_number().over(w).alias("_n"))
+    cols = ["doc_id", "id", "sent_idx", "cluster", "type"]
+    propose = log.select(*cols, F.lit(0).cast("bigint").alias("seq"), F.lit("propose").alias("action"))
+    accept = log.filter("_n = 1").select(*cols, (F.col("sent_idx") + 1).cast("bigint").alias("seq"), F.lit("accept").alias("action"))
+    return c.join(editor.decisions(propose.unionByName(accept)).select("id", "state"), "id")
+
 
+SCOPED = Q.names(sorted(editor.SENTENCE_SCOPED))
+COMPOSABLE = Q.names(sorted(editor.COMPOSABLE))
+DECIDED = f"""(SELECT c.*, CASE WHEN c.id = a.id THEN 'accepted'
+  WHEN a.type = 'connective' THEN CASE WHEN c.type NOT IN {COMPOSABLE} THEN 'ignored' ELSE 'pending' END
+  WHEN c.type = 'connective' THEN CASE WHEN a.type NOT IN {COMPOSABLE} THEN 'ignored' ELSE 'pending' END
+  WHEN c.cluster = a.cluster THEN 'ignored' WHEN c.type = 'enumeration' AND a.type NOT IN {SCOPED} THEN 'pending'
+  WHEN a.type IN {SCOPED} OR c.type IN {SCOPED} THEN 'ignored' ELSE 'pending' END AS state FROM {CLUSTERED} c JOIN (SELECT doc_id, sent_idx, min(id) AS id, arg_min(type, id) AS type, arg_min(cluster, id) AS cluster FROM {CLUSTERED} GROUP BY 1, 2) a USING (doc_id, sent_idx))"""
 
-@query("q_cluster_state", f"SELECT doc_id, CAST(unit AS VARCHAR) AS cluster, CASE WHEN bool_or(state = 'accepted') THEN 'accepted' WHEN bool_and(state = 'ignored') THEN 'ignored' ELSE 'pending' END AS state FROM ({MADE}) GROUP BY 1, 2")
+
+@query("q_decided_states", f"SELECT id, doc_id, sent_idx, state FROM {DECIDED}")
+def _(spark, d):
+    return decided(spark, d).select("id", "doc_id", "sent_idx", "state")
+
+
+@query("q_decided_clusters", f"SELECT doc_id, cluster, CASE WHEN bool_or(state = 'accepted') THEN 'accepted' WHEN bool_and(state = 'ignored') THEN 'ignored' ELSE 'pending' END AS state FROM {DECIDED} GROUP BY 1, 2")
 def _(spark, d):
-    return editor.cluster_state(made(spark, d).select("doc_id", F.col("unit").cast("string").alias("cluster"), "state"))
+    return editor.cluster_state(decided(spark, d).select("doc_id", "cluster", "state"))
 
 
-@query("q_state_counts", f"SELECT type, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'accepted') AS accepted, count(*) FILTER (state = 'ignored') AS ignored FROM ({MADE}) GROUP BY type")
+@query("q_decided_counts", f"SELECT type, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'accepted') AS accepted, count(*) FILTER (state = 'ignored') AS ignored FROM {DECIDED} GROUP BY type")
 def _(spark, d):
-    return editor.state_counts(made(spark, d), ["type"])
+    return editor.state_counts(decided(spark, d), ["type"])
 
 
 DIMENSIONS = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in editor.DIMENSION.items()) + " END"
+DIAGNOSED = f"(SELECT doc_id, dimension, count(DISTINCT cluster) AS total, count(DISTINCT CASE WHEN state = 'pending' THEN cluster END) AS remaining FROM (SELECT *, {DIMENSIONS} AS dimension FROM {DECIDED}) WHERE dimension IS NOT NULL GROUP BY 1, 2)"
+
+
+def diagnosed(spark, d) -> DataFrame:
+    return editor.diagnose(decided(spark, d).select("doc_id", "cluster", "state", F.array("type").alias("types")))
+
+
+@query("q_suggestion_diagnosis", f"SELECT * FROM {DIAGNOSED}")
+def _(spark, d):
+    return diagnosed(spark, d)
+
+
+@query("q_summary_bars", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, dimension) AS INTEGER) AS rank, dimension, total, remaining, round(100.0 * remaining / greatest(max(total) OVER (PARTITION BY doc_id), 1), 1) AS share FROM {DIAGNOSED}")
+def _(spark, d):
+    return editing.summary_bars(diagnosed(spark, d))
+
+
+@query("q_labels", "SELECT id, CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in editing.LABELS.items()) + f" ELSE type END AS label, CASE WHEN type IN ('passive', 'connective') THEN type WHEN type = 'word_frequency' AND contains(trim(replacement, ' '), ' ') THEN 'split' END AS note, CASE error_category WHEN 'spelling' THEN 'Spelfout' WHEN 'grammar' THEN 'Grammaticafout' END AS error FROM {PROPOSED}")
+def _(spark, d):
+    return proposed(spark, d).select("id", editing.label(F.col("type")).alias("label"), editing.note(F.col("type"), F.col("replacement")).alias("note"), editing.named(editing.ERRORS, F.col("error_category")).alias("error"))
+
+
+@query("q_absorbing_merges", rf"""SELECT id, rewrite, regexp_replace(regexp_replace(first, '^ +| +$', '', 'g'), '[.!?]+$', '') || substr(suggested, spot) AS text FROM (
+  SELECT *, strpos(lower(suggested), ', ' || w || ' ') AS spot FROM (SELECT l.id, l.suggested, r.id AS rewrite, r.suggested AS first,
+    [x FOR x IN [lower(regexp_replace(y, '[.,;:!?()"''“”‘’]', '', 'g')) FOR y IN regexp_split_to_array(l.suggested, '\s+')] IF x <> '' AND NOT list_contains([lower(regexp_replace(z, '[.,;:!?()"''“”‘’]', '', 'g')) FOR z IN regexp_split_to_array(l.original, '\s+')], x)][1] AS w
+    FROM {PROPOSED} l JOIN {PROPOSED} r ON r.doc_id = l.doc_id AND r.sent_idx = l.sent_idx AND r.type IN {Q.names(generation.REWRITES)} WHERE l.type = 'connective')) WHERE spot > 0 AND first IS NOT NULL""")
+def _(spark, d):
+    return generation.composed(proposed(spark, d))
+
+
+INTRODUCED = f"(SELECT DISTINCT suggestion_id FROM (SELECT suggestion_id, unnest([x FOR x IN {WORDS_OF.format('r')} IF NOT list_contains([lower(y) FOR y IN {WORDS_OF.format('o')}], lower(x))]) AS w FROM {PAIRS_SQL} WHERE r IS NOT NULL) WHERE length(w) >= 3 AND regexp_matches(w, '^\\p{{L}}+$') AND NOT regexp_matches(w, '^\\p{{Lu}}') AND lower(w) NOT IN (SELECT word FROM word_freq))"
+
+
+@query(
+    "q_backstop",
+    f"SELECT suggestion_id, CASE WHEN r IS NULL OR trim(r, ' ') = '' THEN 'empty' WHEN contains(lower(r), 'niet toegepast') THEN 'marker' WHEN {NOOP} THEN 'noop' WHEN {CONJ_LOST} THEN 'conjunction' WHEN {URL_LOST} THEN 'url' WHEN suggestion_id IN (SELECT suggestion_id FROM {INTRODUCED}) THEN 'misspelling' END AS failure FROM {PAIRS_SQL}",
+)
+def _(spark, d):
+    lex = lexicons.derived(table(spark, d, "word_freq"))
+    return validation.backstop(pairs(spark, d), "suggestion_id", "o", "r", lex).select("suggestion_id", "failure")
 
 
-@query("q_diagnose", f"SELECT doc_id, dimension, count(DISTINCT unit) AS total, count(DISTINCT CASE WHEN state = 'pending' THEN unit END) AS remaining FROM (SELECT *, {DIMENSIONS} AS dimension FROM ({MADE})) WHERE dimension IS NOT NULL GROUP BY 1, 2")
+@query("q_bundle_items", PLAN_PARTS.format(rank=Q.priority("type"), types=Q.names(K.SENTENCE_LEVEL), trig="trig").split("SELECT doc_id, CAST(job_idx")[0] + "SELECT doc_id, CAST(used + (pick - 1) // 8 + 1 AS INTEGER) AS job_idx, CAST((pick - 1) % 8 + 1 AS INTEGER) AS n, sent_idx, i, word FROM wk")
 def _(spark, d):
-    return editor.diagnose(made(spark, d).select("doc_id", F.col("unit").alias("cluster"), "state", F.array("type").alias("types")))
+    jobs = planner.consolidated_jobs(analysis(spark, d).triggers(), 12).filter("kind = 'wordfreq_bundle'")
+    return jobs.select("doc_id", "job_idx", F.posexplode("items").alias("n", "x")).select("doc_id", "job_idx", (F.col("n") + 1).alias("n"), "x.sent_idx", "x.i", "x.word")
 
 
-# As an edit, an accepted suggestion halves the longest dependency and the content words per clause; sentences in fifth place are absorbed.
-EDITED = f"""SELECT s.doc_id, s.sent_idx, s.freq_sum, s.freq_count, s.concrete, s.abstract, s.undefined, CASE WHEN a.sent_idx IS NULL THEN s.max_sdl ELSE s.max_sdl / 2.0 END AS max_sdl, CASE WHEN a.sent_idx IS NULL THEN s.content_words_per_clause ELSE s.content_words_per_clause / 2.0 END AS content_words_per_clause
-  FROM sent s LEFT JOIN (SELECT DISTINCT doc_id, sent_idx FROM ({MADE}) WHERE state = 'accepted') a USING (doc_id, sent_idx) WHERE s.sent_idx % 5 <> 4"""
+BEST = f"(SELECT word, candidate FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, word_count DESC, candidate) AS r FROM (SELECT *, {PREFIX.format(a='word', b='candidate')} AS p FROM ({NEAR})) WHERE p >= greatest(3, least(length(word), length(candidate)) - 2) OR (length(word) <= 4 AND length(candidate) <= 4) OR word_count > {K.MISSING_FREQUENCY}) WHERE r = 1)"
 
 
 @query(
-    "q_effective_score",
-    f"SELECT doc_id, round(score, 6) AS score, {Q.level('score')} AS level FROM (SELECT o.doc_id, coalesce({Q.score('e.f', 'e.s', 'e.c', 'e.p')}, o.score) AS score FROM doc o LEFT JOIN (SELECT doc_id, sum(freq_sum) / nullif(sum(freq_count), 0) AS f, avg(max_sdl) AS s, avg(content_words_per_clause) AS c, sum(concrete) / nullif(sum(concrete) + sum(abstract) + sum(undefined), 0) AS p FROM ({EDITED}) GROUP BY doc_id) e USING (doc_id))",
+    "q_dictionary_spelling",
+    f"""SELECT doc_id, sent_idx, i, word, candidate AS replacement, left(sentence, spot - 1) || candidate || substr(sentence, spot + length(word)) AS suggested FROM (SELECT f.doc_id, f.sent_idx, f.i, f.word, b.candidate, t.sentence, strpos(t.sentence, f.word) AS spot
+        FROM (SELECT doc_id, sent_idx, lower AS word, min(i) AS i FROM f2 WHERE is_content_plain GROUP BY 1, 2, 3) f JOIN {BEST} b USING (word) JOIN (SELECT doc_id, sent_idx, string_agg(text, ' ' ORDER BY i) AS sentence FROM tok GROUP BY 1, 2) t USING (doc_id, sent_idx)) WHERE spot > 0 AND word <> candidate""",
 )
 def _(spark, d):
     a = analysis(spark, d)
-    chosen = made(spark, d).filter("state = 'accepted'").select("doc_id", "sent_idx", F.col("pick").alias("rank"))
-    s = a.sentences.select("doc_id", "sent_idx", "freq_sum", "freq_count", (F.col("max_sdl") / 2).alias("max_sdl"), (F.col("content_words_per_clause") / 2).alias("content_words_per_clause"), "concrete", "abstract", "undefined")
-    base = a.sentences.withColumn("max_sdl", F.col("max_sdl").cast("double"))
-    effective = editor.effective_sentences(base, chosen.join(s, ["doc_id", "sent_idx"]), a.sentences.filter("sent_idx % 5 = 4").select("doc_id", "sent_idx"))
-    return r6(editor.effective_score(effective, a.scores), "score")
+    return generation.dictionary_spelling(a.features, sentence_texts(a), a.lexicons).select("doc_id", "sent_idx", "i", "word", "replacement", "suggested")
 
 
 @query(

@@ -19,35 +19,37 @@ def normal(token: str, strip: str = STRIP) -> str:
     return token.lower().strip(strip)
 
 
-def word_diff(old: list[str], new: list[str], strip: str = STRIP) -> list[tuple[int, int, int, int]]:
-    """Regions (old start, old end, new start, new end) that differ, along a longest common subsequence of normalised words;
-    kept words that look different count as changed, and of equal alignments the one that inserts first is taken."""
+def anchors(old: list[str], new: list[str], strip: str = STRIP) -> list[tuple[int, int]]:
+    """Pairs of places of words that stay as they are, along a longest common subsequence of normalised words. Of equal
+    alignments it is the one that keeps the last places: it is followed from the ends, and skips new words before old ones."""
     a, b = [normal(x, strip) for x in old], [normal(x, strip) for x in new]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out: list[tuple[int, int, int, int]] = []
-    i = j = 0
-    si, sj = 0, 0
-
-    def flush():
-        if si < i or sj < j:
-            out.append((si, i, sj, j))
-
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j] and old[i] == new[j]:
-            flush()
-            i, j = i + 1, j + 1
-            si, sj = i, j
-        elif i < n and j < m and a[i] == b[j]:
-            i, j = i + 1, j + 1
-        elif j < m and (i == n or best[i][j + 1] >= best[i + 1][j]):
-            j += 1
+    best = [[0] * (len(b) + 1)]
+    for x in a:
+        row, last = [0], best[-1]
+        for j, y in enumerate(b, 1):
+            row.append(last[j - 1] + 1 if x == y else max(last[j], row[-1]))
+        best.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            if old[i] == new[j]:
+                out.append((i, j))
+        elif best[i][j - 1] >= best[i - 1][j]:
+            j -= 1
         else:
-            i += 1
-    flush()
+            i -= 1
+    return out[::-1]
+
+
+def word_diff(old: list[str], new: list[str], strip: str = STRIP) -> list[tuple[int, int, int, int]]:
+    """Regions (old start, old end, new start, new end) between the words that stay; kept words that look different count as
+    changed."""
+    out, i, j = [], 0, 0
+    for k, m in [*anchors(old, new, strip), (len(old), len(new))]:
+        if i < k or j < m:
+            out.append((i, k, j, m))
+        i, j = k + 1, m + 1
     return out
 
 
@@ -171,40 +173,62 @@ def state_counts(states: DataFrame, by: list[str]) -> DataFrame:
 
 
 SENTENCE_SCOPED = {"sentence_rewrite", "sentence_length", "max_sdl", "content_words_per_clause", "abstract_nouns", "passive", "subordinate_clause", "enumeration"}
+COMPOSABLE = SENTENCE_SCOPED - {"enumeration"}  # rewrites that a link to the next sentence can carry
+
+
+def conflicts(accepted: tuple, other: tuple, other_state: str) -> bool:
+    """Whether accepting a suggestion sets another aside. Each is (sent_idx, cluster, type, second sentence of a link or None).
+
+    The rest of a cluster goes. Rewrites of a whole sentence and changes of words in it exclude each other, accepted ones
+    too; a list that is still open stays beside word changes. A link sets aside what is open on its second sentence, and on
+    its first what it can't carry; and is set aside, while open, by what is accepted there."""
+    sent, cluster, kind, second = accepted
+    o_sent, o_cluster, o_kind, o_second = other
+    pending = other_state == "pending"
+    if kind == "connective":
+        return pending and (o_sent == second or o_sent == sent and o_kind not in COMPOSABLE)
+    if o_kind == "connective":
+        return pending and (sent == o_second or sent == o_sent and kind not in COMPOSABLE)
+    if pending and cluster == o_cluster:
+        return True
+    scoped, o_scoped = kind in SENTENCE_SCOPED, o_kind in SENTENCE_SCOPED
+    if sent != o_sent or o_kind == "enumeration" and not scoped and other_state != "accepted":
+        return False
+    return (scoped or o_scoped) and other_state != "ignored"
 
 
 def decide(log: pd.DataFrame) -> pd.DataFrame:
-    """States of one document's suggestions after its decisions in order. Accepting one ignores what it excludes: the rest of
-    its cluster, and, between rewrites of a whole sentence and changes of words in it, the other kind; undoing brings back
-    what that acceptance had set aside."""
+    """States of one document's suggestions after its decisions in order. Accepting one sets aside what conflicts with it;
+    undoing brings back the open ones that this acceptance had set aside. A link needs the column `second`."""
     state: dict[str, str] = {}
     info: dict[str, tuple] = {}
     aside: dict[str, list[str]] = {}
-    for r in log.sort_values("seq").itertuples():
-        info[r.id] = (r.sent_idx, r.cluster, r.type)
+    seconds = log["second"] if "second" in log.columns else pd.Series([None] * len(log), index=log.index)
+    rows = log.assign(second=seconds).sort_values("seq")
+    for r in rows.itertuples():
+        second = None if r.second is None or pd.isna(r.second) else int(r.second)
+        info[r.id] = (r.sent_idx, r.cluster, r.type, second)
         state.setdefault(r.id, "pending")
-    for r in log.sort_values("seq").itertuples():
+    for r in rows.itertuples():
         if r.action == "accept":
-            lost = []
-            for other, (sent, cluster, kind) in info.items():
-                if other == r.id or state[other] != "pending":
-                    continue
-                if cluster == r.cluster or sent == r.sent_idx and (kind in SENTENCE_SCOPED) != (r.type in SENTENCE_SCOPED):
-                    state[other] = "ignored"
-                    lost.append(other)
-            state[r.id], aside[r.id] = "accepted", lost
+            lost = [x for x in info if x != r.id and state[x] != "ignored" and conflicts(info[r.id], info[x], state[x])]
+            aside[r.id] = [x for x in lost if state[x] == "pending"]
+            state.update(dict.fromkeys(lost, "ignored"))
+            state[r.id] = "accepted"
         elif r.action == "ignore":
             state[r.id] = "ignored"
         elif r.action == "undo":
             for other in aside.pop(r.id, []):
-                state[other] = "pending"
+                if state[other] == "ignored":
+                    state[other] = "pending"
             state[r.id] = "pending"
     doc = int(log.doc_id.iloc[0])
     return pd.DataFrame({"doc_id": [doc] * len(state), "id": list(state), "state": list(state.values())})
 
 
 def decisions(log: DataFrame) -> DataFrame:
-    """doc_id, id, state. log: doc_id, seq, id, sent_idx, cluster, type, action (propose, accept, ignore, undo)."""
+    """doc_id, id, state. log: doc_id, seq, id, sent_idx, cluster, type, action (propose, accept, ignore, undo), and second for
+    the second sentence of a link."""
     return log.groupBy("doc_id").applyInPandas(decide, "doc_id bigint, id string, state string")
 
 

@@ -63,7 +63,7 @@ def model_spelling(chunks: DataFrame, texts: DataFrame, lexicons, factory, **opt
     chunks: doc_id, chunk, prompt (planner.spelling_chunks)."""
     jobs = chunks.withColumn("job", job_key("doc_id", "chunk")).withColumn("prompt", F.replace(F.lit(rewrite.TEMPLATES["spelling"]), F.lit("{sentence}"), F.col("prompt")))
     answers = ask(jobs, factory, **options)
-    found = rewrite.parsed(answers.filter("content is not null"), "job", "content", "WOORD").join(answers.select("job", "doc_id", "model"), "job")
+    found = rewrite.parsed(answers.filter("content is not null"), "job", "content", "WOORD", rewrite.FIELDS["spelling"]).join(answers.select("job", "doc_id", "model"), "job")
     field = lambda k: F.trim(F.try_element_at("fields", F.lit(k)))
     number = F.regexp_extract(F.coalesce(field("ZIN_NUMMER"), F.lit("")), r"(\d+)", 1)
     p = found.select("doc_id", "model", F.when(number != "", number.cast("int") - 1).alias("sent_idx"), F.lower(field("WOORD")).alias("wrong"), F.lower(field("VERBETERING")).alias("right"), field("UITLEG").alias("explanation"))
@@ -95,7 +95,7 @@ def rewrites(answers: DataFrame, lexicons, disagreements=None) -> DataFrame:
     one is shown first if there are two. A job of one problem keeps its type. answers: job, doc_id, sent_idx, types, sentence,
     content, model. disagreements: candidates (key, text) to the keys whose adjectives don't agree."""
     a = answers.filter(F.col("content").isNotNull() & (F.element_at("types", 1) != "enumeration"))
-    fields = rewrite.parsed(a, "job", "content").select("job", "fields")
+    fields = rewrite.parsed(a, "job", "content", names=rewrite.FIELDS["sentence_rewrite"]).select("job", "fields")
     j = a.join(fields, "job")
     v = validation.variants(j.select("job", "sentence", "fields"))
     v = validation.backstop(v.join(j.select("job", "sentence"), "job").withColumn("key_", F.concat_ws("/", "job", "key")), "key_", "sentence", "text", lexicons, disagreements).filter("failure is null")
@@ -130,7 +130,7 @@ def bundle_prompts(items: DataFrame) -> DataFrame:
 def swaps(items: DataFrame, answers: DataFrame, lexicons) -> DataFrame:
     """Suggestions of answered bundles: the first block of each number counts, numbers beyond the bundle don't; the rewrite must
     pass the guards and the replacement, if named, lie in a higher band. Quotation marks the sentence hasn't go."""
-    blocks = rewrite.parsed(answers.filter("content is not null"), "job", "content", "NUMMER")
+    blocks = rewrite.parsed(answers.filter("content is not null"), "job", "content", "NUMMER", rewrite.FIELDS["wordfreq_bundle"])
     field = lambda k: F.try_element_at("fields", F.lit(k))
     number = F.regexp_extract(field("NUMMER"), r"(\d{1,9})", 1)
     b = blocks.withColumn("n", F.when(number != "", number.cast("int"))).filter("n is not null")
@@ -174,7 +174,7 @@ def link_prompts(candidates: DataFrame, texts: DataFrame) -> DataFrame:
 def links(candidates: DataFrame, texts: DataFrame, answers: DataFrame, lexicons, disagreements=None) -> DataFrame:
     """Suggestions that join two sentences: the pair was a candidate, the relation is strong, nothing is added, and the merged
     sentence passes the guards; the first block of each pair counts."""
-    blocks = rewrite.parsed(answers.filter("content is not null"), "job", "content", "NA_ZIN").join(answers.select("job", "doc_id", "model"), "job")
+    blocks = rewrite.parsed(answers.filter("content is not null"), "job", "content", "NA_ZIN", rewrite.FIELDS["connective"]).join(answers.select("job", "doc_id", "model"), "job")
     field = lambda k: F.try_element_at("fields", F.lit(k))
     number = F.regexp_extract(field("NA_ZIN"), r"(\d{1,9})", 1)
     b = blocks.withColumn("sent_idx", F.when(number != "", number.cast("int") - 1)).withColumn("_r", F.row_number().over(W.partitionBy("job", "sent_idx").orderBy("block"))).filter("_r = 1")

@@ -72,15 +72,16 @@ FIELD = re.compile(r"^\s*(?:#+\s*)?(?:\*\*|__)?\s*([A-ZÀ-Þ][A-ZÀ-Þ _]*?)\s*(
 NOTHING = re.compile(r"^\s*(?:GEEN(?:[_ ]FOUTEN)?|GEEN_WIJZIGING)\s*\.?\s*$", re.I)
 
 
-def parse_fields(content: str | None) -> dict[str, str]:
+def parse_fields(content: str | None, names: frozenset[str] | None = None) -> dict[str, str]:
     """Labelled lines of an answer: NAME: value, names with or without decoration, values over several lines, brackets around
-    a value dropped. Thinking parts are left out; an answer of nothing gives no fields."""
+    a value dropped. Thinking parts are left out; an answer of nothing gives no fields. With names, those of the template, any
+    other label is text of the field it stands in."""
     text = re.sub(r"(?s)<think>.*?</think>", "", content or "")
     out: dict[str, str] = {}
     name = None
     for line in text.splitlines():
         m = FIELD.match(line)
-        if m:
+        if m and (names is None or re.sub(r"\s+", "_", m[1].strip()) in names):
             name = re.sub(r"\s+", "_", m[1].strip())
             out[name] = m[2].strip()
         elif name and line.strip() and line.strip() != "---":
@@ -88,16 +89,16 @@ def parse_fields(content: str | None) -> dict[str, str]:
     return {k: re.sub(r"^\[(.*)\]$", r"\1", v).strip() for k, v in out.items()}
 
 
-def parse_blocks(content: str | None, required: str) -> list[dict[str, str]]:
+def parse_blocks(content: str | None, required: str, names: frozenset[str] | None = None) -> list[dict[str, str]]:
     """The fields of each part between lines of dashes; parts without the required field are left out."""
     text = re.sub(r"(?s)<think>.*?</think>", "", content or "")
     if NOTHING.match(text):
         return []
-    parts = (parse_fields(p) for p in re.split(r"(?m)^\s*-{3,}\s*$", text))
+    parts = (parse_fields(p, names) for p in re.split(r"(?m)^\s*-{3,}\s*$", text))
     return [p for p in parts if p.get(required)]
 
 
-def parsed(answers: DataFrame, key: str, content: str, required: str | None = None) -> DataFrame:
+def parsed(answers: DataFrame, key: str, content: str, required: str | None = None, names: frozenset[str] | None = None) -> DataFrame:
     """key, block, fields (map) of every answer; with `required`, one row per block that has it."""
     schema = pa.schema([("key", pa.string()), ("block", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
 
@@ -105,7 +106,7 @@ def parsed(answers: DataFrame, key: str, content: str, required: str | None = No
         for b in batches:
             rows = []
             for k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                found = parse_blocks(c, required) if required else [parse_fields(c)]
+                found = parse_blocks(c, required, names) if required else [parse_fields(c, names)]
                 rows += [(k, n, list(f.items())) for n, f in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
@@ -124,6 +125,11 @@ TEMPLATES = {
     "enumeration": "Maak van de opsomming een lijst: een regel INLEIDING:, een regel ITEM: per punt en een regel UITLEG:.\nZIN: {sentence}",
 }
 
+# The fields that answers to each template have.
+FIELDS = {
+    "sentence_rewrite": frozenset(["BEHOUDEND", "VOLLEDIG", "HERSCHRIJVING", "UITLEG"]), "wordfreq_bundle": frozenset(["NUMMER", "VERVANGING", "HERSCHRIJVING", "UITLEG"]),
+    "spelling": frozenset(["ZIN_NUMMER", "WOORD", "VERBETERING", "UITLEG"]), "connective": frozenset(["NA_ZIN", "RELATIE", "HERSCHRIJVING", "UITLEG"]),
+}
 SYSTEM = "Je helpt schrijvers om Nederlandse teksten makkelijker leesbaar te maken. Verander de inhoud niet en antwoord alleen in het gevraagde formaat."
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from leesmaat import workspace
 from leesmaat.api import Readability
 from leesmaat.operators.editor import decide
 from leesmaat.sources.lexicons import Lexicons
@@ -20,8 +21,11 @@ def score_stream(documents: DataFrame, lexicons: Lexicons, target: str, checkpoi
     folder and so counts once."""
 
     def score(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        since = workspace.mark(session)
         scores = Readability(lexicons).analyze(batch, key, text).scores
         scores.select("doc_id", "score", "level").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch_no={number}")
+        workspace.release(session, since)  # a stream would fill the folder otherwise
 
     return documents.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

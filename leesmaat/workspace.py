@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset, as in local tests."""
+    """The cluster's spark.checkpoint.dir. A folder of our own is made only where that is unset and all tasks run on this very
+    machine, as in local tests; on a cluster every executor would write to its own disk, so there it is an error."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leesmaat-"))
             current = spark.sparkContext.getCheckpointDir()
         own = current
@@ -23,9 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and go on from the written table; lost executors cost no recomputation."""
-    path = os.path.join(shared_dir(df.sparkSession), f"cut-{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"cut-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many tables were written so far, for release."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables written after a mark, once nothing is read from them any more; the number of tables deleted."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone, paths[since:] = paths[since:], []
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(gone)
 
 
 def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
