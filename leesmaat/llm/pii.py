@@ -9,6 +9,7 @@ characters and everything else stays as it is.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -67,7 +68,9 @@ PLAIN = frozenset(
 ORGANISATION = frozenset("stichting gemeente vereniging dorpshuis buurthuis wijkcentrum bibliotheek ziekenhuis school basisschool college provincie ministerie bureau dienst afdeling bedrijf café restaurant hotel station park huis raad commissie team fonds".split())
 STREET = r"(?:straat|laan|weg|plein|singel|hof|pad|kade|gracht|dijk|steeg|plantsoen|dreef|markt|baan|erf|allee|boulevard|wal|haven|park|ring|burg|brink|veld|hoek|kamp|akker|tuin|poort|oever|zoom|hage|gaarde|meent|stede|berg|laantje|straatje|weide|waard|pas|rak|burgwal|vest|bolwerk|kolk|werf)"
 STREET_ENDS = tuple(STREET[3:-1].split("|"))
-WORD_NUMBER = re.compile(r"([^\W\d_]{3,})\s+(?=\d)")
+DIGIT = re.compile(r"\d")
+BEFORE_NUMBER = re.compile(r"\s+(?=\d)")
+POSTCODE = re.compile(r"\d{4}\s?[A-Z]{2}\b")
 STREET_FIRST = r"(?:Oude|Nieuwe|Lange|Korte|Hoge|Lage|Grote|Kleine|Eerste|Tweede|Derde|Vierde|Voorste|Achterste|Noord|Zuid|Oost|West|Sint|St\.|Prins|Prinses|Koning|Koningin|Burgemeester|Burg\.|Dokter|Dr\.|Pastoor|Jan|Willem|Maria|Van|De|Het|Ds\.|Mr\.|Graaf|Hertog|Kardinaal|Professor|Prof\.)"
 
 
@@ -152,7 +155,8 @@ def plain(text: str) -> Plain:
         if LOOKALIKE.search(p.text):
             p = rewrite(p, MIXED, _latin)
         p = rewrite(p, WIDE, lambda m: "".join(chr(ord(c) - 0xFEE0) for c in m.group()))
-    p = rewrite(p, SPELLED, lambda m: "".join(DIGITS[w] for w in re.findall(r"[^\W\d_]+", m.group().lower())))
+    if sum(w in DIGITS for w in LETTERS.findall(p.text.lower())) >= 6:
+        p = rewrite(p, SPELLED, lambda m: "".join(DIGITS[w] for w in re.findall(r"[^\W\d_]+", m.group().lower())))
     low = p.text.lower()
     if "punt" in low or "dot" in low:
         p = rewrite(p, SPOKEN_AT, lambda m: "@")
@@ -192,7 +196,8 @@ LOWER = r"[^\W\d_]{4,}(?:-[^\W\d_]+)*"
 NAME_ANY = re.compile(rf"(?<![\w@.'’+-])(?P<g>[^\W\d_]+)\s+(?P<p>(?:(?:van|de|der|den|ter|ten)\s+){{0,3}})(?P<l>{LOWER})(?![\w@]|\.\w|\s?@)", re.I)
 CUE_BEFORE = re.compile(rf"(?:{TITLES}|van|aan|met|over|voor|door|nam|naar|volgens)\s+$", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
-TITLE_WORD = re.compile(r"(?i)heer|dhr|mevr|mw|meneer|mijnheer|dr|ir|ing|mr|prof|fam|aanvra|cliënt|patiënt|bewoner|naam is|ik ben|ik heet|genaamd|groet|hoogachtend|attentie|t\.a\.v")
+# A word of each form of address or announcement.
+TITLE_WORDS = frozenset("heer dhr mevrouw mevr mw meneer mijnheer dr drs ir ing mr prof familie fam aanvrager aanvraagster cliënt patiënt bewoner naam ben heet genaamd groet groeten hoogachtend attentie".split())
 CUED = re.compile(rf"(?i:\b{TITLES})\s+(?P<name>(?:{FIRST}\s+)?{PARTS}{LAST})(?![\w@])")
 CUED_INITIALS = re.compile(rf"(?i:\b{TITLES})\s+(?P<name>(?:[a-z]\.\s?){{1,4}}{PARTS}[a-z]{{4,}}(?:-[a-z]+)*)(?![\w@])")
 
@@ -233,8 +238,10 @@ def _names(t: str) -> list[Hit]:
             at = m.end()
         else:  # go on behind the first word
             at = m.start() + re.match(r"[\w'’-]+[.,]?", m.group()).end()
+    low = t.lower()
+    seen = set(LETTERS.findall(low))
     at = 0
-    for word in LETTERS.finditer(t):  # names in small letters or in capitals
+    for word in LETTERS.finditer(t) if not GIVEN.isdisjoint(seen) else ():  # names in small letters or in capitals
         g = word.group()
         if word.start() < at or g.lower() not in GIVEN or g == "ben" or not (m := NAME_ANY.match(t, word.start())):
             continue
@@ -245,7 +252,7 @@ def _names(t: str) -> list[Hit]:
             continue
         hits.append(Hit("person_name", m.start(), m.end()))
         at = m.end()
-    if not TITLE_WORD.search(t):
+    if TITLE_WORDS.isdisjoint(seen) and "t.a.v" not in low:
         return hits
     for pattern in (CUED, CUED_INITIALS):
         for m in pattern.finditer(t):
@@ -260,22 +267,24 @@ def detect(text: str) -> list[Hit]:
     p = plain(text)
     t = p.text
     found: list[Hit] = [Hit("email", *m.span()) for m in EMAIL.finditer(t)] if "@" in t else []
-    for m in PHONE.finditer(t):
+    numbers = DIGIT.search(t) is not None  # without a digit only addresses of mail and names are left
+    for m in PHONE.finditer(t) if numbers else ():
         digits = re.sub(r"\D", "", m.group())
         international = m.group()[0] == "+" or digits.startswith("00")
         if (9 <= len(digits) - 2 * digits.startswith("00") <= 15 if international else len(digits.replace("(0)", "")) == 10) and not OTHER_CUE.search(_before(t, m.start(), 24)):
             found.append(Hit("phone", *m.span()))
-    for m in NUMBER.finditer(t):
+    for m in NUMBER.finditer(t) if numbers else ():
         digits = re.sub(r"\D", "", m.group())
         before = _before(t, m.start())
         cue, other = [list(c.finditer(before)) for c in (IDENTITY_CUE, OTHER_CUE)]
         if cue and (not other or other[-1].start() < cue[-1].start()) or (not other and eleven(digits)):
             found.append(Hit("identity_number", *m.span()))
-    for m in DOCUMENT.finditer(t):
+    for m in DOCUMENT.finditer(t) if numbers else ():
         if sum(c.isdigit() for c in m.group()) >= 2 and (m.group()[0].isupper() or IDENTITY_CUE.search(t[max(0, m.start() - 40) : m.start()])) and not OTHER_CUE.search(_before(t, m.start(), 24)):
             found.append(Hit("identity_number", *m.span()))
-    found += [Hit("street_address", *m.span()) for m in ADDRESS.finditer(t)]
-    near_number = any(m[1].lower().endswith(STREET_ENDS) for m in WORD_NUMBER.finditer(t))
+    near_number = numbers and any(t[max(0, m.start() - 20) : m.start()].lower().endswith(STREET_ENDS) for m in BEFORE_NUMBER.finditer(t))
+    if near_number or numbers and POSTCODE.search(t):
+        found += [Hit("street_address", *m.span()) for m in ADDRESS.finditer(t)]
     for m in ADDRESS_ANY.finditer(t) if near_number else ():
         if m.group().upper() == m.group() or m.group().lower() == m.group():
             word = re.match(r"(?i)\s*\w+", m.group()).group().lower()
@@ -286,10 +295,13 @@ def detect(text: str) -> list[Hit]:
             found.append(Hit("street_address", *m.span()))
     found += _names(t)
     rank = {"email": 0, "phone": 1, "identity_number": 2, "street_address": 3, "person_name": 4}
-    taken: list[Hit] = []
+    taken: list[Hit] = []  # in order of place, none overlapping
+    starts: list[int] = []
     for h in sorted(set(found), key=lambda h: (rank[h.kind], h.start, -h.end)):
-        if all(h.end <= x.start or h.start >= x.end for x in taken):
-            taken.append(h)
+        k = bisect_left(starts, h.start)
+        if (not k or taken[k - 1].end <= h.start) and (k == len(taken) or h.end <= taken[k].start):
+            taken.insert(k, h)
+            starts.insert(k, h.start)
     return sorted((Hit(h.kind, *p.source(h.start, h.end)) for h in taken), key=lambda h: h.start)
 
 
