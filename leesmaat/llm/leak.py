@@ -28,7 +28,7 @@ from leesmaat.llm.common import bounded_rows, cut, per_row, spread, table
 RUN = 12  # consecutive words that make a case
 WINDOW, STRIDE = 16, 5  # every run of RUN words lies whole in a window: STRIDE = WINDOW - RUN + 1
 DIMENSIONS, OVERSAMPLE, POWER = 64, 8, 2
-ITEMS = 100_000  # items at most; they are a fixed evaluation set, not a corpus
+ITEMS = 20_000  # items that are searched for in one pass over the documents; more are taken in blocks
 BLOCK = 20_000  # grams of items that are searched in one pass
 SLACK = 1e-3  # rounding of cosines
 NEAR_WORDS = 10  # a paraphrase: WINDOW consecutive words hold so many of a gram's RUN words in the same order
@@ -85,9 +85,8 @@ def _cells(codes: np.ndarray, start: np.ndarray, end: np.ndarray, pad: int) -> n
     return np.where(at < end[:, None], codes[np.minimum(at, len(codes) - 1)], pad)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[np.ndarray]:
+def _window_rows(batches: Iterator[pa.RecordBatch], size: int, limit: int = CELLS // WINDOW) -> Iterator[np.ndarray]:
     """Padded word codes of windows in blocks of bounded memory."""
-    limit = max(64, CELLS // (size + 1))
     for b in batches:
         codes, _, start, end = _windows(b.column("codes"))
         for lo in range(0, len(start), limit):
@@ -101,8 +100,10 @@ def document_frequencies(runs: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(size + 1, np.int64)
         for w in _window_rows(batches, size):
-            flat = np.unique(w + np.arange(len(w))[:, None] * (size + 1)) % (size + 1)
-            held = np.bincount(flat, minlength=size + 1)
+            ranked = np.sort(w, axis=1)
+            once = np.ones(w.shape, bool)
+            once[:, 1:] = ranked[:, 1:] != ranked[:, :-1]  # a window counts once for a word
+            held = np.bincount(ranked[once], minlength=size + 1)
             held[size] = len(w)
             total += held
         at = np.flatnonzero(total)
@@ -122,14 +123,18 @@ def _gram_product(runs: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray
 
     def product(batches):
         weight, basis = held.value
-        z = np.zeros(basis.shape, np.float64)
-        for w in _window_rows(batches, size):
-            flat = (w + np.arange(len(w))[:, None] * (size + 1)).ravel()
-            a = np.bincount(flat, minlength=len(w) * (size + 1)).reshape(len(w), size + 1)[:, :size].astype(np.float32) * weight
+        z = np.zeros((size + 1, basis.shape[1]), np.float64)
+        for w in _window_rows(batches, size, max(600, CELLS // (size + 1))):
+            words, place = np.unique(w, return_inverse=True)  # a block has columns for its own words only
+            flat = (place.reshape(w.shape) + np.arange(len(w))[:, None] * len(words)).ravel()
+            a = np.bincount(flat, minlength=len(w) * len(words)).reshape(len(w), len(words)).astype(np.float32)
+            a *= np.where(words < size, weight[np.minimum(words, size - 1)], 0)  # the padding weighs nothing
             a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-            z += a.T @ (a @ basis)
-        r, c = np.indices(z.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(r.ravel(), pa.int32()), pa.array(c.ravel(), pa.int32()), pa.array(z.ravel())], schema=schema)
+            z[words] += a.T @ (a @ basis[np.minimum(words, size - 1)])
+        z = z[:size]
+        used = np.flatnonzero(z.any(1))
+        r, c = np.repeat(used, z.shape[1]), np.tile(np.arange(z.shape[1]), len(used))
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(z[used].ravel())], schema=schema)
 
     out = np.zeros(q.shape)
     for r in runs.mapInArrow(product, "word int, axis int, value double").groupBy("word", "axis").agg(F.sum("value").alias("value")).collect():  # vocabulary x dimensions
@@ -290,12 +295,23 @@ def near_leaks(documents: DataFrame, rows: list[tuple[int, list[int]]], vocabula
     return hits.groupBy("doc", "item").agg(F.max("exact").alias("exact")).filter("not exact").select(F.col("doc").alias(key), F.col("item").alias(item))
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", near: bool = False) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", near: bool = False, block: int = ITEMS) -> DataFrame:
     """(key, item) of every document that holds RUN consecutive words of an item. Null and short texts hold none; items
     that share a passage are all named; equal rows give one. Both keys are integers. With `near`, instead, documents with a
-    passage that has most of RUN words of an item in their order, but no such run."""
+    passage that has most of RUN words of an item in their order, but no such run. More than `block` items are searched for
+    in several passes over the documents, so that what is broadcast stays bounded."""
+    texts = items.select(F.col(item).alias("i"), F.col("text").alias("t")).filter(F.col("t").isNotNull() & F.col("i").isNotNull()).distinct()
+    passes = max(1, -(-texts.count() // block))
+    out = None
+    for n in range(passes):
+        part = texts if passes == 1 else texts.filter(F.pmod(F.xxhash64("i"), F.lit(passes)) == n)
+        found = _leaks(documents, bounded_rows(part, 2 * block + 100, "a block of the evaluation set"), key, text, item, near)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _leaks(documents: DataFrame, rows: list, key: str, text: str, item: str, near: bool) -> DataFrame:
     spark = documents.sparkSession
-    rows = bounded_rows(items.select(F.col(item).alias("i"), F.col("text").alias("t")).filter(F.col("t").isNotNull() & F.col("i").isNotNull()).distinct(), ITEMS, "the evaluation set")
     worded = [(r["i"], words(r["t"])) for r in rows]
     vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in worded for w in ws}))}
     if near:
@@ -317,7 +333,8 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     hits = None
     for lo in range(0, max(1, len(grams)), BLOCK):  # a block of item grams against all passages
         g = grams[lo : lo + BLOCK]
-        held = spark.sparkContext.broadcast(Space(latent, g, owner[lo : lo + BLOCK], _units(latent[g].sum(1, dtype=np.float64))))
+        unit = _units(latent[g].sum(1, dtype=np.float64))
+        held = spark.sparkContext.broadcast(Space(latent, g, owner[lo : lo + BLOCK], unit))
 
         def search(batches, held=held):
             space = held.value

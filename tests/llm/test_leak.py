@@ -113,3 +113,29 @@ def test_paraphrases_against_brute_force(spark):
     assert got == brute_near(docs, items)
     assert {(1, 7), (2, 7), (3, 7)} <= got and not {(4, 7), (5, 7)} & got
     assert leak.leaks(d.filter("false"), i, near=True).count() == 0 and leak.leaks(d, i.filter("false"), near=True).count() == 0
+
+
+def test_items_in_several_passes(spark):
+    items = [(i, " ".join(f"w{i}_{k}" for k in range(20))) for i in range(9)]
+    docs = [(i, "x y " + " ".join(t.split()[3:17])) for i, t in items]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r) for r in leak.leaks(d, i, block=3).collect()) == [(k, k) for k in range(9)]
+
+
+def test_the_product_of_few_words_equals_that_of_the_matrix(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    size = 30
+    codes = [rng.integers(0, size, rng.integers(12, 40)).tolist() for _ in range(12)]
+    runs = spark.createDataFrame([(k, c) for k, c in enumerate(codes)], "doc long, codes array<int>")
+    idf, q = rng.uniform(0.5, 3, size), rng.standard_normal((size, 5))
+    rows = []
+    for c in codes:
+        for at in range(0, len(c) - leak.RUN + 1, leak.STRIDE):
+            x = np.bincount(c[at : at + leak.WINDOW], minlength=size) * idf
+            rows.append(x / np.linalg.norm(x))
+    a = np.array(rows)
+    assert np.allclose(leak._gram_product(runs, idf, q), a.T @ (a @ q), rtol=1e-4, atol=1e-4)
+    df = leak.document_frequencies(runs, size)
+    assert df[size] == len(a) and (df[:size] == (a > 0).sum(0)).all()
