@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leesmaat.operators import aggregate, blocks, features, structure, syntax, tokens, triggers
+from leesmaat.operators import aggregate, blocks, features, generation, structure, syntax, tokens, triggers
 from leesmaat.plans import planner
 from leesmaat.sources.lexicons import Lexicons
 from leesmaat.workspace import by_document, cut
@@ -92,8 +92,21 @@ class Analysis:
         plan = planner.consolidated_jobs if consolidate else planner.single_jobs
         return plan(t, "cap" if cap is None else cap)
 
-    def payload(self) -> DataFrame:
-        """doc_id, payload: document, sentence and token features as JSON; null values are left out."""
+    def suggestions(self, factory, **options) -> DataFrame:
+        """Checked suggestions of a language model; see generation.generate."""
+        return generation.generate(self, factory, **options)
+
+    def rare_words(self, n: int, by_sentence: bool = False) -> DataFrame:
+        """The n least frequent words of each document or sentence; all for a negative n."""
+        return features.rarest(self.features, n, aggregate.SENTENCE if by_sentence else ["doc_id"])
+
+    def detailed(self) -> DataFrame:
+        """Sentence features with the lists of words behind them and the number of new words; one row per sentence."""
+        new = self.features.filter("is_new").groupBy(*aggregate.SENTENCE).agg(F.count("*").alias("new_words"))
+        return self.sentences.join(aggregate.sentence_lists(self.features), aggregate.SENTENCE, "left").join(new, aggregate.SENTENCE, "left").withColumn("new_words", F.coalesce("new_words", F.lit(0)))
+
+    def payload(self, suggestions: DataFrame | None = None) -> DataFrame:
+        """doc_id, payload: document, sentence and token features as JSON, with the suggestions if given; null values are left out."""
         words = F.transform(
             F.array_sort(F.collect_list(F.struct("i", "text", "tag", "pos", F.col("frequency").alias("word_frequency"), F.when(F.col("dep_length") > 0, F.col("dep_length")).alias("dep_length"), F.col("noun_class").alias("super_sem_type")))),
             lambda x: x.dropFields("i"),
@@ -102,7 +115,13 @@ class Analysis:
         cols = ["sent_idx", "word_features", F.col("score").alias("lint_score"), F.col("level").alias("difficulty_level"), "mean_log_word_frequency", "max_sdl", "proportion_of_concrete_nouns", "content_words_per_clause"]
         s = self.sentences.join(t, aggregate.SENTENCE).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("sentences"))
         d = self.scores.join(s, "doc_id")
-        return d.select("doc_id", F.to_json(F.struct("sentences", F.col("score").alias("document_score"), F.col("level").alias("document_level"), "sentence_count", "min_score", "max_score"), {"ignoreNullFields": "true"}).alias("payload"))
+        extra = []
+        if suggestions is not None:
+            each = F.struct(*[c for c in suggestions.columns if c != "doc_id"])
+            g = suggestions.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "id", each.alias("s")))).alias("_s"))
+            d = d.join(g, "doc_id", "left").withColumn("suggestions", F.transform(F.coalesce("_s", F.array().cast(g.schema["_s"].dataType)), lambda x: x["s"]))
+            extra = ["suggestions"]
+        return d.select("doc_id", F.to_json(F.struct("sentences", *extra, F.col("score").alias("document_score"), F.col("level").alias("document_level"), "sentence_count", "min_score", "max_score"), {"ignoreNullFields": "true"}).alias("payload"))
 
 
 class Readability:

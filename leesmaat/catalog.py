@@ -23,6 +23,7 @@ from leesmaat.sources import eval_items, lexicons, results
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+ROUTES: dict[str, str] = {}  # selects without the parts they name
 _analyses: dict[tuple[str, str], Analysis] = {}
 
 
@@ -56,6 +57,7 @@ def query(name: str, sql: str | None = None, parts: dict[str, str] | None = None
     def register(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
+            ROUTES[name] = sql
             SQL[name] = Q.steady(Q.sql(sql, parts))
         return f
 
@@ -364,6 +366,23 @@ def _(spark, d):
     return triggers.enumeration_commas(analysis(spark, d).tokens, items=2, span=3)
 
 
+LONG_ENOUGH = f"items >= {K.THRESHOLDS['enumeration_items']} AND span >= {K.THRESHOLDS['enumeration_span']}"
+WIDE = {"items >= 2 AND span >= 3": LONG_ENOUGH, "HAVING count(*) >= 2": f"HAVING count(*) >= {K.THRESHOLDS['enumeration_items']} AND max(spot) - min(i) + 1 >= {K.THRESHOLDS['enumeration_span']}", "count(DISTINCT part) + 1 >= 2 AND max(i) - min(f) + 1 >= 3": f"count(DISTINCT part) + 1 >= {K.THRESHOLDS['enumeration_items']} AND max(i) - min(f) + 1 >= {K.THRESHOLDS['enumeration_span']}"}
+
+
+def at_defaults(name: str) -> str:
+    """The select of an enumeration query at the detectors' own thresholds."""
+    text = ROUTES[name]
+    for old, new in WIDE.items():
+        text = text.replace(old, new)
+    return text
+
+
+@query("q_enumerations", "SELECT doc_id, sent_idx, max(items) AS items FROM (" + " UNION ALL ".join(f"SELECT doc_id, sent_idx, items FROM ({at_defaults(n)})" for n in ("q_enumeration_conj", "q_enumeration_infinitive", "q_enumeration_commas")) + ") GROUP BY 1, 2")
+def _(spark, d):
+    return analysis(spark, d).enumerations.select("doc_id", "sent_idx", "items")
+
+
 @query("q_round_robin_plan", "SELECT doc_id, sent_idx, type, i, round, pick FROM dealt WHERE pick <= 10")
 def _(spark, d):
     return planner.prioritise(analysis(spark, d).triggers(), 10).select("doc_id", "sent_idx", "type", "i", "round", "pick")
@@ -569,7 +588,17 @@ def _(spark, d):
     return rewrite.parsed(r, "response_id", "content", "WOORD").withColumn("fields", F.to_json("fields"))
 
 
-@query("q_prompts")
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+PROMPTS = f"""SELECT doc_id, sent_idx, type, i, replace(replace(CASE WHEN type = 'word_frequency' THEN {quoted(rewrite.TEMPLATES['word_frequency'])} ELSE {quoted(rewrite.TEMPLATES['sentence_rewrite'])} END, '{{issue}}',
+  CASE type WHEN 'sentence_length' THEN 'de zin heeft ' || CAST(value AS INTEGER) || ' woorden' WHEN 'max_sdl' THEN 'woorden die bij elkaar horen staan ' || CAST(value AS INTEGER) || ' woorden uit elkaar' WHEN 'content_words_per_clause' THEN printf('%.1f', floor(value * 10 + 0.5) / 10) || ' inhoudswoorden per deelzin'
+    WHEN 'abstract_nouns' THEN 'veel abstracte woorden' WHEN 'passive' THEN 'lijdende vorm' WHEN 'subordinate_clause' THEN CAST(value AS INTEGER) || ' bijzinnen' ELSE word END), '{{sentence}}', sentence) AS prompt
+  FROM trig JOIN (SELECT doc_id, sent_idx, string_agg(text, ' ' ORDER BY i) AS sentence FROM tok GROUP BY 1, 2) USING (doc_id, sent_idx)"""
+
+
+@query("q_prompts", PROMPTS)
 def _(spark, d):
     a = analysis(spark, d)
     return rewrite.prompts(a.triggers().join(sentence_texts(a), ["doc_id", "sent_idx"])).select("doc_id", "sent_idx", "type", "i", "prompt")
@@ -816,6 +845,32 @@ def _(spark, d):
     return stats.presence(table(spark, d, "corpus").select("source", F.col("should_suggest").alias("expected"), (F.length("text") > 400).alias("produced")), ["source"])
 
 
+HELD_OUT = {"docs": "SELECT item_id AS doc_id, text FROM heldout_items WHERE text IS NOT NULL"}
+
+
+@query(
+    "q_detector_presence",
+    """SELECT suite, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn, count(*) FILTER (NOT e AND NOT p) AS tn, count(*) FILTER (e IS NULL OR p IS NULL) AS unlabelled, round(count(*) FILTER (e AND p) / nullif(count(*) FILTER (p AND e IS NOT NULL), 0), 6) AS precision,
+       round(count(*) FILTER (e AND p) / nullif(count(*) FILTER (e AND p IS NOT NULL), 0), 6) AS recall FROM (SELECT suite, should_suggest AS e, item_id IN (SELECT doc_id FROM trig) AS p FROM heldout_items) GROUP BY suite""",
+    HELD_OUT,
+)
+def _(spark, d):
+    items = table(spark, d, "heldout_items")
+    found = Readability(lexicons.derived(table(spark, d, "word_freq"))).analyze(items, key="item_id", structure=False).triggers().select(F.col("doc_id").alias("item_id")).distinct().withColumn("produced", F.lit(True))
+    t = items.join(found, "item_id", "left").select("suite", F.col("should_suggest").alias("expected"), F.coalesce("produced", F.lit(False)).alias("produced"))
+    return stats.presence(t, ["suite"])
+
+
+@query("q_list_verdicts", f"SELECT doc_id, sent_idx, CASE WHEN NOT bool_or(type = 'enumeration') THEN 'missing' WHEN bool_or(type IN {Q.names(generation.REWRITES)}) THEN 'unsuppressed' ELSE 'ok' END AS verdict FROM {PROPOSED} GROUP BY 1, 2")
+def _(spark, d):
+    return stats.list_verdicts(proposed(spark, d), generation.REWRITES)
+
+
+@query("q_model_tally", "SELECT type, lower(trim(model, ' ')) AS model, count(DISTINCT suggestion_id) AS suggestions FROM suggestions GROUP BY 1, 2")
+def _(spark, d):
+    return table(spark, d, "suggestions").groupBy("type", F.lower(F.trim("model")).alias("model")).agg(F.countDistinct("suggestion_id").alias("suggestions"))
+
+
 @query("q_phenomena", "SELECT phenomenon, count(*) AS items, count(*) FILTER (should_suggest) AS positive FROM (SELECT should_suggest, unnest(phenomena) AS phenomenon FROM corpus) GROUP BY 1")
 def _(spark, d):
     return eval_items.phenomena(table(spark, d, "corpus"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leesmaat import constants as K
 
-TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+# A word with a suffix in brackets, such as kind(eren) or auto('s), is one token.
+TOKEN = r"\p{L}+\([\x27’]?\p{L}+\)|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 SPACE = r"[\s   -     　]+"
 # Fixed value: a web or mail address.
 URL = r"(?i:(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+\.[\w.-]+)"

@@ -14,8 +14,6 @@ from leesmaat import constants as K
 from leesmaat.functions import text as T
 from leesmaat.workspace import by_document
 
-HEADING_MOST = 100  # a longer line without closing mark is still prose
-
 
 def lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n, line: the lines of every text, trimmed, blanks collapsed; null texts have none."""

@@ -33,3 +33,16 @@ def shared_vocabulary(a: DataFrame, b: DataFrame, least: int = 5) -> DataFrame:
     """word: words of at least so many letters that both tables of words (column word) have."""
     long = lambda d: d.select("word").filter(F.length("word") >= least)
     return long(a).intersect(long(b))
+
+
+def list_verdicts(suggestions: DataFrame, rewrites: tuple[str, ...]) -> DataFrame:
+    """doc_id, sent_idx, verdict: what a sentence that should become a list got: missing (no list), unsuppressed (a full rewrite
+    beside the list), or ok. suggestions: doc_id, sent_idx, type, one row at least for each sentence to judge (type null: none)."""
+    g = suggestions.groupBy("doc_id", "sent_idx").agg(F.collect_set("type").alias("types"))
+    both = F.arrays_overlap("types", F.array(*map(F.lit, rewrites)))
+    return g.select("doc_id", "sent_idx", F.when(~F.array_contains("types", "enumeration"), "missing").when(both, "unsuppressed").otherwise("ok").alias("verdict"))
+
+
+def tally(rows: DataFrame, by: list[str], verdict: str, verdicts: list[str]) -> DataFrame:
+    """by..., one count for each verdict, every: how often each verdict was given; others count in every only."""
+    return rows.groupBy(*by).agg(*[F.count(F.when(F.col(verdict) == v, 1)).alias(v) for v in verdicts], F.count("*").alias("every"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leesmaat.workspace import cut
+
 SCHEMA = "description string, items array<struct<id:string, should_suggest:boolean, phenomena:array<string>, must_not:array<string>, text:string>>"
 
 
@@ -26,3 +29,16 @@ def phenomena(items: DataFrame) -> DataFrame:
 def pending(items: DataFrame, done: DataFrame) -> DataFrame:
     """Items without a result yet."""
     return items.join(done.select("id").distinct(), "id", "left_anti")
+
+
+def record(results: DataFrame, path: str) -> int:
+    """Append results (with id) that the folder of tables doesn't hold yet; how many there were. A run that was broken off goes
+    on where it stopped: pending(items, read back) are the ones left."""
+    spark = results.sparkSession
+    try:
+        done = spark.read.parquet(path).select("id")
+    except AnalysisException:  # nothing there yet
+        done = spark.createDataFrame([], "id string")
+    new = cut(pending(results, done), "results")
+    new.write.mode("append").parquet(path)
+    return new.count()
