@@ -42,10 +42,11 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
 
 
 def latest(df: DataFrame, keys: Iterable[str], at: str) -> DataFrame:
-    """One row per key, the one with the greatest `at`; re-deliveries fold in a map-side partial aggregate."""
+    """One row per key, the one with the greatest `at`, of equal ones that with the greatest hash, so that every run takes the
+    same; re-deliveries fold in a map-side partial aggregate."""
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.coalesce(F.col(at).cast("string"), F.lit(""))).alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col(at).cast("string"), F.lit("")), F.xxhash64(*rest))).alias("_r")).select(*keys, "_r.*")
 
 
 def words_column(text: Column) -> Column:

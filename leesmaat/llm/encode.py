@@ -27,9 +27,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-LONG = 100_000  # characters a single task step encodes at once
+LONG = 8_000  # characters a single task step encodes at once
 SAFE = re.compile(r"(?<=[^\s])(?= [^\W\d_])")  # a single blank between a visible character and a letter always starts a new piece
-SEARCH = 4_096  # how far back from the aimed cut a safe boundary is looked for
+SEARCH = 2_048  # how far back from the aimed cut a safe boundary is looked for
 
 
 @lru_cache(maxsize=4)
