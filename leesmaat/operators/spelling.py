@@ -30,11 +30,13 @@ def candidates(words: DataFrame, frequency: DataFrame, distance: int = DISTANCE)
     cut = [F.floor(n * k / pieces).cast("int") for k in range(pieces + 1)]
     keys = F.array(*[F.struct(F.lit(k).alias("part"), cut[k].alias("at"), F.substring(F.col("word"), cut[k] + 1, cut[k + 1] - cut[k]).alias("piece")) for k in range(pieces)])
     left = words.select("word", n.alias("n"), F.explode(keys).alias("x")).select("word", "n", "x.at", "x.piece").filter(F.length("piece") > 0)
+    # every place the edits allow is a key of its own: a piece of one letter would else meet half the dictionary
+    left = left.select("word", "n", "piece", F.explode(F.sequence(F.greatest(F.col("at") - distance, F.lit(0)), F.col("at") + distance)).alias("c_at"))
     span = F.sequence(F.lit(1), F.least(F.length("candidate"), F.lit((LONGEST + pieces) // pieces)))
     right = frequency.select(F.col("word").alias("candidate"), "word_count").filter((F.length("candidate") > 0) & (F.length("candidate") <= LONGEST + distance))
     subs = F.flatten(F.transform(span, lambda size: F.transform(F.sequence(F.lit(0), F.length("candidate") - size), lambda at: F.struct(at.alias("at"), F.substring(F.col("candidate"), at + 1, size).alias("piece")))))
     right = right.select("candidate", "word_count", F.explode(subs).alias("y")).select("candidate", "word_count", F.col("y.at").alias("c_at"), "y.piece")
-    pairs = left.join(right, "piece").filter((F.abs(F.col("at") - F.col("c_at")) <= distance) & (F.abs(F.col("n") - F.length("candidate")) <= distance)).select("word", "candidate", "word_count").distinct()
+    pairs = left.join(right, ["piece", "c_at"]).filter(F.abs(F.col("n") - F.length("candidate")) <= distance).select("word", "candidate", "word_count").distinct()
     return pairs.withColumn("distance", F.levenshtein("word", "candidate")).filter((F.col("distance") <= distance) & (F.col("distance") > 0))
 
 
