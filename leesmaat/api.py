@@ -42,10 +42,15 @@ class Analysis:
     def _described(self) -> DataFrame:
         return cut(features.token_features(self._parsed, self.lexicons), "described")
 
+    @cached_property
+    def _summed(self) -> DataFrame:
+        """Features of every sentence, fragments too."""
+        return cut(aggregate.sentence_features(self._described), "summed")
+
     @cached_property
     def kept(self) -> DataFrame:
         """Every sentence found in blocks, with its number among the sentences, null for a fragment."""
-        return cut(structure.without_fragments(structure.sentence_texts(self._parsed), aggregate.sentence_features(self._described)), "kept")
+        return cut(structure.without_fragments(structure.sentence_texts(self._parsed), self._summed), "kept")
 
     @cached_property
     def layout(self) -> DataFrame:
@@ -67,7 +72,7 @@ class Analysis:
 
     @cached_property
     def sentences(self) -> DataFrame:
-        return cut(aggregate.sentence_features(self.features), "sentences")
+        return structure.renumbered(self._summed, self.kept) if self.structured else cut(aggregate.sentence_features(self.features), "sentences")
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -35,15 +35,16 @@ def segmented(tokens: DataFrame) -> DataFrame:
 def merged(tokens: DataFrame) -> DataFrame:
     """The same with seg as joined: a sentence of at most SHORT words that no final mark ends joins the next one of its block.
     A sentence that was joined doesn't join on, so of a run of short ones each second opens none: its place in the run tells."""
-    by = [*BLOCK, "seg"]
-    words = F.count(F.when(F.col("text").rlike(r"^[\p{L}\p{N}]"), 1))
-    s = tokens.groupBy(*by).agg(words.alias("words"), F.max_by("text", "i").alias("last"))
-    w = W.partitionBy(*BLOCK).orderBy("seg")
-    s = s.withColumn("short", (F.col("words") <= SHORT) & ~F.col("last").isin(*FINAL) & F.lead("seg").over(w).isNotNull())
-    run = F.col("seg") - F.coalesce(F.max(F.when(~F.col("short"), F.col("seg"))).over(w), F.lit(-1))
-    s = s.withColumn("opens", F.col("short") & (run % 2 == 1))
-    s = s.select(*by, F.when(F.lag("opens").over(w), F.col("seg") - 1).otherwise(F.col("seg")).alias("_to"))
-    return tokens.join(s, by).withColumn("seg", F.col("_to")).drop("_to")
+    one, block = W.partitionBy(*BLOCK, "seg"), W.partitionBy(*BLOCK)
+    word = F.col("text").rlike(r"^[\p{L}\p{N}]").cast("int")
+    t = tokens.withColumn("_words", F.sum(word).over(one)).withColumn("_last", F.max(F.struct("i", "text")).over(one)["text"]).withColumn("_end", F.max("seg").over(block))
+    t = t.withColumn("_short", (F.col("_words") <= SHORT) & ~F.col("_last").isin(*FINAL) & (F.col("seg") < F.col("_end")))
+    upto = block.orderBy("seg").rangeBetween(W.unboundedPreceding, W.currentRow)
+    run = F.col("seg") - F.coalesce(F.max(F.when(~F.col("_short"), F.col("seg"))).over(upto), F.lit(-1))
+    t = t.withColumn("_opens", (F.col("_short") & (run % 2 == 1)).cast("int"))
+    joins = F.max("_opens").over(block.orderBy("seg").rangeBetween(-1, -1)) == 1
+    t = t.withColumn("seg", F.when(joins, F.col("seg") - 1).otherwise(F.col("seg")))
+    return t.drop("_words", "_last", "_end", "_short", "_opens")
 
 
 def numbered(tokens: DataFrame) -> DataFrame:
