@@ -192,11 +192,3 @@ def strip_html(html):
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(c, r"[ \t]+", " "))
-
-
-def exclude_fragments(sentences: DataFrame) -> DataFrame:
-    """Sentences without a score that are mere fragments leave the sentences: kept rows get new_idx, dropped ones become headings (is_heading)."""
-    drop = F.col("level").isNull() & T.is_fragment(F.col("sentence"))
-    s = sentences.withColumn("is_heading", F.coalesce(drop, F.lit(False)))
-    n = F.sum((~F.col("is_heading")).cast("int")).over(W.partitionBy("doc_id").orderBy("sent_idx"))
-    return s.withColumn("new_idx", F.when(~F.col("is_heading"), n - 1))

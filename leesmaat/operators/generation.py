@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leesmaat import constants as K
 from leesmaat.functions import guards as G
 from leesmaat.functions import text as T
 from leesmaat.operators import rewrite, spelling, structure, validation
@@ -62,7 +63,7 @@ def model_spelling(chunks: DataFrame, texts: DataFrame, lexicons, factory, **opt
     """What a model finds misspelt in numbered sentences, apart from what spelling.reject_reason turns down.
     chunks: doc_id, chunk, prompt (planner.spelling_chunks)."""
     jobs = chunks.withColumn("job", job_key("doc_id", "chunk")).withColumn("prompt", F.replace(F.lit(rewrite.TEMPLATES["spelling"]), F.lit("{sentence}"), F.col("prompt")))
-    answers = ask(jobs, factory, **options)
+    answers = ask(jobs, factory, **({"max_tokens": rewrite.token_limit("spelling")} | options))
     found = rewrite.parsed(answers.filter("content is not null"), "job", "content", "WOORD", rewrite.FIELDS["spelling"]).join(answers.select("job", "doc_id", "model"), "job")
     field = lambda k: F.trim(F.try_element_at("fields", F.lit(k)))
     number = F.regexp_extract(F.coalesce(field("ZIN_NUMMER"), F.lit("")), r"(\d+)", 1)
@@ -141,7 +142,7 @@ def swaps(items: DataFrame, answers: DataFrame, lexicons) -> DataFrame:
     t = t.withColumn("suggested", F.when(F.col("sentence").rlike(f"{marks}$"), lead).otherwise(F.regexp_replace(lead, f"{marks}+$", "")))
     f = lexicons.frequency
     t = t.join(f.select("word", F.col("word_count").alias("_fw")), "word", "left").join(f.select(F.col("word").alias("_low"), F.col("word_count").alias("_fr")), F.lower("replacement") == F.col("_low"), "left")
-    miss = F.lit(validation.K.MISSING_FREQUENCY)
+    miss = F.lit(K.MISSING_FREQUENCY)
     t = t.filter(F.coalesce(G.passes_band(F.col("word"), F.lower("replacement"), F.coalesce("_fw", miss), F.col("_fr")), F.lit(False)))
     ok = validation.backstop(t.withColumn("_k", job_key("job", "n")), "_k", "sentence", "suggested", lexicons).filter("failure is null")
     return suggestions(ok.withColumn("type", F.lit("word_frequency")).withColumnRenamed("sentence", "original"))
@@ -202,7 +203,7 @@ def generate(a, factory, cap: int | None = None, consolidate: bool = True, enume
     levels = a.scores.select("doc_id", "level")
     whole = ask(rewrite_prompts(jobs, triggers, texts).join(levels, "doc_id", "left"), factory, level="level", **options)
     items = cut(bundle_items(jobs, texts), "items")
-    words = ask(bundle_prompts(items).join(levels, "doc_id", "left"), factory, level="level", **options)
+    words = ask(bundle_prompts(items).join(levels, "doc_id", "left"), factory, level="level", **({"max_tokens": rewrite.token_limit("wordfreq_bundle", K.BUNDLE)} | options))
     found = by_model.unionByName(by_list).unionByName(rewrites(whole, a.lexicons, disagreements)).unionByName(lists(whole)).unionByName(swaps(items, words, a.lexicons))
     found = cut(found, "found")
     if judge:
