@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leesmaat.operators import aggregate, blocks, features, generation, structure, syntax, tokens, triggers
+from leesmaat.operators import aggregate, blocks, compact, features, generation, structure, syntax, tokens, triggers
 from leesmaat.plans import planner
 from leesmaat.sources.lexicons import Lexicons
 from leesmaat.workspace import by_document, cut
@@ -38,6 +38,11 @@ class Analysis:
         found = tokens.annotate_blocks(by_document(self.blocks), self.annotator) if self.structured else tokens.annotate(self.documents, self.annotator)
         return cut(syntax.parse(found), "tokens")
 
+    def _compact(self, rarer: float | None = None) -> DataFrame:
+        """Documents with their sentences in one pass, from the texts."""
+        found = tokens.annotate_blocks(by_document(self.blocks), self.annotator) if self.structured else tokens.annotate(self.documents, self.annotator)
+        return compact.documents(features.token_features(found, self.lexicons), self.structured, rarer)
+
     @cached_property
     def _described(self) -> DataFrame:
         return cut(features.token_features(self._parsed, self.lexicons), "described")
@@ -112,14 +117,12 @@ class Analysis:
 
     def payload(self, suggestions: DataFrame | None = None) -> DataFrame:
         """doc_id, payload: document, sentence and token features as JSON, with the suggestions if given; null values are left out."""
-        words = F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "text", "tag", "pos", F.col("frequency").alias("word_frequency"), F.when(F.col("dep_length") > 0, F.col("dep_length")).alias("dep_length"), F.col("noun_class").alias("super_sem_type")))),
-            lambda x: x.dropFields("i"),
-        )
-        t = self.features.groupBy("doc_id", "sent_idx").agg(words.alias("word_features"))
-        cols = ["sent_idx", "word_features", F.col("score").alias("lint_score"), F.col("level").alias("difficulty_level"), "mean_log_word_frequency", "max_sdl", "proportion_of_concrete_nouns", "content_words_per_clause"]
-        s = self.sentences.join(t, aggregate.SENTENCE).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("sentences"))
-        d = self.scores.join(s, "doc_id")
+        word = lambda x: F.struct(x["text"].alias("text"), x["tag"].alias("tag"), x["pos"].alias("pos"), x["frequency"].alias("word_frequency"), F.when(x["dep_length"] > 0, x["dep_length"]).alias("dep_length"), x["noun_class"].alias("super_sem_type"))
+        plain = ["mean_log_word_frequency", "max_sdl", "proportion_of_concrete_nouns", "content_words_per_clause"]
+        d = self._compact()
+        d = d.select("*", *[x.alias(c) for c, x in compact.scores().items()])
+        d = aggregate.with_score(d, "mean_log_word_frequency", "mean_max_sdl", "mean_content_words_per_clause", "proportion_of_concrete_nouns")
+        d = d.withColumn("sentences", F.transform("sentences", lambda s: F.struct(s["sent_idx"].alias("sent_idx"), F.transform(s["words"], word).alias("word_features"), s["score"].alias("lint_score"), s["level"].alias("difficulty_level"), *[s[c].alias(c) for c in plain])))
         extra = []
         if suggestions is not None:
             each = F.struct(*[c for c in suggestions.columns if c != "doc_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ def count_if(c: Column) -> Column:
     return F.count(F.when(c, 1))
 
 
+STEP = float(1 << 40)
+
+
+def steady(c: Column) -> Column:
+    """A number without what is below 2^-40, so that sums under 8,000 are exact and don't depend on the order of the rows."""
+    return F.floor(c * F.lit(STEP)) / F.lit(STEP)
+
+
 def opens_subordinate() -> Column:
     """Whether a token opens a subordinate clause: its chain's base has such a label and its subtree holds a verb."""
     return F.col("base_dep").isin(*K.SUBORDINATE) & (F.col("subtree_verbs") > 0)
@@ -31,7 +41,7 @@ def sentence_features(tokens: DataFrame) -> DataFrame:
     kinds = {k: count_if(F.col("noun_class") == k).alias(k) for k in ("concrete", "abstract", "undefined", "unknown")}
     a = tokens.groupBy(*SENTENCE).agg(
         count_if(word).alias("sent_length"),
-        F.sum("frequency").alias("freq_sum"),
+        F.sum(steady(F.col("frequency"))).alias("freq_sum"),
         F.count("frequency").alias("freq_count"),
         F.max(F.when(word, F.col("dep_length"))).alias("_sdl"),
         *kinds.values(),
@@ -47,21 +57,25 @@ def sentence_features(tokens: DataFrame) -> DataFrame:
         # conjuncts in a modifier's subtree count again
         F.coalesce(F.sum(F.when(F.col("is_modifier"), F.col("subtree_conj"))), F.lit(0)).alias("_inner"),
     )
-    clauses = F.greatest(F.col("finite_verbs"), F.lit(1))
-    classed = F.col("concrete") + F.col("abstract") + F.col("undefined")
-    a = a.select(
-        "*",
-        F.expr("freq_sum / nullif(freq_count, 0)").alias("mean_log_word_frequency"),
-        F.when(F.col("sent_length") >= 2, F.col("_sdl")).alias("max_sdl"),
-        (F.col("content_words") / clauses).alias("content_words_per_clause"),
-        F.when(classed > 0, F.col("concrete") / classed).alias("proportion_of_concrete_nouns"),
-        (F.col("sent_length") / clauses).alias("mean_clause_length"),
-        (F.col("constituents") / clauses).alias("constituents_per_clause"),
-        ((F.col("modifiers") + F.col("_inner")) / clauses).alias("modifiers_per_clause"),
-    ).drop("_sdl", "_inner")
+    a = a.select("*", *[x.alias(c) for c, x in sentence_means(F.col).items()]).drop("_sdl", "_inner")
     return with_score(a, "mean_log_word_frequency", "max_sdl", "content_words_per_clause", "proportion_of_concrete_nouns")
 
 
+def sentence_means(c: Callable[[str], Column]) -> dict[str, Column]:
+    """The means of a sentence by its sums, wherever c finds them."""
+    clauses = F.greatest(c("finite_verbs"), F.lit(1))
+    classed = c("concrete") + c("abstract") + c("undefined")
+    return {
+        "mean_log_word_frequency": c("freq_sum") / F.nullif(c("freq_count"), F.lit(0)),
+        "max_sdl": F.when(c("sent_length") >= 2, c("_sdl")),
+        "content_words_per_clause": c("content_words") / clauses,
+        "proportion_of_concrete_nouns": F.when(classed > 0, c("concrete") / classed),
+        "mean_clause_length": c("sent_length") / clauses,
+        "constituents_per_clause": c("constituents") / clauses,
+        "modifiers_per_clause": (c("modifiers") + c("_inner")) / clauses,
+    }
+
+
 def with_score(df: DataFrame, frequency: str, sdl: str, cwpc: str, concrete: str) -> DataFrame:
     return df.withColumn("score", S.difficulty(F.col(frequency), F.col(sdl), F.col(cwpc), F.col(concrete))).withColumn("level", S.level(F.col("score")))
 
@@ -73,7 +87,7 @@ def document_features(sentences: DataFrame) -> DataFrame:
         F.count("*").alias("sentence_count"),
         F.expr("sum(freq_sum) / nullif(sum(freq_count), 0)").alias("mean_log_word_frequency"),
         F.avg("max_sdl").alias("mean_max_sdl"),
-        F.avg("content_words_per_clause").alias("mean_content_words_per_clause"),
+        F.avg(steady(F.col("content_words_per_clause"))).alias("mean_content_words_per_clause"),
         F.when(classed > 0, F.sum("concrete") / classed).alias("proportion_of_concrete_nouns"),
         F.min("score").alias("min_score"),
         F.max("score").alias("max_score"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 from collections import Counter
@@ -10,7 +11,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from leesmaat import catalog
+from leesmaat import catalog, workspace
 from leesmaat.api import Readability
 from leesmaat.sources import lexicons
 from leesmaat.streaming import scoring
@@ -73,3 +74,27 @@ def test_decision_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["id"], r["state"]) for r in spark.sql("select * from states").collect()} == {("a", "accepted"), ("b", "ignored")}
+
+
+def test_payload_writes_no_tokens(spark, sf):
+    catalog.forget()
+    since = workspace.mark(spark)
+    got = catalog.QUERIES["q_payload"](spark, sf)
+    assert workspace.mark(spark) == since  # tokens and features took many times the room of the texts
+    assert got.count() == catalog.analysis(spark, sf).scores.count()
+
+
+def test_payload_of_blocks_leaves_fragments_out(spark):
+    docs = spark.createDataFrame([(1, "De kat loopt snel over de brede straat.\n\nZie hier: Het kind werd door de grote hond gezien."), (2, "Lees dit:\n\nDe vrouw leest een mooi boek in de tuin. Ja."), (3, "Titel")], "doc_id long, text string")
+    freq = spark.createDataFrame([("straat", 4.0), ("hond", 5.5), ("boek", 3.25)], "word string, word_count double")
+    a = Readability(lexicons.derived(freq)).analyze(docs)
+    got = {r["doc_id"]: json.loads(r["payload"]) for r in a.payload().collect()}
+    scores = {r["doc_id"]: r for r in a.scores.collect()}
+    assert set(got) == set(scores)
+    rows = {(r["doc_id"], r["sent_idx"]): r for r in a.sentences.collect()}
+    assert {(d, s["sent_idx"]) for d, p in got.items() for s in p["sentences"]} == set(rows)
+    for d, p in got.items():
+        assert p.get("document_score") == scores[d]["score"] and p.get("min_score") == scores[d]["min_score"]
+        for s in p["sentences"]:
+            r = rows[d, s["sent_idx"]]
+            assert (s.get("lint_score"), s.get("max_sdl"), s["content_words_per_clause"]) == (r["score"], r["max_sdl"], r["content_words_per_clause"])
