@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leesmaat import constants
 from leesmaat.operators import aggregate, blocks, compact, features, generation, structure, syntax, tokens, triggers
 from leesmaat.plans import planner
 from leesmaat.sources.lexicons import Lexicons
@@ -91,8 +92,21 @@ class Analysis:
         return every.groupBy("doc_id", "sent_idx").agg(F.max("items").alias("items"))
 
     def triggers(self, enumerations: bool = False) -> DataFrame:
-        """Problems; enumerations only if asked for."""
-        return triggers.detect(self.sentences, self.features, self.lexicons, self.thresholds, self.enumerations if enumerations else None)
+        """Problems; enumerations only if asked for. Without them, of a structured analysis only sentences and their rare words
+        are written, no tokens."""
+        if enumerations or not self.structured:
+            return triggers.detect(self.sentences, self.features, self.lexicons, self.thresholds, self.enumerations if enumerations else None)
+        s = self._sentences_with_rare
+        rare = s.select("doc_id", "sent_idx", F.explode("words").alias("w")).select("doc_id", "sent_idx", *[f"w.{c}" for c in ("i", "lower", "lemma", "pos", "frequency")])
+        return triggers.detect(s, rare, self.lexicons, self.thresholds)
+
+    @cached_property
+    def _sentences_with_rare(self) -> DataFrame:
+        """One row per sentence with its features and its rare words."""
+        rarer = (constants.THRESHOLDS | (self.thresholds or {}))["word_frequency"]
+        d = self._compact(rarer).select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
+        few = F.transform("words", lambda w: F.struct(*[w[c].alias(c) for c in ("i", "lower", "lemma", "pos", "frequency")]))
+        return cut(d.select(*aggregate.SENTENCE, *triggers.WHOLE, few.alias("words")), "rare")
 
     def plan(self, cap: int | None = None, consolidate: bool = True, enumerations: bool = False) -> DataFrame:
         """Jobs within the cap; without one, each document's own budget by its length."""

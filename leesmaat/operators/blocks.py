@@ -51,7 +51,7 @@ def unwrap(documents: DataFrame, dictionary: DataFrame | None = None, key: str =
     """doc_id, text: hard-wrapped texts with their paragraphs rejoined, others as they are. A hyphen at a line's end goes if
     the next line starts small and the joined word is in the dictionary."""
     gate = wrapping(documents, key, text).filter("hard_wrapped").select("doc_id")
-    src = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    src = by_document(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))  # dealt as lines are: the gate finds the texts where they are
     wrapped = src.join(gate, "doc_id", "left_semi")
     w = W.partitionBy("doc_id").orderBy("n")
     every = lines(wrapped, "doc_id", "text").withColumn("para", F.sum((F.col("line") == "").cast("int")).over(w))

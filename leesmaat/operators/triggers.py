@@ -11,6 +11,8 @@ from leesmaat.operators.aggregate import SENTENCE
 from leesmaat.sources.lexicons import Lexicons
 
 TYPES = ("word_frequency", "max_sdl", "content_words_per_clause", "abstract_nouns", "passive", "subordinate_clause", "sentence_length", "enumeration")
+#: what problems of whole sentences are told by
+WHOLE = ["sent_length", "max_sdl", "alpha_words", "content_words_per_clause", "proportion_of_concrete_nouns", "abstract", "has_passive", "agents", "subordinate_clauses"]
 COLUMNS = ["doc_id", "sent_idx", "ord", "type", "i", "word", "value", "threshold"]
 
 

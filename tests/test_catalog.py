@@ -13,6 +13,7 @@ import pytest
 
 from leesmaat import catalog, workspace
 from leesmaat.api import Readability
+from leesmaat.operators import triggers
 from leesmaat.sources import lexicons
 from leesmaat.streaming import scoring
 
@@ -98,3 +99,14 @@ def test_payload_of_blocks_leaves_fragments_out(spark):
         for s in p["sentences"]:
             r = rows[d, s["sent_idx"]]
             assert (s.get("lint_score"), s.get("max_sdl"), s["content_words_per_clause"]) == (r["score"], r["max_sdl"], r["content_words_per_clause"])
+
+
+def test_structured_triggers_write_no_tokens(spark, sf):
+    catalog.forget()
+    since = workspace.mark(spark)
+    got = catalog.QUERIES["q_structured_triggers"](spark, sf).collect()
+    written = {p.rsplit("/", 1)[-1].split("-")[1] for p in workspace._written[spark.sparkContext.applicationId][since:]}
+    assert written == {"unwrapped", "rare"}  # tokens and features took many times the room of the texts
+    a = catalog.by_blocks(spark, sf)
+    whole = triggers.detect(a.sentences, a.features, a.lexicons)
+    assert Counter((r["doc_id"], r["sent_idx"], r["type"], r["i"], r["word"]) for r in got) == Counter((r["doc_id"], r["sent_idx"], r["type"], r["i"], r["word"]) for r in whole.collect())
